@@ -56,7 +56,7 @@ def power_of_two(n: float) -> int:
     return 1 << max(0, math.ceil(math.log2(max(n, 1))))
 
 
-def write_blocks(docs: DataFrame, size: int, block_mb: float = 8) -> DataFrame:
+def write_blocks(docs: DataFrame, size: int, block_mb: float = 4) -> DataFrame:
     """docs(doc_id, text, ...) plus `block`, as a table bucketed by block; size: its bytes of text."""
     spark = docs.sparkSession
     limit = int(block_mb * 2**20)

@@ -21,7 +21,7 @@ from plenum.llm.common import blocks_of, save, texts
 from plenum.llm.wordcache import ByteLevelEncoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-RUN = 50_000  # pieces whose places one window partition gives out, about
+RUN = 5_000  # pieces whose places one window partition gives out, about
 
 
 def plan(counts: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:

@@ -105,11 +105,18 @@ def distinct(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contents(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """A hash of each data[start:start + length]."""
-    steps = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data), PRIME, np.uint64)]), dtype=np.uint64)
-    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(data), np.uint64(pow(int(PRIME), -1, 2**64)), np.uint64)]), dtype=np.uint64)
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(TABLE[data] * steps[:-1], dtype=np.uint64)])
-    return mixed((sums[start + length] - sums[start]) * back[start] + length.astype(np.uint64) * TABLE[7])
+    """A hash of each data[start:start + length]; start ascends."""
+    out = np.zeros(len(start), np.uint64)
+    if not len(start):
+        return out
+    most = min(len(data), SLICE + int(length.max()))
+    steps, back = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(most, x, np.uint64)]), dtype=np.uint64) for x in (PRIME, np.uint64(pow(int(PRIME), -1, 2**64))))
+    for at in range(0, len(data), SLICE):
+        own = slice(*np.searchsorted(start, [at, at + SLICE]))
+        part, first = data[at : at + most], start[own] - at
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(TABLE[part] * steps[: len(part)], dtype=np.uint64)])
+        out[own] = (sums[first + length[own]] - sums[first]) * back[first] + length[own].astype(np.uint64) * TABLE[7]
+    return mixed(out)
 
 
 def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -238,7 +245,7 @@ def remove(table: pa.Table, answers: pa.Table, bits: int, span: int, gram: int)
     steps = np.zeros(len(x["data"]) + span + 1, np.int32)
     np.add.at(steps, at, 1)
     np.add.at(steps, at + span, -1)
-    gone = np.cumsum(steps[: len(x["data"])]) > 0
+    gone = np.cumsum(steps[: len(x["data"])], dtype=np.int32) > 0
     offsets, out = x["offsets"], {n: [] for n in KEPT_SCHEMA.names}
     for k, doc_id in enumerate(x["ids"].tolist()):
         own, lost = x["data"][offsets[k] : offsets[k + 1]], gone[offsets[k] : offsets[k + 1]]
@@ -254,7 +261,7 @@ def answered_sent(rows: pa.Table, keys: np.ndarray, bits: int) -> np.ndarray:
     return answered(rows, keys, bits)
 
 
-def remove_later_copies(docs: DataFrame, span: int = 50, gram: int = GRAM, block_mb: float = 8) -> DataFrame:
+def remove_later_copies(docs: DataFrame, span: int = 50, gram: int = GRAM, block_mb: float = 4) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes), removed (runs).
 
     Null text counts as empty; texts under `span` bytes stay whole. Of rows with one doc_id none
