@@ -7,8 +7,8 @@ Two documents are linked if their weighted Jaccard similarity, sum of minima ove
 is at least the threshold. Candidates share a band of weighted samples; all links are verified.
 
 Exact copies are put together first and do not take part beyond one of them. In a bucket of
-candidates not all pairs are compared: each is compared with the bucket's least document, then
-with two others; only members of a bucket that are still in different classes after that are
+candidates not all pairs are compared: each is compared with the member that meets most others
+in all its buckets, then with a few drawn by that measure; only members of a bucket that are still in different classes after that are
 compared with each other, until no bucket holds two classes that were not compared.
 """
 
@@ -88,9 +88,8 @@ def samples(row: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int) -> np.
 def block_shingles(table: pa.Table, answers: pa.Table, bits: int, words: int, n_docs: int):
     """A block's rows, shingle keys and weights."""
     row, key, tf = shingles(table["text"].to_pylist(), words)
-    distinct = np.unique(key)
-    df = answered(answers, distinct, bits)
-    return row, key, weights(tf, df[np.searchsorted(distinct, key)], n_docs)
+    distinct, at = np.unique(key, return_inverse=True)
+    return row, key, weights(tf, answered(answers, distinct, bits)[at], n_docs)
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -115,7 +114,7 @@ def linked(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFrame
     return pairs.join(fa, "a").join(fb, "b").select("a", "b", "fa", "fb").mapInArrow(test, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 16, rows: int = 4, block_mb: float = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 16, rows: int = 4, leaders_tried: int = 3, block_mb: float = 4) -> DataFrame:
     """One row a document: doc_id, class_id (least doc_id that links reach), kept (doc_id = class_id).
 
     Null texts count as empty; documents without a word have no copies. Rows with the same doc_id
@@ -157,21 +156,21 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
 
     banded = by_block.cogroup(df.groupBy("block")).applyInArrow(band, "doc_id long, block long, bands array<long>")
     banded = save(banded.join(stands.select(F.col("stands").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "block", F.explode("bands").alias("band")), "bands")
-    shared = banded.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    buckets = save(banded.join(shared, "band"), "buckets")
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met = banded.join(shared, "band")
+    degree = met.groupBy("doc_id").agg(F.sum("n").alias("degree"))  # what stands amid a group of copies meets most of them
+    buckets = save(met.drop("n").join(degree, "doc_id"), "buckets")
 
     def feature(table: pa.Table, sent: pa.Table) -> pa.Table:
         out = {"doc_id": [], "f": []}
         wanted = sent["doc_id"].drop_null().to_numpy()
         if table.num_rows and len(wanted):
-            chosen = table.filter(pa.array(np.isin(table["doc_id"].to_numpy(), wanted)))
-            whole = np.unique(shingles(table["text"].to_pylist(), words)[1])
-            weight_of = answered(sent.filter(sent["doc_id"].is_null()), whole, bits)
-            row, key, tf = shingles(chosen["text"].to_pylist(), words)
-            weight = weights(tf, weight_of[np.searchsorted(whole, key)], n_docs)
+            row, key, weight = block_shingles(table, sent.filter(sent["doc_id"].is_null()), bits, words, n_docs)
+            chosen = np.isin(table["doc_id"].to_numpy(), wanted)[row]
+            row, key, weight = row[chosen], key[chosen], weight[chosen]
             short = (key >> np.uint64(32)).astype("<u4")
             begins = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
-            ids = chosen["doc_id"].to_pylist()
+            ids = table["doc_id"].to_pylist()
             for a, b in zip(begins, np.append(begins[1:], len(row))):
                 out["doc_id"].append(ids[row[a]])
                 out["f"].append(short[a:b].tobytes() + weight[a:b].astype("<f4").tobytes())
@@ -181,21 +180,25 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
     asked = df.select("block", "bucket", "answer", F.lit(None).cast("long").alias("doc_id")).unionByName(wanted)
     features = save(by_block.cogroup(asked.groupBy("block")).applyInArrow(feature, "doc_id long, f binary"), "features")
 
-    tested = save(buckets.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct(), "pairs")
+    rank = F.struct("degree", -F.col("doc_id"))
+    leaders = buckets.groupBy("band").agg(F.max_by("doc_id", rank).alias("leader"))
+    tested = buckets.join(leaders, "band").where("leader <> doc_id").select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b"))
+    tested = save(tested.distinct(), "pairs")
     links = save(linked(tested, features, threshold), "found")
     classes = save(components(links), "classes")
     for k in range(1, 50):
         known = classes.select(F.col("id").alias("doc_id"), "component")
-        state = buckets.select("band", "doc_id").join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        split = state.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("doc_id", F.xxhash64("doc_id", F.lit(k))).alias("other"), F.max_by("component", F.xxhash64("doc_id", F.lit(k))).alias("its")).where("low <> high").drop("low", "high")
-        if k <= 2:
+        state = buckets.select("band", "doc_id", "degree").join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        draw = F.xxhash64("doc_id", F.lit(k)).cast("double") / 2.0**63 + F.log("degree")
+        split = state.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("doc_id", draw).alias("other"), F.max_by("component", draw).alias("its")).where("low <> high").drop("low", "high")
+        if k <= leaders_tried:
             pairs = state.join(split, "band").where("component <> its").select(F.least("other", "doc_id").alias("a"), F.greatest("other", "doc_id").alias("b"))
         else:
             left, right = (state.join(split.select("band"), "band", "left_semi").select("band", F.col("doc_id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
             pairs = left.join(right, "band").where("a < b AND ca <> cb").select("a", "b")
         pairs = save(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
-            if k > 2:
+            if k > leaders_tried:
                 break
             continue
         found = save(linked(pairs, features, threshold), "found")

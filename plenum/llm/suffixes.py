@@ -273,7 +273,7 @@ def remove_later_copies(docs: DataFrame, span: int = 50, gram: int = GRAM, block
     docs = texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**62))))
     size = text_bytes(docs)
     blocks = write_blocks(docs, size, block_mb)
-    bits = power_of_two(size / (4 << 20)).bit_length() - 1
+    bits = power_of_two(size / (1 << 20)).bit_length() - 1
 
     def anchors(table: pa.Table) -> pa.Table:
         data, offsets = utf8(table["text"])
