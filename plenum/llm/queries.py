@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import chat, langid, lm, neardup, packing, pieces, quality, suffixes
+from plenum.llm import chat, covertree, langid, lm, neardup, neighbours, packing, pieces, quality, suffixes
 from plenum.llm.langid import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,13 @@ def op9_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0")
+
+
+@query
+def op10_cover_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
