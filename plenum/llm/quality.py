@@ -64,7 +64,8 @@ def probabilities(column, model: dict) -> np.ndarray:
 
 
 def train(rows: list[str], labels: np.ndarray, seed: int = 7, epochs: int = 6, chunks: int = 10, rate: float = 0.01) -> dict:
-    """Filters and weights from labelled texts by Adam; `chunks` random chunks of each text an epoch.
+    """Filters and weights from labelled texts by Adam; `chunks` random chunks of each text an epoch,
+    240 steps at least.
 
     Filters begin as strings of bytes found in the texts. One class alone gives a constant score.
     """
@@ -84,7 +85,7 @@ def train(rows: list[str], labels: np.ndarray, seed: int = 7, epochs: int = 6, c
     model["filters"] -= 0.1
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.items()}
     size, step, weight = 2 * HALF, 0, np.where(labels > 0, 0.5 / max(prior, 0.1), 0.5 / max(1 - prior, 0.1))
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-240 * 64 // len(data)))):
         for batch in np.array_split(rng.permutation(len(data)), max(1, len(data) // 64)):
             taken, owner = [], []
             for k in batch:
