@@ -8,11 +8,15 @@ from pyspark.sql.window import Window
 
 from plenum.plans.model import Model
 
-OPEN = F.lit("9999-12-31").cast("date")
-ACTIVE = F.col("option").isin(1, 2, 3)
+ACTIVE = "option IN (1, 2, 3)"
 SUBSTANTIAL = "procedural IS NOT TRUE"  # unknown counts as substantial
 
 
+def open_end() -> Column:
+    """What stands for the end of a membership or term that has none."""
+    return F.lit("9999-12-31").cast("date")
+
+
 def share(condition: Column) -> Column:
     return F.avg(condition.cast("double"))
 
@@ -36,7 +40,7 @@ def affiliation(m: Model, kind: str = "group", variant: str = "date") -> DataFra
     plan is a hash join however many sessions there are.
     """
     kinds = F.col("kind") == "group" if kind == "group" else F.col("kind") != "group"
-    end = F.coalesce("d_to", OPEN)
+    end = F.coalesce("d_to", open_end())
     last = m.sessions.agg(F.min(F.year("day")).alias("low"), F.max(F.year("day")).alias("high"))
     spells = m.memberships.where(kinds).crossJoin(F.broadcast(last))  # one row of two numbers
     years = F.sequence(F.greatest(F.year("d_from"), "low"), F.least(F.year(end), "high"))
@@ -68,14 +72,14 @@ def plurality(votes: DataFrame) -> DataFrame:
 def term_of(m: Model, days: DataFrame) -> DataFrame:
     """days(day) with the first term that it lies in."""
     t = m.terms.select(F.col("term").alias("in_term"), "d_from", "d_to")
-    hit = days.join(F.broadcast(t), F.col("day").between(F.col("d_from"), F.coalesce("d_to", OPEN)), "left")  # a row a term
+    hit = days.join(F.broadcast(t), F.col("day").between(F.col("d_from"), F.coalesce("d_to", open_end())), "left")  # a row a term
     return hit.groupBy("day").agg(F.min_by("in_term", F.struct("d_from", "in_term")).alias("term_found"))
 
 
 def current_affiliation(m: Model) -> DataFrame:
     """The membership of each kind in force that began last, in each term; an open term lasts five years."""
     t = m.terms.select(F.col("term").alias("t"), F.col("d_from").alias("t_from"), F.coalesce("d_to", F.add_months("d_from", 60)).alias("t_to"))
-    over = m.memberships.join(F.broadcast(t), (F.col("d_from") <= F.col("t_to")) & (F.coalesce("d_to", OPEN) >= F.col("t_from")))
+    over = m.memberships.join(F.broadcast(t), (F.col("d_from") <= F.col("t_to")) & (F.coalesce("d_to", open_end()) >= F.col("t_from")))
     last = over.withColumn("r", F.row_number().over(Window.partitionBy("t", "member_id", "kind").orderBy(F.desc("d_from"), "subject_id")))
     return last.where("r = 1").select(F.col("t").alias("term"), "member_id", "kind", "subject_id")
 

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plenum.operators.rollcall import OPEN, SUBSTANTIAL, affiliation, cast_votes, share, with_subject
+from plenum.operators.rollcall import SUBSTANTIAL, affiliation, cast_votes, open_end, share, with_subject
 from plenum.plans.model import Model
 
 
 def party_main_group(m: Model) -> DataFrame:
     """term, party, grp: the group of most of a national party's members in the term; ties to the lowest."""
     over = lambda a, b: (F.col(f"{a}_from") <= F.col(f"{b}_to")) & (F.col(f"{b}_from") <= F.col(f"{a}_to"))
-    spell = lambda d, k, *c: d.select(*c, F.col("d_from").alias(f"{k}_from"), F.coalesce("d_to", OPEN).alias(f"{k}_to"))
+    spell = lambda d, k, *c: d.select(*c, F.col("d_from").alias(f"{k}_from"), F.coalesce("d_to", open_end()).alias(f"{k}_to"))
     a = spell(m.memberships.where("kind <> 'group'"), "a", "member_id", F.col("subject_id").alias("party"))
     b = spell(m.memberships.where("kind = 'group'"), "b", "member_id", F.col("subject_id").alias("grp"))
     t = spell(m.terms, "t", "term")
@@ -40,7 +40,7 @@ def country_topics(m: Model) -> DataFrame:
 
 def term_indicators(m: Model) -> DataFrame:
     """Mean of each indicator and country over the years of a term (null end: no end)."""
-    t = m.terms.select("term", F.year("d_from").alias("y0"), F.year(F.coalesce("d_to", OPEN)).alias("y1"))
+    t = m.terms.select("term", F.year("d_from").alias("y0"), F.year(F.coalesce("d_to", open_end())).alias("y1"))
     return m.indicators.where("value IS NOT NULL").join(F.broadcast(t), F.col("year").between(F.col("y0"), F.col("y1"))).groupBy("term", "name", "country").agg(F.avg("value").alias("value"))  # a row a term
 
 
