@@ -2,9 +2,11 @@
 
 Cosines of at least t are distances of unit vectors of at most sqrt(2 - 2 t). The top level of a
 label's tree is a set of centres that grows with the label; every vector belongs to its nearest
-centre. Pairs of these nodes are pruned by their covering radii; each pair that is left is a task,
-which builds the nodes' lower levels, radii halving, and descends both at once. Links are counted
-for every vector, and a spanning forest of them gives the components; pairs are not written out.
+centre, and a centre with many vectors has several nodes, so that no node is large. The levels
+below a node, radii halving, are made once and stored with it. Pairs of nodes are pruned by their
+covering radii; each pair that is left is a task, which descends both trees level by level, all
+pairs of a level at once, and goes on with those that the radii leave. Links are counted for every
+vector, and a spanning forest of them gives the components; pairs are not written out.
 """
 
 from __future__ import annotations
@@ -16,104 +18,129 @@ from pyspark.sql import functions as F
 
 from plenum.llm.common import save
 from plenum.llm.components import components
+from plenum.llm.hashstats import arrow
 from plenum.llm.vectors import matrix, units, valid
 
-LEAF = 64
-
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
 
 
-class Node:
-    """A centre, the points it covers and its radius; children at half the radius when asked for."""
-
-    def __init__(self, x: np.ndarray, at: np.ndarray, centre: np.ndarray):
-        self.x, self.at, self.centre, self._children = x, at, centre, None
-        self.radius = float(distances(centre[None], x[at]).max())
-
-    @property
-    def leaf(self) -> bool:
-        return len(self.at) <= LEAF or self.radius < 1e-6
-
-    def children(self) -> list[Node]:
-        """Points are taken, farthest first, until all are within half the radius of one."""
-        if self._children is None:
-            own, parts = self.x[self.at], []
-            left, nearest, home = distances(self.centre[None], own)[0], np.full(len(own), np.inf), np.zeros(len(own), int)
-            pick = int(left.argmax())
-            while True:
-                d = distances(own[pick][None], own)[0]
-                closer = d < nearest
-                nearest[closer], home[closer] = d[closer], len(parts)
-                parts.append(own[pick])
-                pick = int(nearest.argmax())
-                if nearest[pick] <= self.radius / 2 or len(parts) >= 2 * LEAF:
-                    break
-            self._children = [Node(self.x, self.at[home == k], c) for k, c in enumerate(parts) if (home == k).any()]
-        return self._children
-
-
-def dual(a: Node, b: Node, reach: float, test) -> None:
-    """Calls test(points, points) for the leaves that may hold pairs within reach."""
-    waiting = [(a, b)]
-    while waiting:
-        a, b = waiting.pop()
-        if a.leaf and b.leaf:
-            test(a.at, b.at)
-            continue
-        left, right = ([n] if n.leaf else n.children() for n in (a, b))
-        if len(left) == len(right) == 1 and left[0].leaf and right[0].leaf:
-            test(left[0].at, right[0].at)
-            continue
-        d = distances(np.array([n.centre for n in left]), np.array([n.centre for n in right]))
-        near = d <= np.array([n.radius for n in left])[:, None] + np.array([n.radius for n in right])[None] + reach + 1e-9
-        for i, j in zip(*np.nonzero(near)):
-            if a is not b or i <= j:
-                waiting.append((left[i], right[j]))
-
-
-def join(a: np.ndarray, b: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows of a and b (b None: within a) with cosine of at least threshold: rows of both, in arrays."""
-    x = a if b is None else np.concatenate([a, b])
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def test(p: np.ndarray, q: np.ndarray) -> None:
-        i, j = np.nonzero(x[p] @ x[q].T >= threshold)
-        i, j = p[i], q[j]
-        keep = i < j if p is q or np.array_equal(p, q) else slice(None)
-        found.append((i[keep], j[keep]))
-
-    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    first = Node(x, np.arange(len(a)), x[: len(a)].mean(0))
-    dual(first, first if b is None else Node(x, np.arange(len(a), len(x)), x[len(a) :].mean(0)), reach, test)
-    i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, int) for k in (0, 1))
-    low, high = np.minimum(i, j), np.maximum(i, j)
-    return low, high
-
-
-def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """Which of the links (i, j) join two components that were apart."""
-    root, keep = list(range(n)), np.zeros(len(i), bool)
+class Tree:
+    """Nested levels of points: each a prefix of `order`, the last all of them.
 
-    def find(k: int) -> int:
-        while root[k] != k:
-            root[k] = root[root[k]]
-            k = root[k]
-        return k
+    up[k]: for the points of level k + 1 their parents, places in level k; radii[k]: how far the
+    points below each point of level k are.
+    """
 
-    for e, (a, b) in enumerate(zip(i.tolist(), j.tolist())):
-        a, b = find(a), find(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            keep[e] = True
-    return keep
+    def __init__(self, x: np.ndarray, order: np.ndarray, up: list[np.ndarray], radii: list[np.ndarray]):
+        self.x, self.order, self.up, self.radii = x, order, up, radii
+
+    @classmethod
+    def grown(cls, x: np.ndarray, floor: float) -> Tree:
+        """Points are taken, farthest first; a level ends when all are within half the last radius of one."""
+        n = len(x)
+        order, home = [int((x @ x.mean(0)).argmax())], np.zeros(n, np.int64)
+        nearest = distances(x, x[order])[:, 0]
+        goal, sizes, homes = float(nearest.max()) / 2, [1], [home.copy()]
+        while len(order) < n:
+            pick = int(nearest.argmax())
+            if nearest[pick] <= goal:
+                if len(order) > sizes[-1]:
+                    sizes.append(len(order))
+                    homes.append(home.copy())
+                goal /= 2
+                if goal < floor:
+                    break
+                continue
+            d = distances(x, x[[pick]])[:, 0]
+            closer = d < nearest
+            closer[pick] = True
+            nearest[closer], home[closer] = d[closer], len(order)
+            nearest[pick] = -1
+            order.append(pick)
+        whole = np.array(order + np.setdiff1d(np.arange(n), order).tolist(), np.int64)
+        x = x[whole]
+        up = [h[whole[:m]] for h, m in zip(homes, [*sizes[1:], n])]
+        radii, above = [], np.arange(n)
+        for k in range(len(up) - 1, -1, -1):
+            above = up[k][above]
+            far = np.zeros(sizes[k])
+            np.maximum.at(far, above, np.sqrt(((x - x[above]) ** 2).sum(1)))
+            radii.insert(0, far)
+        return cls(x, whole, up, [*radii, np.zeros(n)])
+
+
+def descend(tree: Tree, level: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The points of the level below those of `at`, and for each the place of its parent in `at`."""
+    place = np.full(len(tree.radii[level - 1]), -1)
+    place[at] = np.arange(len(at))
+    parent = place[tree.up[level - 1]]
+    own = np.flatnonzero(parent >= 0)
+    return own, parent[own]
+
+
+def join(a: Tree, b: Tree, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Points of a and of b, as places in the trees, with cosine of at least threshold; of a tree with itself each pair once."""
+    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+    i = j = np.zeros(1, np.int64)
+    open_, bottom = np.ones((1, 1), bool), max(len(a.radii), len(b.radii)) - 1
+    for level in range(bottom + 1):
+        if 0 < level < len(a.radii):
+            i, above = descend(a, level, i)
+            open_ = open_[above]
+        if 0 < level < len(b.radii):
+            j, above = descend(b, level, j)
+            open_ = open_[:, above]
+        dot = a.x[i] @ b.x[j].T
+        if level == bottom:
+            open_ &= dot >= threshold
+            break
+        ra, rb = a.radii[min(level, len(a.radii) - 1)][i], b.radii[min(level, len(b.radii) - 1)][j]
+        bound = ra[:, None] + rb[None] + reach + 1e-7
+        open_ &= 2 - 2 * dot <= bound * bound
+        rows, columns = open_.any(1), open_.any(0)
+        i, j, open_ = i[rows], j[columns], open_[rows][:, columns]
+        if not len(i):
+            break
+    at, to = np.nonzero(open_)
+    i, j = i[at], j[to]
+    return (i[i < j], j[i < j]) if a is b else (i, j)
+
+
+def least(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
+    """For each of n points the least that the links (i, j) reach."""
+    low = np.arange(n)
+    while True:
+        m = np.minimum(low[i], low[j])
+        new = low.copy()
+        for at in (i, j, low[i], low[j]):
+            np.minimum.at(new, at, m)
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+NODE = "kind string, node long, c array<double>, radius double, ids binary, m binary, x binary, sizes array<int>, up binary, radii binary"
+
+
+def packed(tree: Tree, kind: str, ids: np.ndarray, m: np.ndarray) -> pa.Table:
+    raw = lambda x, t: np.concatenate(x).astype(t).tobytes() if x else b""
+    return arrow({"kind": [kind], "node": [int(ids.min())], "c": [tree.x[0].tolist()], "radius": [float(tree.radii[0][0])], "ids": [raw([ids[tree.order]], "<i8")], "m": [raw([m[tree.order]], "<i8")], "x": [raw([tree.x.ravel()], "<f8")], "sizes": [[len(r) for r in tree.radii]], "up": [raw(tree.up, "<i8")], "radii": [raw(tree.radii, "<f8")]}, NODE)
+
+
+def unpacked(row: dict) -> tuple[Tree, np.ndarray, np.ndarray]:
+    sizes, ids = row["sizes"], np.frombuffer(row["ids"], "<i8")
+    up = np.split(np.frombuffer(row["up"], "<i8"), np.cumsum(sizes[1:])[:-1]) if len(sizes) > 1 else []
+    radii = np.split(np.frombuffer(row["radii"], "<f8"), np.cumsum(sizes)[:-1])
+    return Tree(np.frombuffer(row["x"], "<f8").reshape(len(ids), -1), np.arange(len(ids)), up, radii), ids, np.frombuffer(row["m"], "<i8")
 
 
 LINKS = "a long, b long, n long"
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, node: int = 500) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, node: int = 1500) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row; links only within one label that is not null.
 
     Vectors that do not count (null, zero, null or non-finite components) and rows without a label
@@ -148,32 +175,35 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, node: int = 500
         return pa.table([t["kind"], pa.array(centre), t["id"], t["m"], t["v"], pa.array(far)], names=names)
 
     placed = save(parts.groupBy("kind", "salt").cogroup(salted.groupBy("kind", "salt")).applyInArrow(settle, "kind string, centre long, id long, m long, v array<double>, d double"), "placed")
-    tops = placed.groupBy("kind", "centre").agg(F.max("d").alias("radius")).join(centres, ["kind", "centre"], "left")
-    one, two = (tops.select("kind", F.col("centre").alias(f"centre{k}"), F.col("radius").alias(f"radius{k}"), F.col("c").alias(f"c{k}")) for k in "12")
+    many = placed.groupBy("kind", "centre").agg(F.ceil(F.count("*") / (2 * node)).alias("parts"))
     reach = float(np.sqrt(2 - 2 * threshold))
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    apart = F.sqrt(F.greatest(2 - 2 * dot("c1", "c2") / F.sqrt(dot("c1", "c1")) / F.sqrt(dot("c2", "c2")), F.lit(0.0)))
-    near = one.join(two, "kind").where("centre1 <= centre2").where(F.col("c1").isNull() | F.col("c2").isNull() | (apart <= F.col("radius1") + F.col("radius2") + reach + 1e-9)).select("kind", "centre1", "centre2")
-    near = save(near, "near")
-    task = ["kind", "centre1", "centre2"]
-    left = near.join(placed.withColumnRenamed("centre", "centre1"), ["kind", "centre1"]).select(*task, "id", "m", "v")
-    right = near.where("centre1 <> centre2").join(placed.withColumnRenamed("centre", "centre2"), ["kind", "centre2"]).select(*(F.col(x).alias(x) for x in (*task, "id", "m", "v")))
+
+    def grow(t: pa.Table) -> pa.Table:
+        return packed(Tree.grown(units(matrix(t["v"])), reach / 4), t["kind"][0].as_py(), t["id"].to_numpy(), t["m"].to_numpy())
+
+    dealt = placed.join(many, ["kind", "centre"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts")).select("kind", "centre", "part", "id", "m", "v")
+    trees = save(dealt.groupBy("kind", "centre", "part").applyInArrow(grow, NODE), "trees")
+    one, two = (trees.select("kind", F.col("node").alias(f"node{k}"), F.col("radius").alias(f"radius{k}"), F.col("c").alias(f"c{k}")) for k in "12")
+    dot = F.aggregate(F.zip_with("c1", "c2", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    apart = F.sqrt(F.greatest(2 - 2 * dot, F.lit(0.0)))
+    near = save(one.join(two, "kind").where("node1 <= node2").where(apart <= F.col("radius1") + F.col("radius2") + reach + 1e-7).select("kind", "node1", "node2"), "near")
+    task = ["kind", "node1", "node2"]
+    inner = ["ids", "m", "x", "sizes", "up", "radii"]
+    left = near.join(trees.withColumnRenamed("node", "node1"), ["kind", "node1"]).select(*task, *inner)
+    right = near.where("node1 <> node2").join(trees.withColumnRenamed("node", "node2"), ["kind", "node2"]).select(*(F.col(x).alias(x) for x in (*task, *inner)))
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-        x, ids, m = units(matrix(a["v"])), a["id"].to_numpy(), a["m"].to_numpy()
-        y = None
+        x, ids, m = unpacked(a.to_pylist()[0])
+        y, n = x, len(ids)
         if b.num_rows:
-            y, ids, m = units(matrix(b["v"])), np.concatenate([ids, b["id"].to_numpy()]), np.concatenate([m, b["m"].to_numpy()])
-        if not len(x):
-            return pa.table([pa.array([], pa.int64())] * 3, names=["a", "b", "n"])
+            y, others, more = unpacked(b.to_pylist()[0])
+            ids, m = np.concatenate([ids, others]), np.concatenate([m, more])
         i, j = join(x, y, threshold)
-        if y is not None:
-            across = (i < len(x)) & (j >= len(x))
-            i, j = i[across], j[across]
+        j = j + n if b.num_rows else j
         n = np.bincount(i, m[j], len(ids)) + np.bincount(j, m[i], len(ids))
-        keep = forest(i, j, len(ids))
-        some = np.flatnonzero(n)
-        return pa.table([pa.array(np.concatenate([ids[i[keep]], ids[some]])), pa.array(np.concatenate([ids[j[keep]], ids[some]])), pa.array(np.concatenate([np.zeros(int(keep.sum())), n[some]]).astype(np.int64))], names=["a", "b", "n"])
+        low = least(i, j, len(ids))
+        tied, some = np.flatnonzero(low != np.arange(len(ids))), np.flatnonzero(n)
+        return pa.table([pa.array(np.concatenate([ids[tied], ids[some]])), pa.array(np.concatenate([ids[low[tied]], ids[some]])), pa.array(np.concatenate([np.zeros(len(tied)), n[some]]).astype(np.int64))], names=["a", "b", "n"])
 
     found = save(left.groupBy(*task).cogroup(right.groupBy(*task)).applyInArrow(compare, LINKS), "links")
     counts = found.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))

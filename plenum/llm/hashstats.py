@@ -55,7 +55,7 @@ def blobs(block: int, keys: np.ndarray, vals: np.ndarray, bits: int) -> dict[str
 
 
 def arrow(columns: dict[str, list], ddl: str) -> pa.Table:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "float": pa.float32()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "float": pa.float32(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
     fields = [x.split() for x in ddl.split(", ")]
     return pa.table([pa.array(columns[n], kinds[k]) for n, k in fields], schema=pa.schema([(n, kinds[k]) for n, k in fields]))
 
