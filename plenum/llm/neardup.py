@@ -8,8 +8,9 @@ is at least the threshold. Candidates share a band of weighted samples; all link
 
 Exact copies are put together first and do not take part beyond one of them. In a bucket of
 candidates not all pairs are compared: each is compared with the member that meets most others
-in all its buckets, then with a few drawn by that measure; only members of a bucket that are still in different classes after that are
-compared with each other, until no bucket holds two classes that were not compared.
+in all its buckets, then with a few drawn by that measure. Members of a bucket that are still in
+different classes after that are paired by their rarest shingles where those can still meet the
+threshold, which leaves out no link, and compared.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from plenum.llm.components import components
 from plenum.llm.hashstats import BLOBS, answered, arrow, blobs, global_sums
 
 POOL = 1 << 16
+SLACK = 1e-5  # of sums of single-precision weights
 LOW = np.uint64(0xFFFF)
 RANDOM = np.random.default_rng(4)
 R, LN_C, BETA = RANDOM.gamma(2, 1, POOL).astype(np.float32), np.log(RANDOM.gamma(2, 1, POOL)).astype(np.float32), RANDOM.random(POOL).astype(np.float32)
@@ -86,10 +88,23 @@ def samples(row: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int) -> np.
 
 
 def block_shingles(table: pa.Table, answers: pa.Table, bits: int, words: int, n_docs: int):
-    """A block's rows, shingle keys and weights."""
+    """A block's rows, shingle keys, weights and document counts."""
     row, key, tf = shingles(table["text"].to_pylist(), words)
     distinct, at = np.unique(key, return_inverse=True)
-    return row, key, weights(tf, answered(answers, distinct, bits)[at], n_docs)
+    df = answered(answers, distinct, bits)[at]
+    return row, key, weights(tf, df, n_docs), df
+
+
+def rarest(key: np.ndarray, weight: np.ndarray, df: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """A document's shingles, rarest first, and what it weighs from each on, while that is the threshold's share of it.
+
+    Two documents whose similarity reaches the threshold t have t / (1 + t) of their summed weights
+    in common. All of it lies from their first common shingle on, which is thus among these of both.
+    """
+    order = np.lexsort((key, df))
+    rest = np.cumsum(weight[order][::-1], dtype=np.float64)[::-1]
+    n = np.count_nonzero(rest >= (threshold - SLACK) * rest[0])
+    return key[order[:n]], rest[:n]
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -102,6 +117,10 @@ def similarity(a: bytes, b: bytes) -> float:
     return both / whole if whole else 0.0
 
 
+FEATURES = "doc_id long, f binary, whole double, keys binary, rests binary"
+OPEN = "doc_id long, component long, bands array<long>, whole double"
+
+
 def linked(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFrame:
     """Of pairs(a, b) those whose similarity reaches the threshold."""
     fa, fb = (features.select(F.col("doc_id").alias(x), F.col("f").alias(f"f{x}")) for x in "ab")
@@ -114,6 +133,15 @@ def linked(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFrame
     return pairs.join(fa, "a").join(fb, "b").select("a", "b", "fa", "fb").mapInArrow(test, "a long, b long").distinct()
 
 
+def spread(batches):
+    """The columns of OPEN with each key and its rest."""
+    for batch in batches:
+        keys, rests = ([np.frombuffer(x, kind) for x in batch.column(k).to_pylist()] for k, kind in ((4, "<i8"), (5, "<f8")))
+        at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+        flat = [pa.array(np.concatenate(x) if x else np.zeros(0, kind)) for x, kind in ((keys, np.int64), (rests, np.float64))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(4)), *flat], ["doc_id", "component", "bands", "whole", "key", "rest"])
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 16, rows: int = 4, leaders_tried: int = 3, block_mb: float = 4) -> DataFrame:
     """One row a document: doc_id, class_id (least doc_id that links reach), kept (doc_id = class_id).
 
@@ -145,7 +173,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
     def band(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return band_schema.empty_table()
-        row, key, weight = block_shingles(table, answers, bits, words, n_docs)
+        row, key, weight, _ = block_shingles(table, answers, bits, words, n_docs)
         drawn = samples(row, key, weight, bands * rows)
         found = np.zeros((len(drawn), bands), np.uint64)
         for k in range(rows):
@@ -162,23 +190,27 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
     buckets = save(met.drop("n").join(degree, "doc_id"), "buckets")
 
     def feature(table: pa.Table, sent: pa.Table) -> pa.Table:
-        out = {"doc_id": [], "f": []}
+        out = {"doc_id": [], "f": [], "whole": [], "keys": [], "rests": []}
         wanted = sent["doc_id"].drop_null().to_numpy()
         if table.num_rows and len(wanted):
-            row, key, weight = block_shingles(table, sent.filter(sent["doc_id"].is_null()), bits, words, n_docs)
+            row, key, weight, df = block_shingles(table, sent.filter(sent["doc_id"].is_null()), bits, words, n_docs)
             chosen = np.isin(table["doc_id"].to_numpy(), wanted)[row]
-            row, key, weight = row[chosen], key[chosen], weight[chosen]
+            row, key, weight, df = row[chosen], key[chosen], weight[chosen], df[chosen]
             short = (key >> np.uint64(32)).astype("<u4")
             begins = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
             ids = table["doc_id"].to_pylist()
             for a, b in zip(begins, np.append(begins[1:], len(row))):
                 out["doc_id"].append(ids[row[a]])
                 out["f"].append(short[a:b].tobytes() + weight[a:b].astype("<f4").tobytes())
-        return arrow(out, "doc_id long, f binary")
+                out["whole"].append(float(weight[a:b].sum(dtype=np.float64)))
+                rare, rest = rarest(key[a:b], weight[a:b], df[a:b], threshold)
+                out["keys"].append(rare.astype("<u8").tobytes())
+                out["rests"].append(rest.astype("<f8").tobytes())
+        return arrow(out, FEATURES)
 
     wanted = buckets.select("block", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("answer"), "doc_id").distinct()
     asked = df.select("block", "bucket", "answer", F.lit(None).cast("long").alias("doc_id")).unionByName(wanted)
-    features = save(by_block.cogroup(asked.groupBy("block")).applyInArrow(feature, "doc_id long, f binary"), "features")
+    features = save(by_block.cogroup(asked.groupBy("block")).applyInArrow(feature, FEATURES), "features")
 
     rank = F.struct("degree", -F.col("doc_id"))
     leaders = buckets.groupBy("band").agg(F.max_by("doc_id", rank).alias("leader"))
@@ -186,7 +218,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
     tested = save(tested.distinct(), "pairs")
     links = save(linked(tested, features, threshold), "found")
     classes = save(components(links), "classes")
-    for k in range(1, 50):
+    for k in range(1, leaders_tried + 2):
         known = classes.select(F.col("id").alias("doc_id"), "component")
         state = buckets.select("band", "doc_id", "degree").join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         draw = F.xxhash64("doc_id", F.lit(k)).cast("double") / 2.0**63 + F.log("degree")
@@ -194,12 +226,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
         if k <= leaders_tried:
             pairs = state.join(split, "band").where("component <> its").select(F.least("other", "doc_id").alias("a"), F.greatest("other", "doc_id").alias("b"))
         else:
-            left, right = (state.join(split.select("band"), "band", "left_semi").select("band", F.col("doc_id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-            pairs = left.join(right, "band").where("a < b AND ca <> cb").select("a", "b")
+            still = state.join(split.select("band"), "band", "left_semi").groupBy("doc_id", "component").agg(F.collect_set("band").alias("bands"))
+            still = still.join(features, "doc_id").select("doc_id", "component", "bands", "whole", "keys", "rests")
+            rare = still.mapInArrow(spread, f"{OPEN}, key long, rest double")
+            left, right = (rare.select("key", *(F.col(c).alias(c[0] + x) for c in ("doc_id", "component", "bands", "whole", "rest"))) for x in "ab")
+            enough = F.least("ra", "rb") >= (F.col("wa") + F.col("wb")) * (threshold / (1 + threshold) - SLACK)
+            pairs = left.join(right, "key").where("da < db AND ca <> cb").where(enough).where(F.arrays_overlap("ba", "bb")).select(F.col("da").alias("a"), F.col("db").alias("b"))
         pairs = save(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
-            if k > leaders_tried:
-                break
             continue
         found = save(linked(pairs, features, threshold), "found")
         tested = tested.union(pairs)

@@ -111,6 +111,29 @@ def test_neardup(spark, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
+def test_rarest_shingles_meet():
+    """Documents that reach the threshold share a listed shingle from which on enough is left of both."""
+    rng = np.random.default_rng(8)
+    df = rng.integers(1, 40, 60).astype(np.uint64)
+    reached = 0
+    for _ in range(3000):
+        own = rng.random(60) < 0.5
+        changed = rng.random(60) < rng.choice([0.02, 0.05, 0.1, 0.2])
+        docs = [np.flatnonzero(x).astype(np.uint64) for x in (own, own ^ changed)]
+        if not all(len(k) for k in docs):
+            continue
+        tf = [rng.integers(1, 3, 60) for _ in docs] if rng.random() < 0.3 else [np.ones(60, int)] * 2
+        w = [neardup.weights(t[k], df[k], 40) for k, t in zip(docs, tf)]
+        a, b = (dict(zip(k.tolist(), x.astype(float))) for k, x in zip(docs, w))
+        both = sum(min(x, b[k]) for k, x in a.items() if k in b)
+        whole = sum(a.values()) + sum(b.values())
+        if both >= 0.8 * (whole - both):
+            reached += 1
+            x, y = (dict(zip(*(v.tolist() for v in neardup.rarest(k, u, df[k], 0.8)))) for k, u in zip(docs, w))
+            assert any(min(x[k], y[k]) >= whole * 0.8 / 1.8 - 1e-3 for k in x.keys() & y.keys())
+    assert reached > 100
+
+
 def neardup_shingles(t):
     w = (t or "").lower().split()
     return [tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))] if w else []
