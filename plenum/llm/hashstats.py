@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 
 BLOBS = "block long, bucket int, keys binary, vals binary"
 ANSWERS = "block long, bucket int, answer binary, total long, n_distinct long"
+TOP = ", top_keys array<long>, top_sums array<long>"
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -55,12 +56,12 @@ def blobs(block: int, keys: np.ndarray, vals: np.ndarray, bits: int) -> dict[str
 
 
 def arrow(columns: dict[str, list], ddl: str) -> pa.Table:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "float": pa.float32(), "array<int>": pa.list_(pa.int32()), "array<double>": pa.list_(pa.float64())}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "float": pa.float32(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
     fields = [x.split() for x in ddl.split(", ")]
     return pa.table([pa.array(columns[n], kinds[k]) for n, k in fields], schema=pa.schema([(n, kinds[k]) for n, k in fields]))
 
 
-def add_up(table: pa.Table) -> pa.Table:
+def add_up(table: pa.Table, top: int = 0) -> pa.Table:
     runs = [unpack_sorted(x) for x in table["keys"].to_pylist()]
     ends = np.cumsum([len(x) for x in runs])
     vals = np.concatenate([unpack(x, len(k)) for x, k in zip(table["vals"].to_pylist(), runs)])
@@ -73,12 +74,22 @@ def add_up(table: pa.Table) -> pa.Table:
     spread[order] = np.repeat(sums, np.diff(np.append(first, len(keys))))
     answers = [pack(x) for x in np.split(spread, ends[:-1])]
     n = table.num_rows
-    return arrow({"block": table["block"].to_pylist(), "bucket": table["bucket"].to_pylist(), "answer": answers, "total": [int(sums.sum())] + [0] * (n - 1), "n_distinct": [int((sums > 0).sum())] + [0] * (n - 1)}, ANSWERS)
-
-
-def global_sums(sent: DataFrame) -> DataFrame:
-    """BLOBS of all blocks to ANSWERS: for each block's keys the sum of all blocks' values."""
-    return sent.groupBy("bucket").applyInArrow(add_up, ANSWERS)
+    out = {"block": table["block"].to_pylist(), "bucket": table["bucket"].to_pylist(), "answer": answers, "total": [int(sums.sum())] + [0] * (n - 1), "n_distinct": [int((sums > 0).sum())] + [0] * (n - 1)}
+    if not top:
+        return arrow(out, ANSWERS)
+    own = keys[first].view(np.int64)
+    best = np.lexsort((own, -sums.astype(np.int64)))[:top]
+    best = best[sums[best] > 0]
+    out |= {"top_keys": [own[best].tolist()] + [[]] * (n - 1), "top_sums": [sums[best].astype(np.int64).tolist()] + [[]] * (n - 1)}
+    return arrow(out, ANSWERS + TOP)
+
+
+def global_sums(sent: DataFrame, top: int = 0) -> DataFrame:
+    """BLOBS of all blocks to ANSWERS: for each block's keys the sum of all blocks' values.
+
+    With `top`, one row a bucket also lists that many keys of the greatest sums.
+    """
+    return sent.groupBy("bucket").applyInArrow(lambda table: add_up(table, top), ANSWERS + TOP * bool(top))
 
 
 def answered(rows: pa.Table, keys: np.ndarray, bits: int) -> np.ndarray:
