@@ -4,7 +4,7 @@ Words are what ASCII white space parts, A-Z in lower case; each text ends with a
 training tokens of the corpus are counted (packed, see `hashstats`). The most frequent words have
 outputs of their own, in classes: P(word) = P(class | state) P(word | class, state). All others
 share one output, within which their counts over the whole corpus decide. The network is trained
-by truncated backpropagation on a fixed share of the training documents, in rounds: every part
+by truncated backpropagation on all training documents, in rounds: every part
 trains from the same weights, the results are averaged. The state is carried from window to
 window to the end of each document, so a score is the log-likelihood of the whole text.
 """
@@ -167,18 +167,22 @@ class Model:
                 w *= scale
                 g["ww"][k], g["bw"][k] = states[own].T @ w, w.sum(0)
                 back[own] += w @ p["ww"][k].T
-        back, later = back.reshape(width, streams, H), np.zeros((streams, H), np.float32)
+        back, later, gates = back.reshape(width, streams, H), np.zeros((streams, H), np.float32), []
         for t in range(width - 1, -1, -1):
-            h0, e, z, r, n, ghn, _ = steps[t]
+            h0, _, z, r, n, ghn, _ = steps[t]
             d = back[t] + later
             dn = d * (1 - z) * (1 - n * n)
             dz, dr = d * (h0 - n) * z * (1 - z), dn * ghn * r * (1 - r)
-            dgx, dgh = np.concatenate([dz, dr, dn], 1), np.concatenate([dz, dr, dn * r], 1)
-            g["wh"] += h0.T @ dgh
-            g["wx"] += e.T @ dgx
-            g["b"] += dgx.sum(0)
-            np.add.at(g["emb"], before[:, t], dgx @ p["wx"].T)
+            dgh = np.concatenate([dz, dr, dn * r], 1)
+            gates.append((dgh, dn))
             later = d * z + dgh @ p["wh"].T
+        dgh, dn = (np.concatenate([x[k] for x in reversed(gates)]) for k in range(2))
+        dgx = np.concatenate([dgh[:, : 2 * H], dn], 1)
+        g["wh"], g["wx"], g["b"] = np.concatenate([s[0] for s in steps]).T @ dgh, np.concatenate([s[1] for s in steps]).T @ dgx, dgx.sum(0)
+        read = before.T.ravel()
+        order = np.argsort(read, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(read[order]) > 0]))
+        g["emb"][read[order[first]]] = np.add.reduceat((dgx @ p["wx"].T)[order], first)
         return g, h
 
     def pack(self) -> bytes:
@@ -211,11 +215,11 @@ def averaged(parts: DataFrame, width: int = 64) -> bytes | None:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def scores(docs: DataFrame, vocabulary: int = 1024, share: int = 16, rounds: int = 2, part_tokens: int = 400_000, block_mb: float = 4) -> DataFrame:
+def scores(docs: DataFrame, vocabulary: int = 1024, share: int = 1, rounds: int = 2, part_tokens: int = 400_000, block_mb: float = 4) -> DataFrame:
     """SCORES of every whole text; documents whose crc32(id) mod 10 is 0 teach nothing.
 
-    All training tokens are counted. The network sees the training documents whose id hash is 0
-    modulo `share`, so what it learns from grows with the corpus. Null texts count as empty (the
+    All training tokens are counted, and the network sees every training document (with `share`
+    above 1 only those whose id hash is 0 modulo `share`). Null texts count as empty (the
     end token alone), repeated rows are documents each, an empty table gives an empty result.
     """
     spark = docs.sparkSession

@@ -161,6 +161,16 @@ def test_lm(docs, empty):
     assert lm.scores(empty).count() == 0
 
 
+def test_lm_learns_from_every_training_document(spark):
+    """With the query's own parameters, on documents that a sample of one in 16 by id hash leaves out."""
+    import xxhash
+
+    ids = [i for i in range(200) if xxhash.xxh3_64_intdigest(str(i)) % 16 and zlib.crc32(str(i).encode()) % 10][:40]
+    docs = spark.createDataFrame([(i, "the one word follows the other " * 60) for i in ids], "doc_id long, text string")
+    trained, begun = ({r.doc_id: r.score for r in lm.scores(docs, **given).collect()} for given in ({}, {"rounds": 0}))
+    assert len(trained) == 40 and all(trained[i] > begun[i] + 1 for i in ids)
+
+
 def test_lm_is_a_distribution():
     m = lm.Model(np.arange(70, 1, -1.0), 50.0)
     h = np.random.default_rng(0).normal(0, 1, (1, lm.H)).astype(np.float32)
