@@ -1,9 +1,11 @@
 """Nearest neighbours by cosine: a graph by NN-descent, queries by greedy search on it.
 
 The graph begins with exact neighbours within small groups, made by the signs of random
-projections (several times, each vector once a time). Then, in each round, all neighbours of a
-vector, in either direction, are shown to each other: a join brings the vectors of a
-vector's neighbours together, each learns the nearest of the others. Equal vectors are one node.
+projections (several times, each vector once a time). Then, in each round, a vector and all its
+neighbours, in either direction, are shown to each other: a join brings their vectors together, once
+for all vectors of a group, and each learns the nearest of the others. Rounds end when they change
+one edge in a thousand or less. A query ends when the nearest that it keeps have all shown their
+neighbours. All cosines are those of the original components. Equal vectors are one node.
 """
 
 from __future__ import annotations
@@ -17,20 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plenum.llm.common import save
-from plenum.llm.vectors import matrix, valid
+from plenum.llm.vectors import matrix, units, valid
 
 EDGES = "id long, other long, s double"
 
 
-def signs_and_sizes(x: np.ndarray) -> list[bytes]:
-    """Rows in a byte a component, for the graph alone; answers are measured on the originals."""
-    return list(map(bytes, np.round(x / np.abs(x).max(1, keepdims=True) * 127).astype(np.int8)))
-
-
-def small(column) -> np.ndarray:
+def small(column, kind: str) -> np.ndarray:
+    """Unit vectors of rows of bytes; kind: the type of their components, that of the table."""
     rows = column.to_pylist()
-    x = np.frombuffer(b"".join(rows), np.int8).reshape(len(rows), -1).astype(np.float32)
-    return x / np.sqrt((x * x).sum(1, keepdims=True))
+    return units(np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1).astype(np.float64)) if rows else np.zeros((0, 1))
 
 
 def edges(ids: np.ndarray, x: np.ndarray, worst: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -48,19 +45,19 @@ def flat(parts: list[tuple]) -> pa.Table:
 
 
 def merged(rows: DataFrame, k: int) -> DataFrame:
-    """EDGES of any number to the k nearest others of each id, each once."""
-    once = rows.groupBy("id", "other").agg(F.max("s").alias("s"))
+    """EDGES and `born` of any number to the k nearest others of each id, each once, as first born."""
+    once = rows.groupBy("id", "other").agg(F.max("s").alias("s"), F.min("born").alias("born"))
     return once.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("s"), "other"))).where(F.col("r") <= k).drop("r")
 
 
-def graph(nodes: DataFrame, k: int = 32, tables: int = 3, rounds: int = 5, group: int = 400, seed: int = 3) -> DataFrame:
-    """nodes(id, q) to EDGES: about the k nearest others of each, by NN-descent. q: see signs_and_sizes."""
+def graph(nodes: DataFrame, kind: str, k: int = 32, tables: int = 3, group: int = 400, seed: int = 3, delta: float = 0.001) -> DataFrame:
+    """nodes(id, q) to EDGES: about the k nearest others of each, by NN-descent. q, kind: see small."""
     n = nodes.count()
     bits = max(0, math.ceil(math.log2(max(n, 1) / group)))
 
     def deal(batches):
         for batch in batches:
-            x = small(batch.column(1))
+            x = small(batch.column(1), kind)
             rng = np.random.default_rng(seed)
             for t in range(tables if bits else 1):
                 code = (x @ rng.normal(0, 1, (x.shape[1], max(bits, 1))) > 0) @ (1 << np.arange(max(bits, 1)))
@@ -72,29 +69,40 @@ def graph(nodes: DataFrame, k: int = 32, tables: int = 3, rounds: int = 5, group
 
     def exact(table: pa.Table) -> pa.Table:
         ids = table["id"].to_numpy()
-        return flat([edges(ids, small(table["q"]), np.full(len(ids), -1.5), k)])
-
-    known = save(merged(dealt.select("t", "code", "part", "id", "q").groupBy("t", "code", "part").applyInArrow(exact, EDGES), k), "graph")
-    groups = max(1, n // 200)
-    for r in range(rounds if bits else 0):
+        return flat([edges(ids, small(table["q"], kind), np.full(len(ids), -1.5), k)])
+
+    first = dealt.select("t", "code", "part", "id", "q").groupBy("t", "code", "part").applyInArrow(exact, EDGES)
+    known = save(merged(first.withColumn("born", F.lit(0)), k), "graph")
+    home = save(dealt.where("t = 0").select("id", "code", "part"), "homes")
+    r, changed = 0, n * k
+    while bits and changed > delta * n * k:
+        r += 1
         ways = known.select("id", "other")
         back = ways.select(F.col("other").alias("id"), F.col("id").alias("other"))
         back = back.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("other", F.lit(r)), "other"))).where(F.col("r") <= k).drop("r")
         worst = known.groupBy("id").agg(F.when(F.count("*") >= k, F.min("s")).otherwise(-1.5).alias("worst"))
         shown = nodes.join(worst, "id", "left").select(F.col("id").alias("other"), "q", F.coalesce("worst", F.lit(-1.5)).alias("worst"))
-        around = ways.union(back).distinct().join(shown, "other").withColumn("part", F.pmod(F.xxhash64("id"), F.lit(groups)))
-
-        def meet(table: pa.Table) -> pa.Table:
-            at, ids, worst, x = table["id"].to_numpy(), table["other"].to_numpy(), table["worst"].to_numpy(), small(table["q"])
+        around = save(ways.union(back).union(nodes.select("id", F.col("id").alias("other"))).distinct().join(home, "id"), "around")
+        brought = around.select("code", "part", "other").distinct().join(shown, "other").select(F.col("code").alias("code2"), F.col("part").alias("part2"), F.col("other").alias("node"), "worst", "q")
+
+        def meet(table: pa.Table, given: pa.Table) -> pa.Table:
+            ids, worst = given["node"].to_numpy(), given["worst"].to_numpy()
+            if not table.num_rows or not len(ids):
+                return flat([])
+            x, sort = small(given["q"], kind), np.argsort(ids)
+            at = table["id"].to_numpy()
+            place = sort[np.searchsorted(ids[sort], table["other"].to_numpy())]
             order = np.argsort(at, kind="stable")
-            return flat([edges(ids[own], x[own], worst[own], 6) for own in np.split(order, np.flatnonzero(np.diff(at[order])) + 1) if len(own) > 1])
+            groups = np.split(place[order], np.flatnonzero(np.diff(at[order])) + 1)
+            return flat([edges(ids[own], x[own], worst[own], 6) for own in groups if len(own) > 1])
 
-        learned = around.select("part", "id", "other", "worst", "q").groupBy("part").applyInArrow(meet, EDGES)
-        known = save(merged(known.union(learned), k), "graph")
-    return known
+        learned = around.select("code", "part", "id", "other").groupBy("code", "part").cogroup(brought.groupBy("code2", "part2")).applyInArrow(meet, EDGES)
+        known = save(merged(known.union(learned.withColumn("born", F.lit(r))), k), "graph")
+        changed = known.where(F.col("born") == r).count()
+    return known.drop("born")
 
 
-def search(vectors: DataFrame, queries: str, k: int = 5, beam: int = 32, rounds: int = 4, degree: int = 32) -> DataFrame:
+def search(vectors: DataFrame, queries: str, k: int = 5, beam: int = 32, degree: int = 32) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row that the condition `queries` picks.
 
     score is the cosine of the original vectors in double precision; ties go to the smaller
@@ -102,16 +110,17 @@ def search(vectors: DataFrame, queries: str, k: int = 5, beam: int = 32, rounds:
     take no part. Repeated vec_ids: the one with the least vector stands. Fewer candidates than k:
     all that are found. An empty table gives an empty result.
     """
+    kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
     rows = save(valid(vectors).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
     stands = save(rows.groupBy("v").agg(F.min("vec_id").alias("id")), "nodes")
     members = save(rows.join(stands, "v").select("vec_id", "id"), "members")
 
     def shrink(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(signs_and_sizes(matrix(b.column(1))))], ["id", "q"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in matrix(b.column(1)).astype(kind)], pa.binary())], ["id", "q"])
 
     shrunk = save(stands.select("id", "v").mapInArrow(shrink, "id long, q binary"), "shrunk")
-    near = graph(shrunk, degree)
+    near = graph(shrunk, kind, degree)
     asked = members.where(queries).select(F.col("vec_id").alias("query"), "id")
     vector = stands.select("id", "v")
 
@@ -120,19 +129,24 @@ def search(vectors: DataFrame, queries: str, k: int = 5, beam: int = 32, rounds:
 
         def cosine(batches):
             for b in batches:
-                x, y = small(b.column(2)), small(b.column(3))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((x * y).sum(1).astype(np.float64))], ["node", "other", "s"])
+                x, y = small(b.column(2), kind), small(b.column(3), kind)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((x * y).sum(1))], ["node", "other", "s"])
 
         both = pairs.join(shrunk.select(F.col("id").alias("node"), F.col("q").alias("vn")), "node").join(shrunk.select(F.col("id").alias("other"), F.col("q").alias("vo")), "other")
         return both.select("node", "other", "vn", "vo").mapInArrow(cosine, "node long, other long, s double")
 
-    # greedy search from the query's own node: the nearest so far show their neighbours
+    # greedy search from the query's own node: the nearest so far show their neighbours, each once
     nodes = asked.select(F.col("id").alias("node")).distinct()
-    found = save(nodes.join(near.withColumnRenamed("id", "node"), "node").select("node", "other", "s"), "found")
-    for _ in range(rounds):
+    found = save(nodes.join(near.withColumnRenamed("id", "node"), "node").select("node", "other", "s", F.lit(False).alias("done")), "found")
+    while True:
         best = found.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("s"), "other"))).where(F.col("r") <= beam)
-        steps = best.select("node", F.col("other").alias("id")).join(near, "id").select("node", near["other"]).where("node <> other").distinct()
-        found = save(found.union(measure(steps.join(found, ["node", "other"], "left_anti"))), "found")
+        asking = save(best.where("NOT done").select("node", "other", "s"), "asking")
+        if asking.isEmpty():
+            break
+        steps = asking.select("node", F.col("other").alias("id")).join(near, "id").select("node", near["other"]).where("node <> other").distinct()
+        more = measure(steps.join(found, ["node", "other"], "left_anti")).withColumn("done", F.lit(False))
+        shown = found.union(asking.withColumn("done", F.lit(True))).groupBy("node", "other").agg(F.max("s").alias("s"), F.max("done").alias("done"))
+        found = save(shown.union(more), "found")
     top = found.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("s"), "other"))).where(F.col("r") <= k + 10).select("node", "other", "s")
     top = top.union(nodes.select("node", F.col("node").alias("other"), F.lit(1.0).alias("s")))
     # equal vectors: of each node its k + 1 least members can be among the answers

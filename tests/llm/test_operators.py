@@ -293,6 +293,21 @@ def test_neighbours(spark, vectors):
     assert neighbours.search(spark.createDataFrame([], VECTORS), "vec_id % 50 = 0").count() == 0
 
 
+def test_neighbours_of_near_copies(spark):
+    """Copies that differ by less than a byte a component, many more than one group holds."""
+    rng = np.random.default_rng(11)
+    x = (rng.normal(0, 1, 32) + rng.normal(0, 0.002, (3000, 32))).astype(np.float32)
+    rows = neighbours.search(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>"), "vec_id % 50 = 0").collect()
+    x = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    asked, got = np.arange(0, 3000, 50), {(r.query_id, r.vec_id) for r in rows}
+    s = x[asked] @ x.T
+    s[np.arange(len(asked)), asked] = -2
+    near = np.argsort(-s, 1)[:, :5]
+    recall = np.mean([(int(q), int(j)) in got for q, own in zip(asked, near) for j in own])
+    print("recall", recall)
+    assert len(got) == 300 and recall >= 0.9
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
