@@ -11,6 +11,8 @@ array of longest previous factors, in pieces that are made so that equal strings
 3. Runs of strings with one anchor are sent as the text they cover, once a block and content,
    with the least document. In a bucket of anchors all string starts are brought into suffix
    order; the previous and next smaller document there give the longest previous factor.
+   A bucket that is too large, one anchor in many contexts, is dealt out once more by the hash of
+   each whole string: equal strings still meet, and one string costs its bytes once a block.
 4. The answers, a bit for each string, return to the blocks, where the bytes go.
 """
 
@@ -181,7 +183,8 @@ def later_copies(data: np.ndarray, at: np.ndarray, doc: np.ndarray, span: int) -
     return out
 
 
-SENT = "block long, bucket int, size int, doc binary, n binary, text binary"
+SENT = "block long, bucket int, size int, doc binary, n binary, text binary, bytes long"
+STRINGS = "block long, bucket int, size int, sub long, n_places int, places binary, docs binary, which binary, text binary"
 MASKS = "block long, bucket int, answer binary, total long, n_distinct long"
 
 
@@ -229,6 +232,55 @@ def bucket_answers(table: pa.Table, span: int) -> pa.Table:
     return arrow({"block": table["block"].to_pylist(), "bucket": table["bucket"].to_pylist(), "answer": answers, "total": zeros, "n_distinct": zeros}, MASKS)
 
 
+def strings(row: dict, span: int) -> dict[str, list]:
+    """STRINGS of one row of runs: its strings by hash in `ways` parts, the bytes of equal ones once."""
+    docs, ns = (unpack(row[x], row["size"]).astype(np.int64) for x in ("doc", "n"))
+    data = np.frombuffer(zstandard.decompress(row["text"]), np.uint8)
+    lengths = ns + span - 1
+    at = spread(np.cumsum(lengths) - lengths, ns)
+    run = np.repeat(np.arange(len(ns)), ns)
+    place = run << 6 | at - np.repeat(np.cumsum(lengths) - lengths, ns)
+    same = grams(data, span)[at]
+    _, first, which = np.unique(same, return_index=True, return_inverse=True)
+    part = (same % np.uint64(row["ways"])).astype(np.int64)
+    order = np.lexsort((which, part))
+    out: dict[str, list] = {x.split()[0]: [] for x in STRINGS.split(", ")}
+    for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        kinds, inner = np.unique(which[own], return_inverse=True)
+        text = data[(at[first[kinds]][:, None] + np.arange(span)).ravel()]
+        for name, value in zip(out, (row["block"], row["bucket"], row["size"], int(part[own[0]]), len(own), place[own].tobytes(), docs[run[own]].tobytes(), inner.astype(np.int64).tobytes(), zstandard.compress(text.tobytes(), 1))):
+            out[name].append(value)
+    return out
+
+
+def string_answers(table: pa.Table, span: int) -> pa.Table:
+    """One part of a large bucket: of each row the places of the strings that are later copies."""
+    data, least_docs, rows = [], [], []
+    for row in table.select(["docs", "which", "text"]).to_pylist():
+        docs, which = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["which"], np.int64)
+        low = np.full(int(which.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(low, which, docs)
+        data.append(zstandard.decompress(row["text"]))
+        least_docs.append(low)
+        rows.append((docs, which))
+    low = np.concatenate(least_docs)
+    copies = later_copies(np.frombuffer(b"".join(data), np.uint8), np.arange(len(low)) * span, low, span)
+    found, begin = [], 0
+    for (docs, which), places in zip(rows, table["places"].to_pylist()):
+        gone = copies[begin + which] | (docs > low[begin + which])
+        found.append(np.frombuffer(places, np.int64)[gone].tobytes())
+        begin += int(which.max()) + 1
+    return pa.table([table["block"], table["bucket"], table["size"], pa.array(found, pa.binary())], names=["block", "bucket", "size", "places"])
+
+
+def string_masks(table: pa.Table) -> pa.Table:
+    """The answers of one block and bucket in all parts, as those of bucket_answers."""
+    places = np.frombuffer(b"".join(table["places"].to_pylist()), np.int64)
+    masks = np.zeros(table["size"][0].as_py(), np.uint64)
+    np.bitwise_or.at(masks, places >> 6, np.uint64(1) << (places & 63).astype(np.uint64))
+    return arrow({"block": [table["block"][0].as_py()], "bucket": [table["bucket"][0].as_py()], "answer": [pack(masks)], "total": [0], "n_distinct": [0]}, MASKS)
+
+
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, removed array<struct<start:long,length:long>>"
 KEPT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))])
 
@@ -261,7 +313,7 @@ def answered_sent(rows: pa.Table, keys: np.ndarray, bits: int) -> np.ndarray:
     return answered(rows, keys, bits)
 
 
-def remove_later_copies(docs: DataFrame, span: int = 50, gram: int = GRAM, block_mb: float = 4) -> DataFrame:
+def remove_later_copies(docs: DataFrame, span: int = 50, gram: int = GRAM, block_mb: float = 4, bucket_mb: float = 8) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes), removed (runs).
 
     Null text counts as empty; texts under `span` bytes stay whole. Of rows with one doc_id none
@@ -283,20 +335,33 @@ def remove_later_copies(docs: DataFrame, span: int = 50, gram: int = GRAM, block
     flags = save(global_sums(blocks.groupBy("block").applyInArrow(anchors, BLOBS)), "anchors")
 
     def send(table: pa.Table, flags: pa.Table) -> pa.Table:
-        rows = {n: [] for n in ("block", "bucket", "size", "doc", "n", "text")}
+        rows = {n: [] for n in ("block", "bucket", "size", "doc", "n", "text", "bytes")}
         if table.num_rows:
             x = local_runs(table, flags, bits, span, gram)
             at, text = bounds(x["key"][x["sent"]], bits), x["data"]
             for b in np.flatnonzero(np.diff(at)):
                 own = x["sent"][at[b] : at[b + 1]]
                 begins, n = x["start"][own], x["n"][own]
-                for name, value in zip(rows, (table["block"][0].as_py(), int(b), len(own), pack(x["doc"][own].astype(np.uint64)), pack(n), zstandard.compress(text[spread(begins, n + span - 1)].tobytes(), 1))):
+                for name, value in zip(rows, (table["block"][0].as_py(), int(b), len(own), pack(x["doc"][own].astype(np.uint64)), pack(n), zstandard.compress(text[spread(begins, n + span - 1)].tobytes(), 1), int((n + span - 1).sum()))):
                     rows[name].append(value)
         return arrow(rows, SENT)
 
     by_block = blocks.groupBy("block")
-    sent = by_block.cogroup(flags.groupBy("block")).applyInArrow(send, SENT)
-    masks = save(sent.groupBy("bucket").applyInArrow(lambda t: bucket_answers(t, span), MASKS), "copies")
+    sent = save(by_block.cogroup(flags.groupBy("block")).applyInArrow(send, SENT), "sent")
+    limit = bucket_mb * 2**20
+    large = save(sent.groupBy("bucket").agg(F.sum("bytes").alias("all")).where(F.col("all") > limit).select("bucket", F.ceil(F.col("all") * span / limit).alias("ways")), "large")
+    masks = sent.join(large, "bucket", "left_anti").groupBy("bucket").applyInArrow(lambda t: bucket_answers(t, span), MASKS)
+    if not large.isEmpty():
+
+        def part(batches):
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    yield from arrow(strings(batch.slice(k, 1).to_pylist()[0], span), STRINGS).to_batches()
+
+        dealt = sent.join(F.broadcast(large), "bucket").mapInArrow(part, STRINGS)
+        places = dealt.groupBy("bucket", "sub").applyInArrow(lambda t: string_answers(t, span), "block long, bucket int, size int, places binary")
+        masks = masks.union(places.groupBy("block", "bucket").applyInArrow(string_masks, MASKS))
+    masks = save(masks, "copies")
     answers = flags.withColumn("kind", F.lit(0)).unionByName(masks.withColumn("kind", F.lit(1)))
     kept = by_block.cogroup(answers.groupBy("block")).applyInArrow(lambda t, a: remove(t, a, bits, span, gram), KEPT)
     return kept.withColumn("doc_id", F.nullif("doc_id", F.lit(-(2**62))))

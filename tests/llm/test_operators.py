@@ -81,6 +81,19 @@ def test_suffixes(docs, empty):
     assert suffixes.remove_later_copies(empty).count() == 0
 
 
+def test_suffixes_of_one_phrase_in_many_contexts(spark, docs):
+    """One anchor's bucket goes to several tasks, with the same result."""
+    rng = np.random.default_rng(6)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 30))
+    some = [word() for _ in range(9)]
+    phrase = "a phrase that many documents hold in their own contexts"[:34]
+    rows = [(k, f"{rng.choice(some) if k % 3 else word()} {phrase} {rng.choice(some) if k % 2 else word()}") for k in range(400)] + [(k + 1000, t) for k, t in TEXTS]
+    got = suffixes.remove_later_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block_mb=0.004, bucket_mb=0.002).collect()
+    want = brute_suffixes([(i, (t or "").encode()) for i, t in rows], 50)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+    assert sum(v[1] > 0 for v in want.values()) > 100
+
+
 def test_smaller_values():
     v = np.random.default_rng(0).integers(0, 9, 400)
     before, after = suffixes.smaller(v)
