@@ -26,6 +26,19 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
 
 
+def nearest(x: np.ndarray, c: np.ndarray, rows: int = 1024, columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """The place of the nearest of c for each of x, and its distance; no more than rows x columns at once."""
+    home, far = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+    for i in range(0, len(x), rows):
+        for j in range(0, len(c), columns):
+            d = distances(x[i : i + rows], c[j : j + columns])
+            at = d.argmin(1)
+            d = d[np.arange(len(at)), at]
+            closer = d < far[i : i + rows]
+            home[i : i + rows][closer], far[i : i + rows][closer] = at[closer] + j, d[closer]
+    return home, far
+
+
 class Tree:
     """Nested levels of points: each a prefix of `order`, the last all of them.
 
@@ -140,7 +153,7 @@ def unpacked(row: dict) -> tuple[Tree, np.ndarray, np.ndarray]:
 LINKS = "a long, b long, n long"
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, node: int = 1500) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, node: int = 1500, settled: int = 16384) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row; links only within one label that is not null.
 
     Vectors that do not count (null, zero, null or non-finite components) and rows without a label
@@ -156,25 +169,24 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, node: int = 150
     # centres: of each label one in `node` vectors, by the hash of the id
     ranked = nodes.join(F.broadcast(sizes), "kind").where(F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / F.ceil(F.col("n") / node))) == 0)
     centres = save(ranked.select("kind", F.col("id").alias("centre"), F.col("v").alias("c")), "centres")
-    gathered = centres.groupBy("kind").agg(F.collect_list(F.struct("centre", "c")).alias("centres"))
-    parts = nodes.select("kind", "id", "m", "v").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
-    salted = gathered.withColumn("salt", F.explode(F.expr("sequence(0L, 63L)")))
+    # groups of a label: more the larger it is, so that none is large
+    salts = save(sizes.select("kind", F.greatest(F.lit(64).cast("long"), F.ceil(F.col("n") / settled)).alias("salts")), "salts")
+    parts = nodes.select("kind", "id", "m", "v").join(F.broadcast(salts), "kind").withColumn("salt", F.pmod(F.xxhash64("id"), "salts")).drop("salts")
+    salted = centres.join(F.broadcast(salts), "kind").select(F.col("kind").alias("of"), F.explode(F.expr("sequence(0L, salts - 1)")).alias("to"), "centre", "c")
 
     def settle(t: pa.Table, given: pa.Table) -> pa.Table:
         names = ["kind", "centre", "id", "m", "v", "d"]
         if not t.num_rows:
             return pa.table([pa.array([], x) for x in (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64())], names=names)
         x = units(matrix(t["v"]))
-        told = given["centres"][0].as_py() if given.num_rows else []
-        if told:
-            d = distances(x, units(np.array([c["c"] for c in told])))
-            home, far = d.argmin(1), d.min(1)
-            centre = np.array([c["centre"] for c in told])[home]
+        if given.num_rows:
+            home, far = nearest(x, units(matrix(given["c"])))
+            centre = given["centre"].to_numpy()[home]
         else:
             centre, far = np.full(len(x), -1), np.full(len(x), 2.0)
         return pa.table([t["kind"], pa.array(centre), t["id"], t["m"], t["v"], pa.array(far)], names=names)
 
-    placed = save(parts.groupBy("kind", "salt").cogroup(salted.groupBy("kind", "salt")).applyInArrow(settle, "kind string, centre long, id long, m long, v array<double>, d double"), "placed")
+    placed = save(parts.groupBy("kind", "salt").cogroup(salted.groupBy("of", "to")).applyInArrow(settle, "kind string, centre long, id long, m long, v array<double>, d double"), "placed")
     many = placed.groupBy("kind", "centre").agg(F.ceil(F.count("*") / (2 * node)).alias("parts"))
     reach = float(np.sqrt(2 - 2 * threshold))
 

@@ -289,6 +289,22 @@ def test_covertree(spark, vectors):
     assert covertree.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_covertree_settles_in_slices(spark, vectors):
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    x, c = rng.normal(0, 1, (20_000, 8)), rng.normal(0, 1, (3000, 8))
+    tracemalloc.start()
+    home, far = covertree.nearest(x, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    d = covertree.distances(x[:3000], c)
+    assert peak < 200e6 and (home[:3000] == d.argmin(1)).all() and np.allclose(far[:3000], d.min(1))
+    rows = spark.createDataFrame(vectors, VECTORS)
+    one, two = (sorted(covertree.near_duplicates(rows, node=40, settled=k).collect()) for k in (1, 16384))
+    assert len(one) == len(vectors) and one == two
+
+
 def test_neighbours(spark, vectors):
     rows = neighbours.search(spark.createDataFrame(vectors, VECTORS), "vec_id % 50 = 0").collect()
     x = np.array([v[1] for v in vectors[:400]] + [vectors[-1][1]], np.float32).astype(float)
