@@ -11,19 +11,22 @@ from pyspark.sql import functions as F
 from plenum.functions.text import token_estimate
 
 SKIPPED = {"script", "style", "noscript", "form", "button", "input", "img", "picture", "video", "audio", "svg", "iframe", "nav", "footer"}
-EMPTY = {"img", "input", "br", "hr", "meta", "link", "source"}
+EMPTY = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 HEADINGS = {f"h{k}": "#" * k for k in range(1, 7)}
 
 
 class Reader(HTMLParser):
-    """Collects text lines (Markdown or plain) and table cells of a page."""
+    """Collects text lines (Markdown or plain), tables in their place, and table cells of a page."""
 
     def __init__(self, markdown: bool):
         super().__init__(convert_charrefs=True)
         self.markdown, self.skip, self.lines, self.line, self.links = markdown, 0, [], [], []
+        self.skipped = ""  # the element that began what is skipped; skip: how many of its name are open
         self.tables: list[list[list[tuple[str, int, int]]]] = []
         self.open: list[int] = []
+        self.outer: list[tuple] = []  # the cells that the open tables stand in
         self.cell: list[str] | None = None
+        self.span = (1, 1)
 
     def flush(self) -> None:
         text = " ".join("".join(self.line).split())
@@ -31,61 +34,96 @@ class Reader(HTMLParser):
             self.lines.append(text)
         self.line = []
 
+    def put(self, text: str) -> None:
+        (self.line if self.cell is None else self.cell).append(text)
+
+    def part(self) -> None:
+        """A new line, or in a cell a blank."""
+        if self.cell is None:
+            self.flush()
+        else:
+            self.cell.append(" ")
+
+    def end_cell(self) -> None:
+        if self.open and self.cell is not None:
+            self.tables[self.open[-1]][-1].append((" ".join("".join(self.cell).split()), *self.span))
+        self.cell = None
+
+    def end_table(self) -> None:
+        self.end_cell()
+        self.flush()
+        number = self.open.pop()
+        rows = grid(self.tables[number], False)
+        self.lines.append(f"[table {number + 1}]")
+        if self.markdown:
+            rows = [[c.replace("|", "\\|") for c in row] for row in rows]
+            rows[1:1] = [["---"] * len(rows[0])] if rows else []
+        self.lines += ["| " + " | ".join(row) + " |" if self.markdown else "\t".join(row).strip() for row in rows]
+        self.cell, self.span = self.outer.pop()
+
     def handle_starttag(self, tag, attrs):
         given = dict(attrs)
-        if self.skip or tag in SKIPPED:
-            self.skip += tag not in EMPTY
+        if self.skip:
+            self.skip += tag == self.skipped
+        elif tag in SKIPPED:
+            self.skip, self.skipped = int(tag not in EMPTY), tag
         elif tag == "table":
-            self.flush()
+            if self.cell is None:
+                self.flush()
             self.open.append(len(self.tables))
+            self.outer.append((self.cell, self.span))
             self.tables.append([])
+            self.cell = None
         elif tag == "tr" and self.open:
+            self.end_cell()
             self.tables[self.open[-1]].append([])
         elif tag in ("td", "th") and self.open:
+            self.end_cell()
+            self.flush()
             if not self.tables[self.open[-1]]:
                 self.tables[self.open[-1]].append([])
             span = lambda n: int(given.get(n) or 1) if (given.get(n) or "1").isdigit() and int(given.get(n) or 1) > 0 else 1
             self.cell, self.span = [], (span("rowspan"), span("colspan"))
         elif tag in HEADINGS:
-            self.flush()
-            self.line.append(HEADINGS[tag] + " " if self.markdown else "")
+            self.part()
+            self.put(HEADINGS[tag] + " " if self.markdown and self.cell is None else "")
         elif tag == "a":
             self.links.append(given.get("href") or "")
-            self.line.append("[" if self.markdown else "")
+            self.put("[" if self.markdown else "")
         elif tag in ("p", "div", "li", "br", "section", "article", "main"):
-            self.flush()
-            self.line.append("- " if tag == "li" and self.markdown else "")
+            self.part()
+            self.put("- " if tag == "li" and self.markdown and self.cell is None else "")
 
     def handle_endtag(self, tag):
         if self.skip:
-            self.skip -= tag not in EMPTY
-        elif tag in ("td", "th") and self.open and self.cell is not None:
-            if self.tables[self.open[-1]]:
-                self.tables[self.open[-1]][-1].append((" ".join("".join(self.cell).split()), *self.span))
-            self.cell = None
+            self.skip -= tag == self.skipped
+        elif tag in ("td", "th") and self.open:
+            self.end_cell()
         elif tag == "table" and self.open:
-            self.lines.append(f"[table {self.open.pop() + 1}]")
+            self.end_table()
         elif tag == "a" and self.links:
             href = self.links.pop()
-            self.line.append(f"]({href})" if self.markdown else "")
+            self.put(f"]({href})" if self.markdown else "")
         elif tag in HEADINGS or tag in ("p", "div", "li"):
-            self.flush()
+            self.part()
 
     def handle_data(self, data):
         if not self.skip:
-            (self.line if self.cell is None else self.cell).append(data)
+            self.put(data)
 
 
 def read(html: str | None, markdown: bool = True) -> Reader:
     reader = Reader(markdown)
     reader.feed(html or "")
     reader.close()
+    while reader.open:
+        reader.end_table()
     reader.flush()
     return reader
 
 
-def grid(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
-    """Cells with their spans filled in; rows without text go."""
+def grid(rows: list[list[tuple[str, int, int]]], repeat: bool = True) -> list[list[str]]:
+    """Cells with their spans filled in, with the text again or empty; rows without text go."""
     out: list[dict[int, str]] = [{} for _ in rows]
     for r, row in enumerate(rows):
         c = 0
@@ -94,7 +132,7 @@ def grid(rows: list[list[tuple[str, int, int]]]) -> list[list[str]]:
                 c += 1
             for i in range(r, min(r + down, len(rows))):
                 for j in range(c, c + min(across, 1000)):
-                    out[i].setdefault(j, text)
+                    out[i].setdefault(j, text if repeat or (i, j) == (r, c) else "")
     width = max((max(x, default=-1) + 1 for x in out), default=0)
     return [line for x in out if any((line := [x.get(c, "") for c in range(width)]))]
 
@@ -116,7 +154,7 @@ def tables(pages: DataFrame) -> DataFrame:
 
     def job(batches):
         for batch in batches:
-            found = [(p, t, r, c, text.replace("|", "\\|")) for p, h in zip(batch.page_id, batch.html) for t, rows in enumerate(read(h).tables, 1) for r, line in enumerate(grid(rows)) for c, text in enumerate(line)]
+            found = [(p, t, r, c, text.replace("|", "\\|")) for p, h in zip(batch.page_id, batch.html) for t, rows in enumerate(read(h, False).tables, 1) for r, line in enumerate(grid(rows)) for c, text in enumerate(line)]
             yield pd.DataFrame(found, columns=["page_id", "table_no", "row", "col", "text"])
 
     return pages.select("page_id", "html").mapInPandas(job, "page_id long, table_no long, row long, col long, text string")
