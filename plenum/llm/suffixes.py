@@ -248,7 +248,7 @@ def strings(row: dict, span: int) -> dict[str, list]:
     for own in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
         kinds, inner = np.unique(which[own], return_inverse=True)
         text = data[(at[first[kinds]][:, None] + np.arange(span)).ravel()]
-        for name, value in zip(out, (row["block"], row["bucket"], row["size"], int(part[own[0]]), len(own), place[own].tobytes(), docs[run[own]].tobytes(), inner.astype(np.int64).tobytes(), zstandard.compress(text.tobytes(), 1))):
+        for name, value in zip(out, (row["block"], row["bucket"], row["size"], int(part[own[0]]), len(own), *(zstandard.compress(x.astype(np.int64).tobytes(), 1) for x in (place[own], docs[run[own]], inner)), zstandard.compress(text.tobytes(), 1))):
             out[name].append(value)
     return out
 
@@ -257,7 +257,7 @@ def string_answers(table: pa.Table, span: int) -> pa.Table:
     """One part of a large bucket: of each row the places of the strings that are later copies."""
     data, least_docs, rows = [], [], []
     for row in table.select(["docs", "which", "text"]).to_pylist():
-        docs, which = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["which"], np.int64)
+        docs, which = (np.frombuffer(zstandard.decompress(row[x]), np.int64) for x in ("docs", "which"))
         low = np.full(int(which.max()) + 1, np.iinfo(np.int64).max)
         np.minimum.at(low, which, docs)
         data.append(zstandard.decompress(row["text"]))
@@ -268,7 +268,7 @@ def string_answers(table: pa.Table, span: int) -> pa.Table:
     found, begin = [], 0
     for (docs, which), places in zip(rows, table["places"].to_pylist()):
         gone = copies[begin + which] | (docs > low[begin + which])
-        found.append(np.frombuffer(places, np.int64)[gone].tobytes())
+        found.append(np.frombuffer(zstandard.decompress(places), np.int64)[gone].tobytes())
         begin += int(which.max()) + 1
     return pa.table([table["block"], table["bucket"], table["size"], pa.array(found, pa.binary())], names=["block", "bucket", "size", "places"])
 
@@ -313,7 +313,7 @@ def answered_sent(rows: pa.Table, keys: np.ndarray, bits: int) -> np.ndarray:
     return answered(rows, keys, bits)
 
 
-def remove_later_copies(docs: DataFrame, span: int = 50, gram: int = GRAM, block_mb: float = 4, bucket_mb: float = 8) -> DataFrame:
+def remove_later_copies(docs: DataFrame, span: int = 50, gram: int = GRAM, block_mb: float = 4, bucket_mb: float = 24) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes), removed (runs).
 
     Null text counts as empty; texts under `span` bytes stay whole. Of rows with one doc_id none
