@@ -19,8 +19,8 @@ HALF, WIDTH, FILTERS = 128, 5, 32
 
 
 def halves(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes laid out in rows of HALF (zeros behind each document), and each document's rows; an empty one has a row of zeros."""
-    n = np.maximum(1, -(-np.diff(offsets) // HALF))
+    """Bytes laid out in rows of HALF (zeros behind each document), and each document's rows, two at least."""
+    n = np.maximum(2, -(-np.diff(offsets) // HALF))
     begins = np.cumsum(n) - n
     out = np.zeros(int(n.sum()) * HALF, np.uint8)
     lengths = np.diff(offsets)
@@ -28,44 +28,76 @@ def halves(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out.reshape(-1, HALF), n
 
 
-def responses(rows: np.ndarray, filters: np.ndarray) -> np.ndarray:
-    """The largest response of each filter that begins in each row. The next row's first bytes follow it."""
-    flat = np.concatenate([rows.ravel(), np.zeros(WIDTH - 1, np.uint8)])
+def responses(rows: np.ndarray, n: np.ndarray, filters: np.ndarray, step: int = 256) -> np.ndarray:
+    """The largest response of each filter that begins in each row; n: rows of each document.
+
+    Behind a row stand the first bytes of the document's next row, behind its last row zeros: what
+    stands beside a document in a batch has no say in its responses.
+    """
+    long = np.zeros((len(rows), HALF + WIDTH - 1), np.uint8)
+    long[:, :HALF] = rows
+    long[:-1, HALF:] = rows[1:, : WIDTH - 1]
+    long[np.cumsum(n) - 1, HALF:] = 0
     out = np.empty((len(rows), filters.shape[2]), np.float32)
-    step = 256
     for at in range(0, len(rows), step):
-        part = flat[at * HALF : (at + step) * HALF + WIDTH - 1]
-        n = len(part) - WIDTH + 1
-        total = filters[0].take(part[:n], 0)
+        part = long[at : at + step]
+        total = filters[0].take(part[:, :HALF], 0)
         for k in range(1, WIDTH):
-            total += filters[k].take(part[k : n + k], 0)
-        out[at : at + step] = total.reshape(-1, HALF, filters.shape[2]).max(1)
+            total += filters[k].take(part[:, k : k + HALF], 0)
+        out[at : at + step] = total.max(1)
     return out
 
 
 def chunk_logits(peaks: np.ndarray, n: np.ndarray, model: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Logits of chunks (two neighbouring rows of a document, or its only row) and each chunk's document."""
+    """Logits of chunks (two neighbouring rows of a document) and each chunk's document."""
     doc = np.repeat(np.arange(len(n)), n)
-    follows = np.concatenate([doc[1:] == doc[:-1], [False]])
-    begins = np.cumsum(n) - n
-    use = follows.copy()
-    use[begins[n == 1]] = True
-    first = np.flatnonzero(use)
-    both = np.where(follows[first][:, None], np.maximum(peaks[first], peaks[np.minimum(first + 1, len(peaks) - 1)]), peaks[first])
-    return np.tanh(both) @ model["w"] + model["b"], doc[first]
+    first = np.flatnonzero(doc[1:] == doc[:-1])
+    return np.tanh(np.maximum(peaks[first], peaks[first + 1])) @ model["w"] + model["b"], doc[first]
 
 
 def probabilities(column, model: dict) -> np.ndarray:
     rows, n = halves(*utf8(column))
     if not len(n):
         return np.zeros(0)
-    logits, doc = chunk_logits(responses(rows, model["filters"]), n, model)
+    logits, doc = chunk_logits(responses(rows, n, model["filters"]), n, model)
     return 1 / (1 + np.exp(-np.clip(np.bincount(doc, logits) / np.bincount(doc), -30, 30)))
 
 
-def train(rows: list[str], labels: np.ndarray, seed: int = 7, epochs: int = 6, chunks: int = 10, rate: float = 0.01) -> dict:
-    """Filters and weights from labelled texts by Adam; `chunks` random chunks of each text an epoch,
-    240 steps at least.
+def chunks(data: np.ndarray) -> np.ndarray:
+    """All chunks of a document, each with the WIDTH - 1 bytes behind it, zeros behind the last byte."""
+    n = max(1, -(-(len(data) - HALF) // HALF))
+    padded = np.zeros((n + 1) * HALF + WIDTH - 1, np.uint8)
+    padded[: len(data)] = data
+    return np.lib.stride_tricks.sliding_window_view(padded, 2 * HALF + WIDTH - 1)[::HALF]
+
+
+def peaks(x: np.ndarray, filters: np.ndarray, step: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Where in each chunk each filter's response is largest, and that response; `step` chunks at once."""
+    at, best = np.empty((len(x), filters.shape[2]), np.int64), np.empty((len(x), filters.shape[2]), np.float32)
+    for k in range(0, len(x), step):
+        part = x[k : k + step]
+        total = sum(filters[w].take(part[:, w : w + 2 * HALF], 0) for w in range(WIDTH))
+        at[k : k + step] = total.argmax(1)
+        best[k : k + step] = np.take_along_axis(total, at[k : k + step, None], 1)[:, 0]
+    return at, best
+
+
+def gradients(x: np.ndarray, owner: np.ndarray, labels: np.ndarray, weight: np.ndarray, model: dict) -> dict:
+    """Of the weighted log-loss of a batch of documents; x: all their chunks, owner: each chunk's document, ascending."""
+    at, peak = peaks(x, model["filters"])
+    peak = np.tanh(peak)
+    n = np.bincount(owner)
+    p = 1 / (1 + np.exp(-np.bincount(owner, peak @ model["w"] + model["b"]) / n))
+    g = ((p - labels) * weight / len(n) / n)[owner].astype(np.float32)
+    out = {"w": peak.T @ g, "b": g.sum(keepdims=True), "filters": np.zeros_like(model["filters"])}
+    back = g[:, None] * model["w"] * (1 - peak**2)
+    for k in range(WIDTH):
+        np.add.at(out["filters"][k], (np.take_along_axis(x, at + k, 1), np.arange(FILTERS)[None]), back)
+    return out
+
+
+def train(rows: list[str], labels: np.ndarray, seed: int = 7, epochs: int = 6, rate: float = 0.01) -> dict:
+    """Filters and weights from labelled texts by Adam, 240 steps at least; an epoch reads every chunk of every text.
 
     Filters begin as strings of bytes found in the texts. One class alone gives a constant score.
     """
@@ -84,31 +116,11 @@ def train(rows: list[str], labels: np.ndarray, seed: int = 7, epochs: int = 6, c
             model["filters"][np.arange(WIDTH), d[at : at + WIDTH], f] += 0.4
     model["filters"] -= 0.1
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.items()}
-    size, step, weight = 2 * HALF, 0, np.where(labels > 0, 0.5 / max(prior, 0.1), 0.5 / max(1 - prior, 0.1))
+    step, weight = 0, np.where(labels > 0, 0.5 / max(prior, 0.1), 0.5 / max(1 - prior, 0.1))
     for _ in range(max(epochs, -(-240 * 64 // len(data)))):
         for batch in np.array_split(rng.permutation(len(data)), max(1, len(data) // 64)):
-            taken, owner = [], []
-            for k in batch:
-                d = data[k]
-                whole = max(1, -(-max(len(d) - HALF, 1) // HALF))
-                for c in rng.permutation(whole)[:chunks]:
-                    part = np.zeros(size + WIDTH - 1, np.uint8)
-                    own = d[c * HALF : c * HALF + size + WIDTH - 1]
-                    part[: len(own)] = own
-                    taken.append(part)
-                    owner.append(k)
-            x, owner = np.array(taken), np.array(owner)
-            total = sum(model["filters"][k].take(x[:, k : k + size], 0) for k in range(WIDTH))
-            at = total.argmax(1)
-            peak = np.tanh(np.take_along_axis(total, at[:, None], 1)[:, 0])
-            uniq, inv = np.unique(owner, return_inverse=True)
-            n = np.bincount(inv)
-            p = 1 / (1 + np.exp(-np.bincount(inv, peak @ model["w"] + model["b"]) / n))
-            g = ((p - labels[uniq]) * weight[uniq] / len(uniq) / n)[inv].astype(np.float32)
-            grads = {"w": peak.T @ g, "b": g.sum(keepdims=True), "filters": np.zeros_like(model["filters"])}
-            back = g[:, None] * model["w"] * (1 - peak**2)
-            for k in range(WIDTH):
-                np.add.at(grads["filters"][k], (np.take_along_axis(x, at + k, 1), np.arange(FILTERS)[None]), back)
+            own = [chunks(data[k]) for k in batch]
+            grads = gradients(np.concatenate(own), np.repeat(np.arange(len(batch)), [len(x) for x in own]), labels[batch], weight[batch], model)
             step += 1
             for name, value in model.items():
                 a, b = moments[name]
@@ -122,7 +134,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 2500) -> dict:
     """The network from labelled documents: at most `most` of them, those with the least hash of id.
 
     labels(doc_id, quality); rows without a label teach nothing. Training runs in one task, on
-    this bounded sample alone; scoring covers every document.
+    the whole texts of this bounded sample; scoring covers every document.
     """
     marked = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     picked = docs.select("doc_id").distinct().join(marked, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -143,7 +155,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = 2500) -> dict:
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id and score (0 to 1, higher: better) of every whole text; null texts count as empty.
 
-    Repeated rows give repeated results; an empty table gives an empty one.
+    A score is of the text alone, however long and whatever rows stand beside it. Repeated rows
+    give repeated results; an empty table gives an empty one; other columns are not looked at.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
