@@ -97,8 +97,12 @@ def mixture(fit: np.ndarray, row: np.ndarray, share: np.ndarray, rounds: int) ->
     return share, loglik
 
 
-def shares(rows: list[str], model: np.ndarray, most: int = 3, penalty: float = 3.0, rounds: int = 12) -> np.ndarray:
-    """Proportions (rows x languages) within the language set that the penalised likelihood selects."""
+def shares(rows: list[str], model: np.ndarray, least: float = 0.02, penalty: float = 3.0, rounds: int = 12) -> np.ndarray:
+    """Proportions (rows x languages) within the language set that the penalised likelihood selects.
+
+    Sets of every size are tried, up to all languages to which the mixture of all gives at least
+    the share `least` of the words.
+    """
     n_langs = model.shape[1]
     out = np.zeros((len(rows), n_langs))
     words, row = word_likelihoods(rows, model)
@@ -108,8 +112,8 @@ def shares(rows: list[str], model: np.ndarray, most: int = 3, penalty: float = 3
     full, _ = mixture(fit, row, np.full((len(rows), n_langs), 1 / n_langs), rounds)
     ranks = np.argsort(np.argsort(-full, 1, kind="stable"), 1, kind="stable")
     best = np.full(len(rows), -np.inf)
-    for k in range(1, min(most, n_langs) + 1):
-        live = np.ones(len(rows), bool) if k == 1 else (full >= 0.02).sum(1) >= k
+    for k in range(1, n_langs + 1):
+        live = np.ones(len(rows), bool) if k == 1 else (full >= least).sum(1) >= k
         use = live[row]
         if not use.any():
             break
@@ -125,7 +129,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """doc_id, lang_pred, score, proportions (in the order of the model's languages) of every document.
 
     Null texts, texts without a letter, and all texts where nothing was learned: `und`, score 0.
-    Ties go to the language first in the alphabet. Repeated rows give repeated results; an empty
+    Every word of a text counts, however long the text; other columns are not looked at. Ties go to the language first in the alphabet. Repeated rows give repeated results; an empty
     table gives an empty one.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
