@@ -10,6 +10,7 @@ neighbours. All cosines are those of the original components. Equal vectors are
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql.window import Window
 from plenum.llm.common import save
 from plenum.llm.vectors import matrix, units, valid
 
+TIE = 1e-12  # more than the rounding of a cosine in double precision
 EDGES = "id long, other long, s double"
 
 
@@ -34,9 +36,13 @@ def edges(ids: np.ndarray, x: np.ndarray, worst: np.ndarray, most: int) -> tuple
     """For each row the nearest others, `most` of them, that are nearer than its worst known: id, other, cosine."""
     s = x @ x.T
     np.fill_diagonal(s, -2)
-    if len(ids) > most + 1:
-        worst = np.maximum(worst, -np.partition(-s, most, 1)[:, most])
-    i, j = np.nonzero(s > worst[:, None])
+    if len(ids) <= most + 1:
+        i, j = np.nonzero(s > worst[:, None])
+    else:  # exactly `most` of each row, also where many tie
+        j = np.argpartition(-s, most - 1, 1)[:, :most].ravel()
+        i = np.repeat(np.arange(len(ids)), most)
+        near = s[i, j] > worst[i]
+        i, j = i[near], j[near]
     return ids[i], ids[j], s[i, j].astype(np.float64)
 
 
@@ -107,11 +113,21 @@ def search(vectors: DataFrame, queries: str, k: int = 5, beam: int = 32, degree:
 
     score is the cosine of the original vectors in double precision; ties go to the smaller
     vec_id; a query is no candidate of its own. Vectors that do not count (see `vectors.valid`)
-    take no part. Repeated vec_ids: the one with the least vector stands. Fewer candidates than k:
-    all that are found. An empty table gives an empty result.
+    take no part. Only vectors of one length are compared: each length has a graph of its own.
+    Repeated vec_ids: the one with the least vector stands. Fewer candidates than k: all that are
+    found. An empty table gives an empty result; other columns are not looked at.
     """
     kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
     rows = save(valid(vectors).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
+    lengths = sorted(r[0] for r in rows.select(F.size("v")).distinct().collect())  # as many as there are kinds of vectors
+    if len(lengths) < 2:
+        return searched(rows, kind, queries, k, beam, degree)
+    found = [searched(rows.where(F.size("v") == n), kind, queries, k, beam, degree) for n in lengths]
+    return functools.reduce(DataFrame.union, found)
+
+
+def searched(rows: DataFrame, kind: str, queries: str, k: int, beam: int, degree: int) -> DataFrame:
+    """search() among rows(vec_id, v) of one length."""
     stands = save(rows.groupBy("v").agg(F.min("vec_id").alias("id")), "nodes")
     members = save(rows.join(stands, "v").select("vec_id", "id"), "members")
 
@@ -147,7 +163,10 @@ def search(vectors: DataFrame, queries: str, k: int = 5, beam: int = 32, degree:
         more = measure(steps.join(found, ["node", "other"], "left_anti")).withColumn("done", F.lit(False))
         shown = found.union(asking.withColumn("done", F.lit(True))).groupBy("node", "other").agg(F.max("s").alias("s"), F.max("done").alias("done"))
         found = save(shown.union(more), "found")
-    top = found.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("s"), "other"))).where(F.col("r") <= k + 10).select("node", "other", "s")
+    # all that are not farther than the k-th by more than the error of these cosines: ties are told apart below
+    ranked = Window.partitionBy("node").orderBy(F.desc("s"), "other")
+    last = F.min(F.when(F.col("r") <= k, F.col("s"))).over(Window.partitionBy("node"))
+    top = found.withColumn("r", F.row_number().over(ranked)).withColumn("last", last).where(F.col("s") >= F.col("last") - TIE).select("node", "other", "s")
     top = top.union(nodes.select("node", F.col("node").alias("other"), F.lit(1.0).alias("s")))
     # equal vectors: of each node its k + 1 least members can be among the answers
     least = members.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("vec_id"))).where(F.col("r") <= k + 1).select(F.col("id").alias("other"), "vec_id")
