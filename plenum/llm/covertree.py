@@ -51,20 +51,23 @@ class Tree:
 
     @classmethod
     def grown(cls, x: np.ndarray, floor: float) -> Tree:
-        """Points are taken, farthest first; a level ends when all are within half the last radius of one."""
+        """Points are taken, farthest first; a level ends when all are within half the last radius of one.
+
+        No level has a radius under `floor`; points nearer to each other than that stay below one
+        of them. A point once taken is marked by the distance -1, the first like all others.
+        """
         n = len(x)
         order, home = [int((x @ x.mean(0)).argmax())], np.zeros(n, np.int64)
         nearest = distances(x, x[order])[:, 0]
+        nearest[order[0]] = -1
         goal, sizes, homes = float(nearest.max()) / 2, [1], [home.copy()]
-        while len(order) < n:
+        while len(order) < n and goal >= floor:
             pick = int(nearest.argmax())
             if nearest[pick] <= goal:
                 if len(order) > sizes[-1]:
                     sizes.append(len(order))
                     homes.append(home.copy())
                 goal /= 2
-                if goal < floor:
-                    break
                 continue
             d = distances(x, x[[pick]])[:, 0]
             closer = d < nearest
