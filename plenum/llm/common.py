@@ -22,9 +22,15 @@ SHARED = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
+    """The folder that driver and executors share, as the session names it.
+
+    Only a session whose tasks all run in the driver's own process (local mode, as in tests) may
+    leave it unset and gets a folder of its own; on a cluster a missing setting is an error.
+    """
     folder = spark.conf.get(SHARED, None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError(f"{SHARED} must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set(SHARED, folder)
     return folder.rstrip("/")
@@ -56,6 +62,11 @@ def power_of_two(n: float) -> int:
     return 1 << max(0, math.ceil(math.log2(max(n, 1))))
 
 
+def bucket_count(size: int, limit: int, least: int, most: int) -> int:
+    """Buckets of a table of blocks: two blocks each, more where Spark allows no more buckets."""
+    return min(max(least, math.ceil(size / (2 * limit))), most)
+
+
 def write_blocks(docs: DataFrame, size: int, block_mb: float = 4) -> DataFrame:
     """docs(doc_id, text, ...) plus `block`, as a table bucketed by block; size: its bytes of text."""
     spark = docs.sparkSession
@@ -75,7 +86,7 @@ def write_blocks(docs: DataFrame, size: int, block_mb: float = 4) -> DataFrame:
 
     dealt = docs.mapInArrow(deal, T.StructType([*fields.fields, T.StructField("block", T.LongType())]))
     name = f"blocks_{uuid.uuid4().hex}"
-    n = max(partitions(spark), math.ceil(size / (2 * limit)))
+    n = bucket_count(size, limit, partitions(spark), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     dealt.write.format("parquet").option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").bucketBy(n, "block").sortBy("block").saveAsTable(name)
     return spark.table(name)
 

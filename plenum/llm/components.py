@@ -13,6 +13,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps; each round is written to the shared folder.
     Ids without links do not appear. Empty links give an empty table. A null end is no link.
+    Rounds grow with the logarithm of the longest path; if `most_rounds` do not bring the links to
+    rest, an error is raised and no component is given.
     """
     edges = save(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     before = None
@@ -29,5 +31,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components are not at rest after {most_rounds} rounds")
     own = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).union(own)
