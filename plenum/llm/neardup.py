@@ -17,73 +17,97 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plenum.llm.common import power_of_two, save, text_bytes, texts, write_blocks
 from plenum.llm.components import components
 from plenum.llm.hashstats import BLOBS, answered, arrow, blobs, global_sums
+from plenum.llm.words import PRIME as P
+from plenum.llm.words import lower_words, mixed
 
 POOL = 1 << 16
 SLACK = 1e-5  # of sums of single-precision weights
 LOW = np.uint64(0xFFFF)
 RANDOM = np.random.default_rng(4)
 R, LN_C, BETA = RANDOM.gamma(2, 1, POOL).astype(np.float32), np.log(RANDOM.gamma(2, 1, POOL)).astype(np.float32), RANDOM.random(POOL).astype(np.float32)
-P = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
 
 
 def shingles(rows: list[str], words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, key and count of each distinct shingle of each text, by row and key."""
-    seen: dict[str, int] = {}
-    tokens, sizes = [], []
-    for t in rows:
-        own = t.lower().split()
-        tokens += [seen.setdefault(w, len(seen)) for w in own]
-        sizes.append(len(own))
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in seen), np.uint64, len(seen))
-    h, n = hashes[np.array(tokens, np.int64)] if tokens else np.zeros(0, np.uint64), np.array(sizes, np.int64)
-    ends = np.cumsum(n)
-    begins = ends - n
-    count = np.where(n > 0, np.maximum(n - words + 1, 1), 0)
-    row = np.repeat(np.arange(len(n)), count)
-    at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + begins[row]
-    key = np.zeros(len(at), np.uint64)
+    if len(rows) > 1 << 16:  # rows and keys are sorted as one number
+        parts = [shingles(rows[at : at + (1 << 16)], words) for at in range(0, len(rows), 1 << 16)]
+        return np.concatenate([p[0] + (k << 16) for k, p in enumerate(parts)]), *(np.concatenate(x) for x in list(zip(*parts))[1:])
+    row, h = lower_words(rows)
+    n = np.bincount(row, minlength=len(rows))
+    key = np.zeros(max(0, len(h) - words + 1), np.uint64)
+    for k in range(words):
+        key = key * P + h[k : k + len(key)]
+    whole = row[: len(key)] == row[len(row) - len(key) :]
+    short = np.flatnonzero((n > 0) & (n < words))
+    begin, own = (np.cumsum(n) - n)[short], np.zeros(len(short), np.uint64)
     for k in range(words):
-        inside = at + k < ends[row]
-        key = key * P + np.where(inside, h[np.minimum(at + k, max(len(h) - 1, 0))], np.uint64(k + 1)) if len(h) else key
-    key = mixed(key) & ~LOW
-    order = np.lexsort((key, row))
-    row, key = row[order], key[order]
-    first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (row[1:] != row[:-1])])) if len(key) else np.zeros(0, np.int64)
-    return row[first], key[first], np.diff(np.append(first, len(key)))
+        own = own * P + np.where(k < n[short], h[np.minimum(begin + k, len(h) - 1)] if len(h) else own, np.uint64(k + 1))
+    row, key = np.concatenate([row[: len(key)][whole], short]), mixed(np.concatenate([key[whole], own])) >> np.uint64(16)
+    both = np.sort(row.astype(np.uint64) << np.uint64(48) | key)
+    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
+    both, count = both[first], np.diff(np.append(first, len(both)))
+    return (both >> np.uint64(48)).astype(np.int64), both << np.uint64(16), count
 
 
 def weights(tf: np.ndarray, df: np.ndarray, n_docs: int) -> np.ndarray:
     return (tf * (1 + np.log(n_docs / np.maximum(df, 1)) / np.log(max(n_docs, 3)))).astype(np.float32)
 
 
-def samples(row: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
-    """n consistent weighted samples (hashes of shingle and level) of each row that has shingles."""
+def draws(log_w: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Level and ln a of a consistent weighted sample, for weights and places in the pool."""
+    r, beta = R[idx], BETA[idx]
+    level = np.floor(log_w / r + beta)
+    return level, LN_C[idx] - r * (level - beta + 1)
+
+
+def ordered(x: np.ndarray) -> np.ndarray:
+    """Single-precision numbers as integers of the same order, in the upper half of 64 bits."""
+    bits = x.astype(np.float32).view(np.uint32)
+    return (bits ^ np.where(bits >> np.uint32(31), np.uint32(0xFFFFFFFF), np.uint32(0x80000000))).astype(np.uint64) << np.uint64(32)
+
+
+def samples(row: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int, common: int = 12, slice_: int = 32768) -> np.ndarray:
+    """n consistent weighted samples (hashes of shingle and level) of each row that has shingles.
+
+    What a draw gives depends on weight and place in the pool alone: for the `common` most frequent
+    weights (most shingles stand in one document) it is looked up, for all others worked out.
+    """
     begins = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(begins, len(row)))
     out = np.zeros((len(begins), n), np.uint64)
-    log_w = np.log(weight)
-    at, step = ((key >> np.uint64(16)) & LOW).astype(np.int32), ((key >> np.uint64(40)) & LOW).astype(np.int32) | 1
-    for k in range(n):
-        idx = (at + k * step) & (POOL - 1)
-        r, beta = R[idx], BETA[idx]
-        level = np.floor(log_w / r + beta)
-        log_a = LN_C[idx] - r * (level - beta + 1)
-        low = np.minimum.reduceat(log_a, begins) if len(begins) else log_a
-        hit = np.flatnonzero(log_a == np.repeat(low, sizes))
-        hit = hit[np.concatenate([[True], row[hit[1:]] != row[hit[:-1]]])] if len(hit) else hit
-        out[:, k] = mixed(key[hit] + level[hit].astype(np.int64).astype(np.uint64) * P + np.uint64(k))
+    if not len(begins):
+        return out
+    values, counts = np.unique(weight, return_counts=True)
+    values = values[np.argsort(-counts, kind="stable")[:common]]
+    place = np.arange(POOL)
+    table = np.concatenate([ordered(draws(np.full(POOL, np.log(v), np.float32), place)[1]) for v in values])
+    kind = np.full(len(weight), -1, np.int64)
+    for k, v in enumerate(values):
+        kind[weight == v] = k
+    log_w, ends = np.log(weight), np.append(begins[1:], len(row))
+    to = 0
+    while to < len(begins):
+        a, upto = begins[to], max(to + 1, int(np.searchsorted(ends, begins[to] + slice_, "right")))
+        own = slice(a, ends[upto - 1])
+        at, step = (key[own] >> np.uint64(16)).astype(np.uint16), (key[own] >> np.uint64(40)).astype(np.uint16) | np.uint16(1)
+        base, number = np.maximum(kind[own], 0) * POOL, np.arange(own.stop - a, dtype=np.uint64)
+        rare = np.flatnonzero(kind[own] < 0)
+        looked, value = np.empty(len(number), np.int64), np.empty(len(number), np.uint64)
+        for k in range(n):
+            table.take(np.add(base, at, out=looked), mode="clip", out=value)
+            if len(rare):
+                value[rare] = ordered(draws(log_w[own][rare], at[rare])[1])
+            value |= number
+            hit = (np.minimum.reduceat(value, begins[to:upto] - a) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            level = draws(log_w[own][hit], at[hit])[0]
+            out[to:upto, k] = mixed(key[own][hit] + level.astype(np.int64).astype(np.uint64) * P + np.uint64(k))
+            at += step
+        to = upto
     return out
 
 
@@ -117,6 +141,8 @@ def similarity(a: bytes, b: bytes) -> float:
     return both / whole if whole else 0.0
 
 
+BANDS = "block long, ids binary, bands binary"
+BUCKETS = "doc_id long, block long, band long, degree long"
 FEATURES = "doc_id long, f binary, whole double, keys binary, rests binary"
 OPEN = "doc_id long, component long, bands array<long>, whole double"
 
@@ -146,8 +172,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
     """One row a document: doc_id, class_id (least doc_id that links reach), kept (doc_id = class_id).
 
     Null texts count as empty; documents without a word have no copies. Rows with the same doc_id
-    are one document. Null doc_id: its own class, kept, once a row. An empty table gives an empty
-    result.
+    are one document. Null doc_id: its own class, kept, once a row. A long text is a block of its
+    own. An empty table gives an empty result; other columns are not looked at.
     """
     spark = docs.sparkSession
     nameless = docs.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept"))
@@ -158,9 +184,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
     n_docs = blocks.count()
 
     # exact copies: the least doc_id of each text stands for all of them
-    same = save(blocks.select("doc_id", F.unhex(F.sha2("text", 256)).alias("same"), (F.trim("text") != "").alias("worded")), "texts")
+    same = save(blocks.select("doc_id", "block", F.unhex(F.sha2("text", 256)).alias("same"), (F.trim("text") != "").alias("worded")), "texts")
     stands = same.groupBy("same").agg(F.min("doc_id").alias("stands"))
     copies = same.where("worded").join(stands, "same").select("doc_id", "stands")
+    resting = same.join(stands.select(F.col("stands").alias("doc_id")), "doc_id", "left_anti").select("block", "doc_id")
 
     def count(table: pa.Table) -> pa.Table:
         keys, n = np.unique(shingles(table["text"].to_pylist(), words)[1], return_counts=True)
@@ -168,26 +195,55 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
 
     by_block = blocks.groupBy("block")
     df = save(global_sums(by_block.applyInArrow(count, BLOBS)).drop("total", "n_distinct"), "df")
-    band_schema = pa.schema([("doc_id", pa.int64()), ("block", pa.int64()), ("bands", pa.list_(pa.int64()))])
-
-    def band(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return band_schema.empty_table()
-        row, key, weight, _ = block_shingles(table, answers, bits, words, n_docs)
-        drawn = samples(row, key, weight, bands * rows)
-        found = np.zeros((len(drawn), bands), np.uint64)
-        for k in range(rows):
-            found = found * P + drawn[:, k::rows]
-        found = mixed(found + np.arange(bands, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)).view(np.int64)
-        ids = table["doc_id"].to_numpy()[np.unique(row)]
-        return pa.table([pa.array(ids), pa.array(np.full(len(ids), table["block"][0].as_py())), pa.array(list(found), pa.list_(pa.int64()))], schema=band_schema)
-
-    banded = by_block.cogroup(df.groupBy("block")).applyInArrow(band, "doc_id long, block long, bands array<long>")
-    banded = save(banded.join(stands.select(F.col("stands").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "block", F.explode("bands").alias("band")), "bands")
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    met = banded.join(shared, "band")
-    degree = met.groupBy("doc_id").agg(F.sum("n").alias("degree"))  # what stands amid a group of copies meets most of them
-    buckets = save(met.drop("n").join(degree, "doc_id"), "buckets")
+
+    def band(table: pa.Table, sent: pa.Table) -> pa.Table:
+        """Bands of a block's documents, without those that another document stands for."""
+        out = {"block": [], "ids": [], "bands": []}
+        if table.num_rows:
+            row, key, weight, _ = block_shingles(table, sent.filter(sent["doc_id"].is_null()), bits, words, n_docs)
+            ids = table["doc_id"].to_numpy()
+            use = ~np.isin(ids, sent["doc_id"].drop_null().to_numpy())[row]
+            row, key, weight = row[use], key[use], weight[use]
+            drawn = samples(row, key, weight, bands * rows)
+            found = np.zeros((len(drawn), bands), np.uint64)
+            for k in range(rows):
+                found = found * P + drawn[:, k::rows]
+            found = mixed(found + np.arange(bands, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+            out = {"block": [table["block"][0].as_py()], "ids": [ids[np.unique(row)].astype("<i8").tobytes()], "bands": [found.astype("<u8").tobytes()]}
+        return arrow(out, BANDS)
+
+    few = max(0, bits - 4)
+
+    def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Documents and bands of a block, the distinct bands, and the place of each among them."""
+        found = np.frombuffer(row["bands"], "<u8").reshape(-1, bands)
+        keys, at = np.unique(found, return_inverse=True)
+        return np.frombuffer(row["ids"], "<i8"), found, keys, at.reshape(found.shape)
+
+    def tell(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, _, keys, at = unpacked(row)
+                yield from arrow(blobs(row["block"], keys, np.bincount(at.ravel(), minlength=len(keys)).astype(np.uint64), few), BLOBS).to_batches()
+
+    def meet(table: pa.Table, answers: pa.Table) -> pa.Table:
+        """The bands of a block that more documents have, and how many others each document meets in its bands."""
+        out = {"doc_id": [], "block": [], "band": [], "degree": []}
+        for row in table.to_pylist():
+            ids, found, keys, at = unpacked(row)
+            n = answered(answers, keys, few)[at].astype(np.int64)
+            i, j = np.nonzero(n > 1)
+            degree = np.where(n > 1, n, 0).sum(1)
+            out = {"doc_id": ids[i], "block": np.full(len(i), row["block"]), "band": found[i, j].view(np.int64), "degree": degree[i]}
+        return arrow(out, BUCKETS)
+
+    null = F.lit(None)
+    asked = df.select("block", "bucket", "answer", null.cast("long").alias("doc_id"))
+    told = asked.unionByName(resting.select("block", null.cast("int").alias("bucket"), null.cast("binary").alias("answer"), "doc_id"))
+    banded = save(by_block.cogroup(told.groupBy("block")).applyInArrow(band, BANDS), "bands")
+    sums = global_sums(banded.mapInArrow(tell, BLOBS)).select("block", "bucket", "answer")
+    # a document with a high degree stands amid a group of copies
+    buckets = save(banded.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(meet, BUCKETS), "buckets")
 
     def feature(table: pa.Table, sent: pa.Table) -> pa.Table:
         out = {"doc_id": [], "f": [], "whole": [], "keys": [], "rests": []}
@@ -208,8 +264,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
                 out["rests"].append(rest.astype("<f8").tobytes())
         return arrow(out, FEATURES)
 
-    wanted = buckets.select("block", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("answer"), "doc_id").distinct()
-    asked = df.select("block", "bucket", "answer", F.lit(None).cast("long").alias("doc_id")).unionByName(wanted)
+    wanted = buckets.select("block", null.cast("int").alias("bucket"), null.cast("binary").alias("answer"), "doc_id").distinct()
+    asked = asked.unionByName(wanted)
     features = save(by_block.cogroup(asked.groupBy("block")).applyInArrow(feature, FEATURES), "features")
 
     rank = F.struct("degree", -F.col("doc_id"))

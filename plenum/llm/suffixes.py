@@ -28,25 +28,13 @@ from pyspark.sql import functions as F
 
 from plenum.llm.common import power_of_two, save, text_bytes, texts, utf8, write_blocks
 from plenum.llm.hashstats import BLOBS, answered, arrow, blobs, bounds, global_sums, pack, unpack
+from plenum.llm.words import TABLE, contents, mixed, power
 
 GRAM = 26
-SLICE = 1 << 20
-TABLE = np.random.default_rng(20).integers(0, 2**64, 256, np.uint64) | np.uint64(1)
-PRIME = np.uint64(0x9E3779B97F4A7C15)
+STRETCH = 1 << 17  # starts looked at together: what is worked out for them fits a core's cache
 LOW = np.uint64(0xFFFF)
 
 
-def power(n: int) -> np.uint64:
-    return np.uint64(pow(int(PRIME), n, 2**64))
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = h ^ (h >> np.uint64(32))
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(29)
-    return h
-
-
 def grams(data: np.ndarray, size: int) -> np.ndarray:
     """A hash for each `size` bytes, made of those of powers of two."""
     h, n, parts = TABLE[data], 1, []
@@ -75,8 +63,8 @@ def least(values: np.ndarray, width: int) -> np.ndarray:
 def runs(data: np.ndarray, offsets: np.ndarray, span: int, gram: int) -> dict[str, np.ndarray]:
     """Runs of strings with one anchor in one document: first start, number, anchor's place and key, document."""
     found: dict[str, list] = {"start": [], "n": [], "anchor": [], "key": []}
-    for at in range(0, max(0, len(data) - span + 1), SLICE):
-        part = data[at : at + SLICE + span - 1]
+    for at in range(0, max(0, len(data) - span + 1), STRETCH):
+        part = data[at : at + STRETCH + span - 1]
         h = grams(part, gram)
         place = least((h & ~np.uint64(0xFFFFFF)) | np.arange(len(h), dtype=np.uint64), span - gram + 1) & np.uint64(0xFFFFFF)
         place = place.astype(np.int64)
@@ -95,30 +83,17 @@ def runs(data: np.ndarray, offsets: np.ndarray, span: int, gram: int) -> dict[st
     return {k: v[inside] for k, v in out.items()}
 
 
-def distinct(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys, and 1 or 2: in one document of the block or in more."""
+def distinct(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, 1 or 2 (in one document of the block or in more), and each key's place among them."""
     order = np.argsort(key)
-    key, doc = key[order], doc[order]
+    key, doc, place = key[order], doc[order], np.empty(len(key), np.int64)
     if not len(key):
-        return key, np.zeros(0, np.uint64)
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        return key, np.zeros(0, np.uint64), place
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    first = np.flatnonzero(new)
+    place[order] = np.cumsum(new) - 1
     more = np.maximum.reduceat(doc, first) != np.minimum.reduceat(doc, first)
-    return key[first], more.astype(np.uint64) + np.uint64(1)
-
-
-def contents(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """A hash of each data[start:start + length]; start ascends."""
-    out = np.zeros(len(start), np.uint64)
-    if not len(start):
-        return out
-    most = min(len(data), SLICE + int(length.max()))
-    steps, back = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(most, x, np.uint64)]), dtype=np.uint64) for x in (PRIME, np.uint64(pow(int(PRIME), -1, 2**64))))
-    for at in range(0, len(data), SLICE):
-        own = slice(*np.searchsorted(start, [at, at + SLICE]))
-        part, first = data[at : at + most], start[own] - at
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(TABLE[part] * steps[: len(part)], dtype=np.uint64)])
-        out[own] = (sums[first + length[own]] - sums[first]) * back[first] + length[own].astype(np.uint64) * TABLE[7]
-    return mixed(out)
+    return key[first], more.astype(np.uint64) + np.uint64(1), place
 
 
 def spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -194,9 +169,9 @@ def local_runs(table: pa.Table, flags: pa.Table, bits: int, span: int, gram: int
     ids = table["doc_id"].to_numpy()
     r = runs(data, offsets, span, gram)
     r["key"] = r["key"] & ~LOW
-    keys, _ = distinct(r["key"], ids[r["doc"]])
-    shared = answered(flags, keys, bits) > 1
-    r = {k: v[shared[np.searchsorted(keys, r["key"])]] for k, v in r.items()}
+    keys, _, place = distinct(r["key"], ids[r["doc"]])
+    shared = (answered(flags, keys, bits) > 1)[place]
+    r = {k: v[shared] for k, v in r.items()}
     doc = ids[r["doc"]]
     same = contents(data, r["start"], r["n"] + span - 1) ^ (r["anchor"] - r["start"]).astype(np.uint64)
     order = np.lexsort((doc, same, r["key"]))
@@ -289,15 +264,13 @@ def remove(table: pa.Table, answers: pa.Table, bits: int, span: int, gram: int)
     """What is left of a block's documents."""
     kinds = answers["kind"].to_numpy()
     x = local_runs(table, answers.filter(pa.array(kinds == 0)), bits, span, gram)
-    masks = answered_sent(answers.filter(pa.array(kinds == 1)), x["key"][x["sent"]], bits)[x["number"]] if len(x["sent"]) else np.zeros(0, np.uint64)
+    masks = answered(answers.filter(pa.array(kinds == 1)), x["key"][x["sent"]], bits)[x["number"]] if len(x["sent"]) else np.zeros(0, np.uint64)
     masks = np.where(x["doc"] > x["doc"][x["sent"]][x["number"]], np.uint64(2**64 - 1), masks) if len(masks) else masks
     at = spread(x["start"], x["n"])
     bit = (at - np.repeat(x["start"], x["n"])).astype(np.uint64)
     at = at[(np.repeat(masks, x["n"]) >> bit & np.uint64(1)).astype(bool)]
-    steps = np.zeros(len(x["data"]) + span + 1, np.int32)
-    np.add.at(steps, at, 1)
-    np.add.at(steps, at + span, -1)
-    gone = np.cumsum(steps[: len(x["data"])], dtype=np.int32) > 0
+    n = len(x["data"]) + span
+    gone = np.cumsum(np.bincount(at, minlength=n) - np.bincount(at + span, minlength=n))[: len(x["data"])] > 0
     offsets, out = x["offsets"], {n: [] for n in KEPT_SCHEMA.names}
     for k, doc_id in enumerate(x["ids"].tolist()):
         own, lost = x["data"][offsets[k] : offsets[k + 1]], gone[offsets[k] : offsets[k + 1]]
@@ -308,11 +281,6 @@ def remove(table: pa.Table, answers: pa.Table, bits: int, span: int, gram: int)
     return pa.table(out, schema=KEPT_SCHEMA)
 
 
-def answered_sent(rows: pa.Table, keys: np.ndarray, bits: int) -> np.ndarray:
-    """Masks in the order of the runs sent (by key, keys may repeat)."""
-    return answered(rows, keys, bits)
-
-
 def remove_later_copies(docs: DataFrame, span: int = 50, gram: int = GRAM, block_mb: float = 4, bucket_mb: float = 24) -> DataFrame:
     """One row a document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes), removed (runs).
 
@@ -330,7 +298,7 @@ def remove_later_copies(docs: DataFrame, span: int = 50, gram: int = GRAM, block
     def anchors(table: pa.Table) -> pa.Table:
         data, offsets = utf8(table["text"])
         r = runs(data, offsets, span, gram)
-        return arrow(blobs(table["block"][0].as_py(), *distinct(r["key"] & ~LOW, table["doc_id"].to_numpy()[r["doc"]]), bits), BLOBS)
+        return arrow(blobs(table["block"][0].as_py(), *distinct(r["key"] & ~LOW, table["doc_id"].to_numpy()[r["doc"]])[:2], bits), BLOBS)
 
     flags = save(global_sums(blocks.groupBy("block").applyInArrow(anchors, BLOBS)), "anchors")
 
