@@ -15,38 +15,40 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plenum.llm.common import power_of_two, save, text_bytes, texts, write_blocks
+from plenum.llm.common import blocks_of, power_of_two, save, text_bytes, texts, utf8, write_blocks
 from plenum.llm.hashstats import BLOBS, answered, arrow, blobs, global_sums
+from plenum.llm.words import ASCII_SPACES, words
 
-H, E, CLASS, SPAN = 32, 24, 32, 32
-END = " "  # no word holds a blank
+H, E, CLASS, SPAN = 24, 16, 32, 32
+END = np.uint64(0x5DEECE66D0B0E0FF)  # stands for the end of a text among the hashes of words
 LN10 = np.log(10)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def held_out(doc_ids: list) -> np.ndarray:
     return np.array([zlib.crc32(str(i).encode()) % 10 == 0 for i in doc_ids], bool)
 
 
-def tokens(rows: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All tokens as places in the sorted distinct hashes of the rows' words, those hashes, and the rows' lengths."""
-    seen: dict[bytes, int] = {END.encode(): 0}
-    found, sizes = [], []
-    for t in rows:
-        own = t.encode().lower().split()
-        found += [seen.setdefault(w, len(seen)) for w in own]
-        found.append(0)
-        sizes.append(len(own) + 1)
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in seen), np.uint64, len(seen))
-    keys, place = np.unique(hashes, return_inverse=True)
-    return place[np.array(found, np.int64)], keys, np.array(sizes, np.int64)
-
-
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def tokens(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens of a text column as places in their sorted distinct hashes, those hashes, and the rows' lengths."""
+    data, offsets = utf8(pc.binary_join_element_wise(column, "", " "))
+    begin, h = words(LOWER[data], ASCII_SPACES)
+    sizes = np.diff(np.searchsorted(begin, offsets)) + 1
+    row = np.repeat(np.arange(len(sizes)), sizes - 1)
+    every = np.full(len(h) + len(sizes), END)
+    every[np.arange(len(h)) + row] = h
+    coded = pc.dictionary_encode(pa.array(every))
+    keys = coded.dictionary.to_numpy()
+    order = np.argsort(keys)
+    rank = np.empty(len(keys), np.int64)
+    rank[order] = np.arange(len(keys))
+    return rank[coded.indices.to_numpy()], keys[order], sizes
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -55,42 +57,76 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Ids 0 to n - 1: frequent words by rank; n: all others; n + 1: begin of a text."""
+    """Ids 0 to n - 1: frequent words by rank; n: all others; n + 1: begin of a text.
+
+    All parameters lie in one array, `flat`; `p` holds views of it by name. Gates are z (what is
+    kept of the state), r (what of it the candidate sees) and the candidate n.
+    """
 
-    def __init__(self, counts: np.ndarray, others: float, params: dict | None = None):
+    def __init__(self, counts: np.ndarray, others: float, flat: np.ndarray | None = None):
         self.n = len(counts)
         self.classes = -(-self.n // CLASS)
-        rng = np.random.default_rng(5)
-        shapes = {"emb": (self.n + 2, E), "wx": (E, 3 * H), "wh": (H, 3 * H), "b": (3 * H,), "wc": (H, self.classes + 1), "bc": (self.classes + 1,), "ww": (self.classes, H, CLASS), "bw": (self.classes, CLASS)}
-        self.p = params or {k: (rng.normal(0, 0.1, s) if len(s) > 1 else np.zeros(s)).astype(np.float32) for k, s in shapes.items()}
-        if not params:  # the outputs begin at the corpus's own frequencies
+        shapes = {"emb": (self.n + 2, E), "wx": (3, E, H), "wh": (3, H, H), "b": (3, 1, H), "wc": (H, self.classes + 1), "bc": (self.classes + 1,), "ww": (self.classes, H, CLASS), "bw": (self.classes, CLASS)}
+        self.flat = np.zeros(sum(int(np.prod(s)) for s in shapes.values()), np.float32) if flat is None else flat
+        self.p, at = {}, 0
+        for k, s in shapes.items():
+            self.p[k] = self.flat[at : at + int(np.prod(s))].reshape(s)
+            at += int(np.prod(s))
+        if flat is None:  # the outputs begin at the corpus's own frequencies
+            rng = np.random.default_rng(5)
+            for k, s in shapes.items():
+                if k[0] != "b":
+                    self.p[k][:] = rng.normal(0, 0.1, s)
             padded = np.full(self.classes * CLASS, -30.0)
             padded[: self.n] = np.log(counts + 0.1)
             self.p["bw"][:] = padded.reshape(self.classes, CLASS)
             total = np.append(np.exp(padded).reshape(self.classes, CLASS).sum(1), others + 0.1)
             self.p["bc"][:] = np.log(total / total.sum())
 
-    def step(self, h: np.ndarray, gx: np.ndarray) -> tuple:
+    def inputs(self, ids: np.ndarray) -> np.ndarray:
+        """What words as inputs give to the gates: gate, then the shape of ids, then H."""
+        return (self.p["emb"] @ self.p["wx"] + self.p["b"])[:, ids]
+
+    def step(self, h: np.ndarray, gx: np.ndarray, gates: np.ndarray, ghn: np.ndarray, out: np.ndarray) -> None:
+        """The states after h, to `out`; gx: see inputs; gates (z, r, n; each of h's shape) and ghn are filled."""
         gh = h @ self.p["wh"]
-        zr = sigmoid(gx[:, : 2 * H] + gh[:, : 2 * H])
-        z, r = zr[:, :H], zr[:, H:]
-        n = np.tanh(gx[:, 2 * H :] + r * gh[:, 2 * H :])
-        return n + z * (h - n), z, r, n, gh[:, 2 * H :]
+        zr, n = gates[:2], gates[2]
+        np.add(gx[:2], gh[:2], out=zr)
+        zr *= 0.5
+        np.tanh(zr, out=zr)
+        zr += 1
+        zr *= 0.5
+        ghn[:] = gh[2]
+        np.multiply(zr[1], ghn, out=n)
+        n += gx[2]
+        np.tanh(n, out=n)
+        np.subtract(h, n, out=out)
+        out *= zr[0]
+        out += n
+
+    def by_class(self, y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+        """The class of each target, and for each class that occurs (but that of the others) its targets' places."""
+        c = np.where(y < self.n, y // CLASS, self.classes)
+        order = np.argsort(c, kind="stable")
+        at = np.searchsorted(c[order], np.arange(self.classes + 1))
+        return c, [(k, order[at[k] : at[k + 1]]) for k in range(self.classes) if at[k] < at[k + 1]]
 
     def log_probs(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
         """ln P(y) of each state."""
-        c = np.where(y < self.n, y // CLASS, self.classes)
-        x = h @ self.p["wc"] + self.p["bc"]
+        c, classes = self.by_class(y)
+        x = h @ self.p["wc"]
+        x += self.p["bc"]
         x -= x.max(1, keepdims=True)
-        out = x[np.arange(len(y)), c] - np.log(np.exp(x).sum(1))
-        order = np.argsort(c, kind="stable")
-        at = np.searchsorted(c[order], np.arange(self.classes + 1))
-        for k in range(self.classes):
-            own = order[at[k] : at[k + 1]]
-            if len(own):
-                w = h[own] @ self.p["ww"][k] + self.p["bw"][k]
-                w -= w.max(1, keepdims=True)
-                out[own] += w[np.arange(len(own)), y[own] % CLASS] - np.log(np.exp(w).sum(1))
+        out = x[np.arange(len(y)), c]
+        np.exp(x, out=x)
+        out -= np.log(x.sum(1))
+        for k, own in classes:
+            w = h[own] @ self.p["ww"][k]
+            w += self.p["bw"][k]
+            w -= w.max(1, keepdims=True)
+            hit = w[np.arange(len(own)), y[own] % CLASS]
+            np.exp(w, out=w)
+            out[own] += hit - np.log(w.sum(1))
         return out
 
     def score(self, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -98,102 +134,114 @@ class Model:
         out = np.zeros(len(sizes))
         order = np.argsort(-sizes, kind="stable")
         begins, lengths = (np.cumsum(sizes) - sizes)[order], sizes[order]
-        table = self.p["emb"] @ self.p["wx"] + self.p["b"]
+        table = self.inputs(np.arange(self.n + 2))
         h, last, at = np.zeros((len(sizes), H), np.float32), np.full(len(sizes), self.n + 1), 0
+        gates, ghn = np.empty((3, len(sizes), H), np.float32), np.empty((len(sizes), H), np.float32)
         while len(lengths) and at < lengths[0]:
-            states, targets, docs = [], [], []
-            span = 64 if np.searchsorted(-lengths, -at, "left") < 512 else 16
-            for t in range(at, at + span):
-                live = int(np.searchsorted(-lengths, -t, "left"))
-                if not live:
-                    break
-                h[:live] = self.step(h[:live], table[last[:live]])[0]
-                y = ids[begins[:live] + t]
-                states.append(h[:live].copy())
-                targets.append(y)
-                docs.append(np.arange(live))
-                last[:live] = y
-            got = self.log_probs(np.concatenate(states), np.concatenate(targets))
-            out += np.bincount(np.concatenate(docs), got, len(out))
+            now = int(np.searchsorted(-lengths, -at, "left"))
+            span = int(min(max(16, 32768 // now), 4096, lengths[0] - at))
+            live = np.searchsorted(-lengths, -np.arange(at, at + span), "left")
+            ends = np.cumsum(live)
+            states, targets, docs = np.empty((ends[-1], H), np.float32), np.empty(ends[-1], np.int64), np.empty(ends[-1], np.int64)
+            before = h
+            for t, (m, end) in enumerate(zip(live.tolist(), ends.tolist())):
+                own = states[end - m : end]
+                self.step(before[:m], table[:, last[:m]], gates[:, :m], ghn[:m], own)
+                targets[end - m : end] = last[:m] = ids[begins[:m] + (at + t)]
+                docs[end - m : end] = np.arange(m)
+                before = own
+            h = before.copy()
+            out += np.bincount(docs, self.log_probs(states, targets), len(out))
             at += span
         result = np.empty(len(sizes))
         result[order] = out
         return result
 
-    def train(self, ids: np.ndarray, streams: int = 32, rate: float = 0.004) -> None:
-        """One pass of Adam over a run of tokens laid out in streams; gradients reach SPAN steps back."""
-        width = max(1, len(ids) // streams)
-        streams = min(streams, len(ids))
-        if not streams:
+    def train(self, ids: np.ndarray, streams: int = 128, least_steps: int = 32, rate: float = 0.008) -> None:
+        """One pass of Adam over a run of tokens laid out in streams; gradients reach SPAN steps back.
+
+        Fewer streams where the run is short, so that there are `least_steps` windows.
+        """
+        if not len(ids):
             return
+        streams = min(streams, max(1, len(ids) // (SPAN * least_steps)))
+        width = len(ids) // streams
         x = ids[: width * streams].reshape(streams, width)
         h, step = np.zeros((streams, H), np.float32), 0
-        moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
+        a, b, scratch = np.zeros_like(self.flat), np.zeros_like(self.flat), np.empty_like(self.flat)
         previous = np.concatenate([np.full((streams, 1), self.n + 1), x[:, :-1]], 1)
         for at in range(0, width, SPAN):
-            y, before = x[:, at : at + SPAN], previous[:, at : at + SPAN]
-            grads, h = self.gradients(h, before, y)
+            g, h = self.gradients(h, previous[:, at : at + SPAN], x[:, at : at + SPAN])
             step += 1
-            for k, value in self.p.items():
-                a, b = moments[k]
-                g = np.clip(grads[k], -0.2, 0.2)
-                a += 0.1 * (g - a)
-                b += 0.01 * (g * g - b)
-                value -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-6)
-
-    def gradients(self, h: np.ndarray, before: np.ndarray, y: np.ndarray) -> tuple[dict, np.ndarray]:
-        p, steps, (streams, width) = self.p, [], y.shape
+            np.clip(g, -0.2, 0.2, out=g)
+            a *= 0.9
+            a += np.multiply(g, 0.1, out=scratch)
+            g *= g
+            g *= 0.01
+            b *= 0.99
+            b += g
+            np.sqrt(b, out=scratch)
+            scratch /= np.sqrt(1 - 0.99**step)
+            scratch += 1e-6
+            np.divide(a, scratch, out=scratch)
+            scratch *= rate / (1 - 0.9**step)
+            self.flat -= scratch
+
+    def gradients(self, h: np.ndarray, before: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the mean of -ln P(y) over a window of streams, as one array like `flat`; and the states behind it."""
+        p, (streams, width) = self.p, y.shape
+        gx = self.inputs(before.T)
+        hs, gates, ghn = np.empty((width + 1, streams, H), np.float32), np.empty((3, width, streams, H), np.float32), np.empty((width, streams, H), np.float32)
+        hs[0] = h
         for t in range(width):
-            e = p["emb"][before[:, t]]
-            new, z, r, n, ghn = self.step(h, e @ p["wx"] + p["b"])
-            steps.append((h, e, z, r, n, ghn, new))
-            h = new
-        states, target = np.concatenate([s[6] for s in steps]), y.T.ravel()
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        scale = np.float32(1 / len(target))
-        c = np.where(target < self.n, target // CLASS, self.classes)
+            self.step(hs[t], gx[:, t], gates[:, t], ghn[t], hs[t + 1])
+        states, target = hs[1:].reshape(-1, H), y.T.ravel()
+        out = Model(np.zeros(self.n), 0, np.zeros_like(self.flat))
+        g, scale = out.p, np.float32(1 / len(target))
+        c, classes = self.by_class(target)
         q = softmax(states @ p["wc"] + p["bc"])
         q[np.arange(len(c)), c] -= 1
         q *= scale
-        g["wc"], g["bc"] = states.T @ q, q.sum(0)
+        g["wc"][:], g["bc"][:] = states.T @ q, q.sum(0)
         back = q @ p["wc"].T
-        order = np.argsort(c, kind="stable")
-        bounds = np.searchsorted(c[order], np.arange(self.classes + 1))
-        for k in range(self.classes):
-            own = order[bounds[k] : bounds[k + 1]]
-            if len(own):
-                w = softmax(states[own] @ p["ww"][k] + p["bw"][k])
-                w[np.arange(len(own)), target[own] % CLASS] -= 1
-                w *= scale
-                g["ww"][k], g["bw"][k] = states[own].T @ w, w.sum(0)
-                back[own] += w @ p["ww"][k].T
-        back, later, gates = back.reshape(width, streams, H), np.zeros((streams, H), np.float32), []
+        for k, own in classes:
+            w = softmax(states[own] @ p["ww"][k] + p["bw"][k])
+            w[np.arange(len(own)), target[own] % CLASS] -= 1
+            w *= scale
+            g["ww"][k], g["bw"][k] = states[own].T @ w, w.sum(0)
+            back[own] += w @ p["ww"][k].T
+        # what a state's gradient passes on to its gates, for all steps at once
+        z, r, n = gates
+        to_n = (1 - z) * (1 - n * n)
+        to_z, to_r = (hs[:-1] - n) * z * (1 - z), ghn * r * (1 - r)
+        back, later = back.reshape(width, streams, H), np.zeros((streams, H), np.float32)
+        dgh, dn, turned = gates.copy(), np.empty_like(ghn), np.ascontiguousarray(p["wh"].transpose(0, 2, 1))
         for t in range(width - 1, -1, -1):
-            h0, _, z, r, n, ghn, _ = steps[t]
-            d = back[t] + later
-            dn = d * (1 - z) * (1 - n * n)
-            dz, dr = d * (h0 - n) * z * (1 - z), dn * ghn * r * (1 - r)
-            dgh = np.concatenate([dz, dr, dn * r], 1)
-            gates.append((dgh, dn))
-            later = d * z + dgh @ p["wh"].T
-        dgh, dn = (np.concatenate([x[k] for x in reversed(gates)]) for k in range(2))
-        dgx = np.concatenate([dgh[:, : 2 * H], dn], 1)
-        g["wh"], g["wx"], g["b"] = np.concatenate([s[0] for s in steps]).T @ dgh, np.concatenate([s[1] for s in steps]).T @ dgx, dgx.sum(0)
+            d = back[t]
+            d += later
+            np.multiply(d, to_n[t], out=dn[t])
+            np.multiply(d, to_z[t], out=dgh[0, t])
+            np.multiply(dn[t], to_r[t], out=dgh[1, t])
+            np.multiply(dn[t], r[t], out=dgh[2, t])
+            later = (dgh[:, t] @ turned).sum(0)
+            d *= z[t]
+            later += d
+        dgh = dgh.reshape(3, -1, H)
+        g["wh"][:] = hs[:-1].reshape(-1, H).T @ dgh
+        dgh[2] = dn.reshape(-1, H)
         read = before.T.ravel()
         order = np.argsort(read, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], np.diff(read[order]) > 0]))
-        g["emb"][read[order[first]]] = np.add.reduceat((dgx @ p["wx"].T)[order], first)
-        return g, h
+        by_word, of = np.add.reduceat(dgh[:, order], first, 1), read[order[first]]
+        g["emb"][of] = (by_word @ p["wx"].transpose(0, 2, 1)).sum(0)
+        g["wx"][:], g["b"][:] = p["emb"][of].T @ by_word, by_word.sum(1, keepdims=True)
+        return out.flat, hs[-1]
 
     def pack(self) -> bytes:
-        return b"".join(self.p[k].astype("<f4").tobytes() for k in sorted(self.p))
+        return self.flat.astype("<f4").tobytes()
 
     def unpack(self, blob: bytes) -> Model:
-        at, new = 0, {}
-        for k in sorted(self.p):
-            new[k] = np.frombuffer(blob, "<f4", self.p[k].size, at).reshape(self.p[k].shape).copy()
-            at += 4 * self.p[k].size
-        return Model(np.zeros(self.n), 0, new)
+        return Model(np.zeros(self.n), 0, np.frombuffer(blob, "<f4").copy())
 
 
 def averaged(parts: DataFrame, width: int = 64) -> bytes | None:
@@ -213,14 +261,18 @@ def averaged(parts: DataFrame, width: int = 64) -> bytes | None:
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+LESSONS = "seq long, ids binary, n long"
+WEIGHTS = "part long, params binary, n long"
 
 
-def scores(docs: DataFrame, vocabulary: int = 1024, share: int = 1, rounds: int = 2, part_tokens: int = 400_000, block_mb: float = 4) -> DataFrame:
+def scores(docs: DataFrame, vocabulary: int = 1024, rounds: int = 4, part_tokens: int = 800_000, block_mb: float = 8) -> DataFrame:
     """SCORES of every whole text; documents whose crc32(id) mod 10 is 0 teach nothing.
 
-    All training tokens are counted, and the network sees every training document (with `share`
-    above 1 only those whose id hash is 0 modulo `share`). Null texts count as empty (the
-    end token alone), repeated rows are documents each, an empty table gives an empty result.
+    All training tokens are counted, and the network reads every training document once. The
+    documents are dealt out to parts; in each of `rounds` rounds its share of the parts begins at
+    the weights that the round before left, and what they learn is averaged. Null texts count as
+    empty (the end token alone), repeated rows are documents each, a null doc_id teaches, a long
+    text is a block of its own, an empty table gives an empty result. Other columns are not looked at.
     """
     spark = docs.sparkSession
     docs = texts(docs)
@@ -230,7 +282,7 @@ def scores(docs: DataFrame, vocabulary: int = 1024, share: int = 1, rounds: int
     by_block = blocks.groupBy("block")
 
     def count(table: pa.Table) -> pa.Table:
-        place, keys, sizes = tokens(table["text"].to_pylist())
+        place, keys, sizes = tokens(table["text"])
         teach = np.repeat(~held_out(table["doc_id"].to_pylist()), sizes)
         n = np.bincount(place[teach], minlength=len(keys)).astype(np.uint64)
         return arrow(blobs(table["block"][0].as_py(), keys, n, bits), BLOBS)
@@ -242,61 +294,58 @@ def scores(docs: DataFrame, vocabulary: int = 1024, share: int = 1, rounds: int
     known = known.orderBy(F.desc("n"), "key").limit(vocabulary).toArrow()
     answers = answers.select("block", "bucket", "answer")
 
-    words, counts = known["key"].to_numpy().view(np.uint64), known["n"].to_numpy().astype(np.float64)
+    frequent, counts = known["key"].to_numpy().view(np.uint64), known["n"].to_numpy().astype(np.float64)
     others = n_train - counts.sum()
     model = Model(counts, others)
-    order = np.argsort(words)
-    sorted_words = words[order]
+    order = np.argsort(frequent)
+    in_order = frequent[order]
 
     def own_ids(place: np.ndarray, keys: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(sorted_words, keys), max(len(words) - 1, 0))
-        return (np.where(sorted_words[at] == keys, order[at], len(words)) if len(words) else np.zeros(len(keys), np.int64))[place]
+        at = np.minimum(np.searchsorted(in_order, keys), max(len(frequent) - 1, 0))
+        return (np.where(in_order[at] == keys, order[at], len(frequent)) if len(frequent) else np.zeros(len(keys), np.int64))[place]
 
     def taught(batches):
-        for batch in batches:
-            rows, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            keep = ~held_out(ids) & np.array([xxhash.xxh3_64_intdigest(str(i)) % share == 0 for i in ids], bool)
-            chosen = [t for t, k in zip(rows, keep) if k]
-            if chosen:
-                place, keys, _ = tokens(chosen)
-                yield pa.RecordBatch.from_arrays([pa.array([own_ids(place, keys).astype("<u2").tobytes()]), pa.array([len(place)])], ["ids", "n"])
-
-    if len(words):
-        lessons = save(blocks.select("doc_id", "text").mapInArrow(taught, "ids binary, n long"), "lessons")
-        parts = max(1, round((lessons.agg(F.sum("n")).first()[0] or 0) / part_tokens))
-        lessons = save(lessons.repartition(parts), "lessons")
-        for k in range(rounds):
-            begun = spark.sparkContext.broadcast(model.pack())
+        for k, table in enumerate(blocks_of(batches, 1 << 18)):
+            chosen = table.filter(pa.array(~held_out(table["doc_id"].to_pylist())))
+            if chosen.num_rows:
+                place, keys, _ = tokens(chosen["text"])
+                yield from arrow({"seq": [TaskContext.get().partitionId() * 7919 + k], "ids": [own_ids(place, keys).astype("<u2").tobytes()], "n": [len(place)]}, LESSONS).to_batches()
 
-            def teach(batches, begun=begun, rate=0.004 / (1 + k)):
-                from pyspark import TaskContext
+    if len(frequent):
+        lessons = save(blocks.select("doc_id", "text").mapInArrow(taught, LESSONS), "lessons")
+        parts = max(rounds, round((lessons.agg(F.sum("n")).first()[0] or 0) / part_tokens))
+        lessons = lessons.withColumn("part", F.pmod("seq", F.lit(parts)))
 
-                own, ids = model.unpack(begun.value), [np.frombuffer(x, "<u2") for b in batches for x in b.column(0).to_pylist()]
-                if ids:
-                    ids = np.concatenate(ids).astype(np.int64)
-                    own.train(ids, rate=rate)
-                    yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]).cast(pa.int64()), pa.array([own.pack()]), pa.array([len(ids)])], ["part", "params", "n"])
+        def teacher(begun, rate: float):
+            def teach(table: pa.Table) -> pa.Table:
+                own, ids = model.unpack(begun.value), np.concatenate([np.frombuffer(x, "<u2") for x in table["ids"].to_pylist()]).astype(np.int64)
+                own.train(ids, rate=rate)
+                return arrow({"part": [table["part"][0].as_py()], "params": [own.pack()], "n": [len(ids)]}, WEIGHTS)
 
-            found = averaged(lessons.select("ids").mapInArrow(teach, "part long, params binary, n long"))
+            return teach
+
+        for k in range(rounds):
+            teach = teacher(spark.sparkContext.broadcast(model.pack()), 0.008 / (1 + k / 2))
+            found = averaged(lessons.where(F.pmod("part", F.lit(rounds)) == k).groupBy("part").applyInArrow(teach, WEIGHTS))
             model = model.unpack(found) if found else model
     sent = spark.sparkContext.broadcast(model.pack())
-    n_others = n_distinct - len(words)
+    n_others = n_distinct - len(frequent)
 
     def judge(table: pa.Table, given: pa.Table) -> pa.Table:
         names = [x.split()[0] for x in SCORES.split(", ")]
         out: dict[str, list] = {n: [] for n in names}
         if table.num_rows:
-            place, keys, sizes = tokens(table["text"].to_pylist())
+            place, keys, sizes = tokens(table["text"])
             c = answered(given, keys, bits).astype(np.float64)
             begins = np.cumsum(sizes) - sizes
-            base = np.log10((c + 0.1) / (n_train + 0.1 * (n_distinct + 1)))
-            ids = own_ids(place, keys)
-            score = np.add.reduceat(base[place], begins)
-            if len(words):
-                within = np.where(ids == len(words), np.log10((c[place] + 0.1) / (others + 0.1 * (n_others + 1))), 0)
+            base = np.log10((c + 0.1) / (n_train + 0.1 * (n_distinct + 1)))[place]
+            score = base = np.add.reduceat(base, begins)
+            if len(frequent):
+                ids = own_ids(place, keys)
+                within = np.where(ids == len(frequent), np.log10((c + 0.1) / (others + 0.1 * (n_others + 1)))[place], 0)
                 score = model.unpack(sent.value).score(ids, sizes) / LN10 + np.add.reduceat(within, begins)
             doc_ids = table["doc_id"].to_pylist()
-            columns = (doc_ids, held_out(doc_ids).tolist(), sizes.tolist(), np.add.reduceat((c > 0)[place].astype(np.int64), begins).tolist(), [n_train] * len(sizes), np.add.reduceat(base[place], begins).tolist(), score.tolist())
+            columns = (doc_ids, held_out(doc_ids).tolist(), sizes.tolist(), np.add.reduceat((c > 0)[place].astype(np.int64), begins).tolist(), [n_train] * len(sizes), base.tolist(), score.tolist())
             out = dict(zip(names, columns))
         return arrow(out, SCORES)
 

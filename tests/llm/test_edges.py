@@ -7,7 +7,7 @@ import pytest
 
 P = pytest.importorskip("public_tokenizers")
 
-from plenum.llm import chat, common, covertree, langid, neighbours, quality  # noqa: E402
+from plenum.llm import chat, common, covertree, langid, lm, neardup, neighbours, quality, words  # noqa: E402
 from plenum.llm.components import components  # noqa: E402
 
 
@@ -167,3 +167,86 @@ def test_bucket_count_has_a_limit():
     assert common.bucket_count(0, 4 << 20, 12, 100_000) == 12
     assert common.bucket_count(80 << 30, 4 << 20, 12, 100_000) == 10_240
     assert common.bucket_count(100 << 40, 4 << 20, 12, 100_000) == 100_000
+
+
+def brute_lm(model, ids):
+    """ln P of one document, one step and one word after the other, in double precision."""
+    p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    h, last, total = np.zeros(lm.H), model.n + 1, 0.0
+    for y in ids:
+        x = [p["emb"][last] @ p["wx"][k] + p["b"][k, 0] for k in range(3)]
+        g = [h @ p["wh"][k] for k in range(3)]
+        z, r = (1 / (1 + np.exp(-(x[k] + g[k]))) for k in range(2))
+        n = np.tanh(x[2] + r * g[2])
+        h = (1 - z) * n + z * h
+        c = y // lm.CLASS if y < model.n else model.classes
+        total += np.log(lm.softmax(h @ p["wc"] + p["bc"])[c])
+        if y < model.n:
+            total += np.log(lm.softmax(h @ p["ww"][c] + p["bw"][c])[y % lm.CLASS])
+        last = y
+    return total
+
+
+def lm_of(seed=0, n=70):
+    rng = np.random.default_rng(seed)
+    model = lm.Model(rng.integers(1, 50, n).astype(float), 20.0)
+    model.flat += rng.normal(0, 0.2, len(model.flat)).astype(np.float32)
+    return model
+
+
+def test_lm_scores_equal_a_plain_forward_pass():
+    """State carried over windows, to the end of every document, whatever stands beside it."""
+    rng = np.random.default_rng(4)
+    model, sizes = lm_of(), np.array([1, 5, 300, 64, 2, 1, 130])
+    ids = rng.integers(0, model.n + 1, sizes.sum())
+    want = [brute_lm(model, own) for own in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert np.allclose(model.score(ids, sizes), want, rtol=1e-4)
+
+
+def test_lm_gradients():
+    """Against differences of the loss over a window."""
+    rng = np.random.default_rng(6)
+    model, y = lm_of(1), rng.integers(0, 71, (3, 6))
+    before = np.concatenate([np.full((3, 1), model.n + 1), y[:, :-1]], 1)
+    g, _ = model.gradients(np.zeros((3, lm.H), np.float32), before, y)
+    whole, places = lm.Model(np.zeros(70), 0, g).p, rng.integers(0, 1 << 30, (8, 6))
+    for name, drawn in zip(model.p, places):
+        flat, own = model.p[name].reshape(-1), whole[name].reshape(-1)
+        for at in {int(np.abs(own).argmax()), *(int(d) % len(flat) for d in drawn)}:
+            value, losses = flat[at], []
+            for d in (0.01, -0.01):
+                flat[at] = value + d
+                losses.append(-sum(brute_lm(model, row) for row in y) / y.size)
+            flat[at] = value
+            assert abs((losses[0] - losses[1]) / 0.02 - own[at]) < 2e-4
+
+
+def test_words_as_python_parts_them():
+    rng = np.random.default_rng(9)
+    texts = ["", " ", "ÉCOLE\u2003Ünï\xa0x\x1cy", "a" * 70_000 + " b", "no\u200bbreak \u3000 İI"] + ["".join(rng.choice(list("aB \n\t\x0b\x1d\x85é"), 40)) for _ in range(50)]
+    row, h = words.lower_words(texts)
+    want = [t.lower().split() for t in texts]
+    assert np.bincount(row, minlength=len(texts)).tolist() == [len(w) for w in want]
+    names = {}
+    for word, value in zip((w for ws in want for w in ws), h.tolist()):
+        assert names.setdefault(word, value) == value
+    assert len(set(names.values())) == len(names)
+
+
+def test_samples_equal_plain_draws():
+    """Looked-up draws are those of the formula, one shingle after the other."""
+    rng = np.random.default_rng(0)
+    row = np.repeat(np.arange(9), rng.integers(1, 300, 9))
+    key = rng.integers(0, 2**48, len(row)).astype(np.uint64) << np.uint64(16)
+    weight = neardup.weights(rng.integers(1, 3, len(row)), rng.integers(1, 30, len(row)), 500)
+    got = neardup.samples(row, key, weight, 8, common=2, slice_=100)
+    for r in range(9):
+        for k in range(8):
+            best = None
+            for x, w in zip(key[row == r], weight[row == r]):
+                at = ((int(x) >> 16) + k * (int(x) >> 40 & 0xFFFF | 1)) & 0xFFFF
+                level, log_a = neardup.draws(np.log(w[None]), np.array([at]))
+                if best is None or log_a[0] < best[0]:
+                    best = log_a[0], x, level[0]
+            want = neardup.mixed(np.array([(int(best[1]) + int(best[2]) * int(neardup.P) + k) % 2**64], np.uint64))
+            assert got[r, k] == want[0]

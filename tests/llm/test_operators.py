@@ -159,7 +159,7 @@ def test_components(spark):
 
 
 def test_lm(docs, empty):
-    rows = lm.scores(docs, vocabulary=64, share=1).collect()
+    rows = lm.scores(docs, vocabulary=64).collect()
     tokens = {i: (t or "").encode().lower().split() + [None] for i, t in TEXTS}
     out = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in TEXTS}
     c = Counter(w for i, ws in tokens.items() if not out[i] for w in ws)
