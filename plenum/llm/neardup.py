@@ -185,8 +185,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
 
     # exact copies: the least doc_id of each text stands for all of them
     same = save(blocks.select("doc_id", "block", F.unhex(F.sha2("text", 256)).alias("same"), (F.trim("text") != "").alias("worded")), "texts")
-    stands = same.groupBy("same").agg(F.min("doc_id").alias("stands"))
-    copies = same.where("worded").join(stands, "same").select("doc_id", "stands")
+    stands = same.groupBy("same").agg(F.min("doc_id").alias("stands"), F.count("*").alias("n"))
     resting = same.join(stands.select(F.col("stands").alias("doc_id")), "doc_id", "left_anti").select("block", "doc_id")
 
     def count(table: pa.Table) -> pa.Table:
@@ -296,7 +295,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
         links = links.union(found)
         if not found.isEmpty():
             classes = save(components(links), "classes")
+    # a text's class goes to its copies; texts of more than one in a thousand documents, a thousand at most, are sent to all tasks
     known = classes.select(F.col("id").alias("stands"), "component")
-    placed = copies.join(known, "stands", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "stands")).alias("class_id"))
+    groups = save(stands.join(known, "stands", "left").select("same", "n", F.coalesce("component", "stands").alias("class_id")), "groups")
+    often, worded = groups.where(F.col("n") > n_docs / 1000), same.where("worded").select("doc_id", "same")
+    rest = worded.join(F.broadcast(often.select("same")), "same", "left_anti").join(groups, "same")
+    placed = worded.join(F.broadcast(often), "same").select("doc_id", "class_id").union(rest.select("doc_id", "class_id"))
+    placed = placed.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     wordless = same.where("NOT worded").select("doc_id").distinct().join(placed.select("doc_id"), "doc_id", "left_anti").withColumn("class_id", F.col("doc_id"))
     return placed.union(wordless).withColumn("kept", F.col("doc_id") == F.col("class_id")).unionByName(nameless)
