@@ -52,6 +52,17 @@ def colour(stored: Column, key: Column) -> Column:
     return F.concat(F.lit("#"), F.coalesce(stored, F.element_at(F.array(*map(F.lit, COLOURS)), (F.pmod(F.crc32(key.cast("binary")), F.lit(len(COLOURS))) + 1).cast("int"))))
 
 
+def web_colour(stored: Column) -> Column:
+    """#stored, else the one grey."""
+    return F.concat(F.lit("#"), F.coalesce(stored, F.lit("9E9E9E")))
+
+
+def item_parts(item: Column) -> tuple[Column, Column]:
+    """What stands before and behind the last colon of an item."""
+    last = F.substring_index(item, ":", -1)
+    return F.left(item, F.length(item) - F.length(last) - 1), last
+
+
 def direction(share: Column) -> Column:
     return F.when(share > 0.65, "YES").when(share < 0.35, "NO").otherwise("ABSTAIN")
 

@@ -4,20 +4,31 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plenum.session import ended
 
-def deduplicated(subjects: DataFrame) -> DataFrame:
-    """subjects(id, wiki_id, abbr, country) with `canonical`: the least id of the same wiki id or, null countries being equal, of the same abbreviation and country; chains are followed twice."""
-    def once(d: DataFrame) -> DataFrame:
-        by_wiki = F.min("canonical").over(Window.partitionBy("wiki_id"))
-        by_name = F.min("canonical").over(Window.partitionBy("abbr", "country"))
-        return d.withColumn("canonical", F.least("canonical", F.when(F.col("wiki_id").isNotNull(), by_wiki), F.when(F.col("abbr").isNotNull(), by_name)))
 
-    return once(once(subjects.withColumn("canonical", F.col("id"))))
+def deduplicated(subjects: DataFrame) -> DataFrame:
+    """subjects(id, wiki_id, abbr, country) with `canonical`: the least id that equal keys reach.
+
+    Keys are the wiki id and, null countries being equal, abbreviation and country; null wiki ids
+    and abbreviations tie nothing. Rounds end when no canonical id changes, so chains are followed
+    to their end; each round is written and ends the lineage.
+    """
+    keys = [F.struct(F.lit(1).alias("k"), F.col("wiki_id").cast("string").alias("a"), F.lit(None).cast("string").alias("b")), F.struct(F.lit(2).alias("k"), F.col("abbr").cast("string").alias("a"), F.col("country").cast("string").alias("b"))]
+    ties = subjects.select("id", F.explode(F.array(*keys)).alias("key")).where("key.a IS NOT NULL")
+    ties = ended(ties.select("id", F.to_json("key", {"ignoreNullFields": "false"}).alias("key")))
+    state = subjects.select("id", F.col("id").alias("canonical"))
+    while True:
+        low = ties.join(state, "id").groupBy("key").agg(F.min("canonical").alias("low"))
+        reached = ties.join(low, "key").groupBy("id").agg(F.min("low").alias("low"))
+        new = ended(state.join(reached, "id", "left").select("id", F.coalesce(F.least("canonical", "low"), "canonical").alias("canonical"), (F.col("low") < F.col("canonical")).alias("moved")))
+        state = new.drop("moved")
+        if new.where("moved").isEmpty():
+            return subjects.join(state, "id")
 
 
 def cascade(parties: DataFrame, registry: DataFrame) -> DataFrame:
@@ -55,25 +66,19 @@ def with_overrides(matches: DataFrame, reviewed: DataFrame) -> DataFrame:
     return matches.join(r, "key", "left").select("key", F.coalesce("r_label", "label").alias("label"), F.coalesce("r_method", "method").alias("method"))
 
 
-def pair_parties(truth: DataFrame, extracted: DataFrame) -> DataFrame:
-    """(country, year, pos, name, aliases) of both: one-to-one pairs t, x and the tier, greedy in the truth's order; a record holds few parties."""
-    cols = ["country", "year", "pos", "name", "aliases"]
-
-    def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        free, out = {r.pos: (r.name_, set(r.aliases)) for r in b.rename(columns={"name": "name_"}).sort_values("pos").itertuples()}, []
-        left = [(r.pos, r.name_, set(r.aliases)) for r in a.rename(columns={"name": "name_"}).sort_values("pos").itertuples()]
-        tiers = (("full_name", lambda n, al, x: n == x[0]), ("alias", lambda n, al, x: bool((al | {n}) & (x[1] | {x[0]}))), ("word", lambda n, al, x: any(" " not in w and w in x[0].split() for w in al | {n})))
-        for tier, same in tiers:
-            for t in list(left):
-                hits = [k for k, x in free.items() if same(t[1], t[2], x)]
-                if hits and (tier != "word" or len(hits) == 1):
-                    out.append((t[0], hits[0], tier))
-                    del free[hits[0]]
-                    left.remove(t)
-        key = (a if len(a) else b).iloc[0]
-        return pd.DataFrame([(key.country, key.year, *x) for x in out], columns=["country", "year", "t", "x", "tier"])
-
-    return truth.select(cols).groupBy("country", "year").cogroup(extracted.select(cols).groupBy("country", "year")).applyInPandas(pair, "country string, year long, t long, x long, tier string")
+def second_pass(matches: DataFrame, parties: DataFrame, groups: DataFrame, more: DataFrame) -> DataFrame:
+    """Parties that registry_match left ambiguous or without a match, tried again with more(key, aliases); the method says so."""
+    open_ = matches.where("method IN ('ambiguous', 'no_match')").select("key")
+    extra = more.select("key", F.col("aliases").alias("extra"))
+    wider = parties.join(open_, "key").join(extra, "key").select("key", "country", F.array_distinct(F.concat("aliases", "extra")).alias("aliases"))
+    again = registry_match(wider, groups).where("label IS NOT NULL").select("key", F.col("label").alias("found"), F.concat("method", F.lit("+aliases")).alias("how"))
+    return matches.join(again, "key", "left").select("key", F.coalesce("found", "label").alias("label"), F.coalesce("how", "method").alias("method"))
+
+
+def outcomes(matches: DataFrame) -> DataFrame:
+    """Number and share of parties by method, each key once."""
+    n = matches.groupBy("key").agg(F.min("method").alias("method")).groupBy("method").agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 4))  # a row a method
 
 
 def f_score(p, r):

@@ -84,12 +84,16 @@ def current_affiliation(m: Model) -> DataFrame:
     return last.where("r = 1").select(F.col("t").alias("term"), "member_id", "kind", "subject_id")
 
 
-def attendance(m: Model) -> DataFrame:
-    """Present: any vote in the session. Absent: a membership that day, and no vote."""
+def attendance(m: Model, recorded: DataFrame | None = None) -> DataFrame:
+    """Present: any vote in the session. Absent: a membership that day, and no vote.
+
+    Sessions in recorded(session_id) have their attendance already and give no rows.
+    """
     present = m.member_votes.join(m.votes.select("vote_id", "session_id"), "vote_id").select("session_id", "member_id").distinct()
     due = affiliation(m, "group").union(affiliation(m, "national")).select("session_id", "member_id").distinct()
     absent = due.join(present, ["session_id", "member_id"], "left_anti")
-    return present.withColumn("status", F.lit("present")).unionByName(absent.withColumn("status", F.lit("absent")))
+    both = present.withColumn("status", F.lit("present")).unionByName(absent.withColumn("status", F.lit("absent")))
+    return both if recorded is None else both.join(recorded.select("session_id").distinct(), "session_id", "left_anti")
 
 
 def present_count(m: Model) -> DataFrame:

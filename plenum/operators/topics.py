@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plenum.functions.text import direction
 from plenum.operators.rollcall import SUBSTANTIAL, affiliation, cast_votes, open_end, share, with_subject
+from plenum.plans.model import TOPICS as TOPIC_ORDER
 from plenum.plans.model import Model
+from plenum.session import ended
 
 
 def party_main_group(m: Model) -> DataFrame:
@@ -38,9 +43,10 @@ def country_topics(m: Model) -> DataFrame:
     return votes.groupBy("term", "topic", "country").agg(F.count("*").alias("n"), share(F.col("option") == 1).alias("share"))
 
 
-def term_indicators(m: Model) -> DataFrame:
-    """Mean of each indicator and country over the years of a term (null end: no end)."""
-    t = m.terms.select("term", F.year("d_from").alias("y0"), F.year(F.coalesce("d_to", open_end())).alias("y1"))
+def term_indicators(m: Model, as_of: Column | None = None) -> DataFrame:
+    """Mean of each indicator and country over the years of a term (null end: as_of, else no end)."""
+    end = F.coalesce("d_to", open_end() if as_of is None else as_of)
+    t = m.terms.select("term", F.year("d_from").alias("y0"), F.year(end).alias("y1"))
     return m.indicators.where("value IS NOT NULL").join(F.broadcast(t), F.col("year").between(F.col("y0"), F.col("y1"))).groupBy("term", "name", "country").agg(F.avg("value").alias("value"))  # a row a term
 
 
@@ -72,6 +78,47 @@ def correlations(m: Model) -> DataFrame:
     return by.withColumn("r", r).withColumn("p", two_sided_p(F.col("r"), F.col("n")))
 
 
+def points(m: Model) -> DataFrame:
+    """The points behind a correlation: country, indicator (x), share of yes (y)."""
+    both = country_topics(m).join(term_indicators(m), ["term", "country"])
+    return both.select("term", "topic", "name", "country", F.col("value").alias("x"), F.col("share").alias("y"))
+
+
+def lines(m: Model, beyond: float = 0.02) -> DataFrame:
+    """End points of the least-squares line of each correlation, a little beyond the outermost points."""
+    fit = points(m).groupBy("term", "topic", "name").agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("at"), (F.min("x") - beyond).alias("x1"), (F.max("x") + beyond).alias("x2"))
+    fit = fit.where("n >= 2 AND slope IS NOT NULL")
+    y = lambda x: F.col("at") + F.col("slope") * F.col(x)
+    return fit.select("term", "topic", "name", "x1", y("x1").alias("y1"), "x2", y("x2").alias("y2"))
+
+
+def rule_keys(rules: DataFrame, items: DataFrame) -> DataFrame:
+    """The keys of items(scope, key, item) that hold all items of a rule's both sides."""
+    wanted = F.split(F.concat_ws(",", "antecedents", "consequents"), ",")
+    each = rules.select("scope", "antecedents", "consequents", F.size(wanted).alias("k"), F.explode(wanted).alias("item"))
+    held = each.join(items.select("scope", "key", "item").distinct(), ["scope", "item"]).groupBy("scope", "antecedents", "consequents", "key", "k").agg(F.count("*").alias("n"))
+    return held.where("n = k").select("scope", "antecedents", "consequents", "key")
+
+
+def item_keys(cells: DataFrame, items: list[str]) -> DataFrame:
+    """Parties of cells(term, party, topic, share) whose shares have the direction of every item `topic:DIR`."""
+    wanted = [tuple(x.rsplit(":", 1)) for x in items]
+    fits = [(F.col("topic") == t) & (direction(F.col("share")) == d) for t, d in wanted]
+    return cells.groupBy("term", "party").agg(*(F.bool_or(f).alias(f"f{k}") for k, f in enumerate(fits))).where(" AND ".join(f"f{k}" for k in range(len(fits)))).select("term", "party")
+
+
+def top_rules(rules: DataFrame, n: int = 30) -> DataFrame:
+    """The n rules of greatest lift of each scope, with their place; ties by antecedents, then consequents."""
+    best = Window.partitionBy("scope").orderBy(F.desc("lift"), "antecedents", "consequents")
+    return rules.withColumn("place", F.row_number().over(best)).where(F.col("place") <= n)
+
+
+def filled_by(series: DataFrame, methods: dict[str, str], since: int = 1990) -> DataFrame:
+    """filled() with the method of each indicator's name, years from `since` on."""
+    parts = [filled(series.where(F.col("name") == name), method) for name, method in methods.items()]
+    return functools.reduce(DataFrame.unionByName, parts).where(F.col("year") >= since)
+
+
 def deviation_items(m: Model, threshold: float = 0.10) -> DataFrame:
     """key (party), item `TOPIC:ABOVE` or `TOPIC:BELOW`: a share that differs from the group's mean by more than threshold."""
     cells = party_topics(m).join(party_main_group(m), ["term", "party"])
@@ -87,9 +134,9 @@ def frequent_itemsets(items: DataFrame, min_support: float, longest: int = 3, le
     Level by level: only items that are frequent themselves are joined to pairs, only frequent
     pairs to triples.
     """
-    items = items.persist()  # read by every level; spills to disk
+    items = ended(items)  # every level is planned from here
     sizes = items.groupBy("scope", "key").agg(F.count("*").alias("k")).where(F.col("k") >= least_items)
-    rows = items.join(sizes.drop("k"), ["scope", "key"]).persist()
+    rows = items.join(sizes.drop("k"), ["scope", "key"])
     total = sizes.groupBy("scope").agg(F.count("*").cast("double").alias("total"))
 
     def frequent(level: DataFrame, names: list[str]) -> DataFrame:
@@ -116,7 +163,7 @@ def rules(sets: DataFrame, min_confidence: float = 0.7, min_lift: float = 1.15)
 
     Ties of the rounded lift: fewer antecedents, then their order.
     """
-    sets = sets.persist()
+    sets = ended(sets)
     n = F.size("items")
     masks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), 3) - 2)
     split = sets.where(n >= 2).withColumn("mask", F.explode(masks)).where(F.col("mask") < F.pow(F.lit(2), n) - 1)

@@ -38,14 +38,19 @@ add("json_fields", lambda s, d: ld.fields(read(s, d, "events"), {"k": F.get_json
 add("reject_rows", lambda s, d: ld.fields(read(s, d, "events"), {"k": F.when(F.get_json_object("props", "$.k").try_cast("long") % 3 > 0, F.lit(1))}, {"event_id": F.col("event_id")})[1].select("event_id"), "SELECT event_id FROM events WHERE coalesce(try_cast(json_extract_string(props, '$.k') AS BIGINT) % 3, 0) <= 0")
 add("json_explode_votes", lambda s, d: ld.last_is_final(read(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("ids")), "ids").selectExpr("l_orderkey", "CAST(pos AS LONG) AS pos", "CAST(vote_id AS LONG) AS vote_id", "final"), "SELECT l_orderkey, row_number() OVER w - 1 AS pos, CAST(l_linenumber AS BIGINT) AS vote_id, row_number() OVER w = count(*) OVER (PARTITION BY l_orderkey) AS final FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)")
 add("upsert_rows", lambda s, d: ld.upsert(read(s, d, "customer").select("c_custkey", "c_acctbal"), read(s, d, "customer").where("c_custkey % 3 = 0").selectExpr("c_custkey", "0.0D AS c_acctbal"), "c_custkey"), "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 0.0::DOUBLE ELSE c_acctbal END AS c_acctbal FROM customer")
-add("new_rows", lambda s, d: ld.new_only(read(s, d, "customer").select("c_custkey", "c_nationkey"), read(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+add("new_rows", lambda s, d: ld.new_only(read(s, d, "customer").select("c_custkey", "c_nationkey"), read(s, d, "orders").where("o_orderkey % 16 = 0").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 16 = 0)")
 add("stub_sessions", lambda s, d: ld.stub_sessions(read(s, d, "orders").select(F.to_date("o_orderdate").alias("day")), read(s, d, "orders").where("o_orderkey % 2 = 0").select(F.to_date("o_orderdate").alias("day"))).select(F.col("day").cast("string").alias("day")), "SELECT DISTINCT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders WHERE CAST(o_orderdate AS DATE) NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders WHERE o_orderkey % 2 = 0)")
 add("election_spells", lambda s, d: ld.election_spells(read(s, d, "orders").join(read(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).selectExpr("CAST(c_nationkey AS STRING) AS country", "year(o_orderdate) AS year", "c_mktsegment AS party", "o_orderkey % 9 = 0 AS in_government")).selectExpr("country", "party", "CAST(year_from AS LONG) AS year_from", "CAST(year_to AS LONG) AS year_to"),
     "WITH r AS (SELECT CAST(c_nationkey AS VARCHAR) AS country, year(o_orderdate) AS year, c_mktsegment AS party, o_orderkey % 9 = 0 AS g FROM orders JOIN customer ON o_custkey = c_custkey), y AS (SELECT country, year, lead(year) OVER (PARTITION BY country ORDER BY year) AS nxt FROM (SELECT DISTINCT country, year FROM r) x) SELECT DISTINCT r.country, party, year AS year_from, nxt AS year_to FROM r JOIN y USING (country, year) WHERE g")
 add("uri_parts", lambda s, d: read(s, d, "pages").select("page_id", tx.basename(F.col("url")).alias("last"), tx.digits(tx.basename(F.col("url"))).cast("long").alias("number")), "SELECT page_id, split_part(url, '/', -1) AS last, try_cast(regexp_replace(split_part(url, '/', -1), '[^0-9]', '', 'g') AS BIGINT) AS number FROM pages")
 add("iso_timestamps", lambda s, d: read(s, d, "orders").select("o_orderkey", tx.timestamp(F.concat(F.lit("http://x/"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))).alias("ts")), "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS ts FROM orders")
 add("colours", lambda s, d: read(s, d, "supplier").select("s_suppkey", tx.colour(F.lit(None).cast("string"), F.col("s_name")).alias("colour")))
-add("name_normal_forms", lambda s, d: read(s, d, "supplier").select("s_suppkey", tx.ascii_name(F.col("s_name")).alias("plain"), tx.folded_name(F.col("s_name")).alias("folded")), "SELECT s_suppkey, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')) AS plain, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')) AS folded FROM supplier")
+ACCENTED = "concat(s_name, ' \u00c9t\u00e9 (\u00fcber) N\u0303and\u00fa', s_nationkey, ' ', chr(64257))"
+add(
+    "name_normal_forms",
+    lambda s, d: read(s, d, "supplier").select("s_suppkey", tx.ascii_name(F.expr(ACCENTED.replace("chr(64257)", "'\ufb01'"))).alias("plain"), tx.folded_name(F.expr(ACCENTED.replace("chr(64257)", "'\ufb01'"))).alias("folded")),
+    "SELECT s_suppkey, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')) || ' ete nandu' || s_nationkey || ' fi' AS plain, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')) || ' ete uber nandu' || s_nationkey || ' fi' AS folded FROM supplier",
+)
 add("subject_dedup", lambda s, d: mt.deduplicated(read(s, d, "supplier").selectExpr("s_suppkey AS id", "CASE WHEN s_suppkey % 4 = 0 THEN CAST(s_suppkey % 12 AS STRING) END AS wiki_id", "CASE WHEN s_suppkey % 4 > 0 THEN left(s_name, 17) END AS abbr", "CASE WHEN s_nationkey > 3 THEN s_nationkey END AS country")).select("id", "canonical"),
     "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN min(s_suppkey) OVER (PARTITION BY s_suppkey % 4 = 0, s_suppkey % 12) ELSE min(s_suppkey) OVER (PARTITION BY s_suppkey % 4 = 0, left(s_name, 17), CASE WHEN s_nationkey > 3 THEN s_nationkey END) END AS canonical FROM supplier")
 add("match_cascade", lambda s, d: mt.cascade(read(s, d, "customer").selectExpr("c_custkey AS key", "CASE WHEN c_custkey % 3 = 0 THEN concat('Q', c_custkey) END AS wiki_id", "upper(replace(c_name, 'Customer', 'Supplier')) AS full", "c_name AS short"), read(s, d, "supplier").selectExpr("s_suppkey AS id", "concat('Q', s_suppkey) AS wiki_id", "s_name AS name")),

@@ -1,4 +1,4 @@
-"""Making this package importable on the executors."""
+"""Making this package importable on the executors, and ending lineages in the shared folder."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -25,3 +25,19 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(str(target))
     context._plenum_shipped = True
     return spark
+
+
+def ended(df: DataFrame) -> DataFrame:
+    """`df` written to the folder that the session names in spark.checkpoint.dir, and read from there.
+
+    Only a session in local mode, as in tests, may leave it unset and gets a folder of its own.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local") or "cluster" in context.master:
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()

@@ -12,8 +12,8 @@ MEMBER_VOTES = "vote_id LONG, member_id LONG, position STRING"
 
 
 def read_votes(spark: SparkSession, path: str) -> DataFrame:
-    """Votes dump, plain or gzip."""
-    return spark.read.schema(VOTES).option("header", True).csv(path)
+    """Votes dump, plain or gzip; titles may hold quotes (doubled), commas and line ends."""
+    return spark.read.schema(VOTES).option("header", True).option("escape", "\"").option("multiLine", True).csv(path)
 
 
 def read_member_votes(spark: SparkSession, path: str) -> DataFrame:

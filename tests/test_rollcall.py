@@ -8,7 +8,7 @@ import pytest
 
 from plenum.operators import rollcall as rc
 from plenum.operators import topics as tp
-from plenum.operators.matching import bootstrap, differences, pair_parties, registry_match
+from plenum.operators.matching import bootstrap, deduplicated, differences, registry_match
 from plenum.operators.pages import grid, read
 from plenum.plans.model import Model
 
@@ -88,10 +88,6 @@ def test_matching(spark):
     party = spark.createDataFrame([(1, "X", ["green left", "gl"]), (2, "X", ["labour"]), (3, "X", ["none"])], "key long, country string, aliases array<string>")
     body = spark.createDataFrame([("X", "Green Left", ["green left"]), ("X", "Labour Party", ["labour party"])], "country string, label string, aliases array<string>")
     assert {r.key: (r.label, r.method) for r in registry_match(party, body).collect()} == {1: ("Green Left", "exact_alias"), 2: ("Labour Party", "token_containment"), 3: (None, "no_match")}
-    cols = "country string, year long, pos long, name string, aliases array<string>"
-    truth = spark.createDataFrame([("X", 2020, 0, "a", ["b"]), ("X", 2020, 1, "b", [])], cols)
-    found = spark.createDataFrame([("X", 2020, 0, "b", []), ("X", 2020, 1, "a", [])], cols)
-    assert {(r.t, r.x, r.tier) for r in pair_parties(truth, found).collect()} == {(0, 1, "full_name"), (1, 0, "full_name")}
 
 
 def test_bootstrap_and_compare(spark):
@@ -125,3 +121,73 @@ def test_sql_twin(spark, name):
     names = [d[0] for d in r.description]
     want = sorted(str([x[names.index(c)] for c in sorted(names)]) for x in r.fetchall())
     assert sorted(df.columns) == sorted(names) and sorted(str([x[c] for c in sorted(names)]) for x in df.collect()) == want
+
+
+def test_pairs_in_the_order_of_truth(spark):
+    """A truth party tries all its means before the next may choose; ambiguous single words pair nothing."""
+    from plenum.operators import evaluation as ev
+
+    cols = "country string, year long, pos long, name string, abbr string"
+    truth = [("X", 2020, 0, "Croatian Democratic Union", "HDZ"), ("X", 2020, 1, "HDZ", None), ("X", 2020, 2, "Estonian Reform Party", None), ("X", 2020, 3, "Green Left", None), ("Y", 2020, 0, "Green Left", None), ("Z", 2020, 0, "Ab cd", None)]
+    found = [("X", 2020, 0, "HDZ", None), ("X", 2020, 1, "Reform", None), ("X", 2020, 2, "The Green of Left (Green Left)", None), ("Y", 2020, 0, "Green", None), ("Y", 2020, 1, "Left", None), ("Z", 2020, 0, "cd", None)]
+    t, x = (ev.named(spark.createDataFrame(rows, cols), "name", "abbr") for rows in (truth, found))
+    assert {(r.country, r.t, r.x) for r in ev.paired(t, x).collect()} == {("X", 0, 0), ("X", 2, 1), ("X", 3, 2)}
+
+
+def test_chains_of_equal_subjects(spark):
+    """A chain of wiki ids and names in turn is followed to its end; nulls tie nothing."""
+    rows = [(k, f"Q{(k + 1) // 2}", f"A{k // 2}", None if k < 8 else "C") for k in range(8)] + [(20, None, None, "C"), (21, None, None, "C"), (22, None, "A3", "C")]
+    got = {r.id: r.canonical for r in deduplicated(spark.createDataFrame(rows, "id long, wiki_id string, abbr string, country string")).collect()}
+    assert got == {k: 0 for k in range(8)} | {20: 20, 21: 21, 22: 22}
+
+
+def test_record_report_and_empty_records(spark, tmp_path):
+    from plenum.operators import evaluation as ev
+
+    kinds = "country string, year long, pos long, name string, seats long, in_government boolean"
+    truth = ev.named(spark.createDataFrame([("A", 1, 0, "One", 5, True), ("A", 1, 1, "Two", 6, None), ("B", 1, 0, "Three", 1, True)], kinds))
+    found = ev.named(spark.createDataFrame([("A", 1, 0, "one", 5, False), ("A", 1, 1, "two", 6, True), ("C", 1, 0, "four", 1, True)], kinds))
+    records = ev.record_scores(truth, found, ev.paired(truth, found))
+    got = {r.country: r for r in records.collect()}
+    assert (got["A"].tp, got["A"].strict, got["A"].government_accuracy, got["A"].existence_f1) == (2, 1, 0.0, 1.0)
+    assert (got["B"].existence_precision, got["B"].existence_f1, got["B"].fn) == (None, None, 1) and (got["C"].existence_recall, got["C"].fp) == (None, 1)
+    ev.write_report(records, str(tmp_path))
+    assert {r.country for r in spark.read.json(f"{tmp_path}/countries").collect()} == {"A", "B", "C"} and spark.read.json(f"{tmp_path}/overall").first().tp == 2
+
+
+def test_landed_files(spark, tmp_path):
+    """Dumps (plain and gzip), envelopes, bindings and arrays are read from files, and views and terms written to them."""
+    import gzip
+    import json
+
+    from plenum.operators import flatten as fl
+    from plenum.sources import landed as ld
+
+    head = "id,timestamp,display_title,count_for,count_against,count_abstention,count_did_not_vote,procedure_reference,texts_adopted_reference,is_main,procedure_type,procedure_title\n"
+    (tmp_path / "votes.csv").write_text(head + '1,2024-01-02T03:04:05Z,"A, ""b""",3,1,,2,R,,true,COD,\n2,,,0,0,0,,,,,,T\n')
+    with gzip.open(tmp_path / "members.csv.gz", "wt") as f:
+        f.write("vote_id,member_id,position\n1,7,FOR\n1,8,DID_NOT_VOTE\n1,9,AGAINST\n")
+    rows = {r.vote_id: r for r in ld.vote_rows(ld.read_votes(spark, f"{tmp_path}/votes.csv")).collect()}
+    assert rows[1].subject_text == 'A, "b"' and rows[1].outcome == "ADOPTED" and rows[1].final and not rows[1].procedural
+    assert rows[2].outcome == "LAPSED" and rows[2].subject_text == "T" and rows[2].ts is None
+    members = spark.createDataFrame([(7, 70), (8, 80)], "ep_id long, member_id long")
+    assert [tuple(r) for r in ld.member_vote_rows(ld.read_member_votes(spark, f"{tmp_path}/members.csv.gz"), members).collect()] == [(1, 70, 1)]
+    (tmp_path / "doc.json").write_text(json.dumps({"data": [{"id": 1, "tags": {"a": {"b": 1}, "c": {"b": 2}}}, {"id": 2}]}))
+    assert {r.id for r in ld.read_envelope(spark, f"{tmp_path}/doc.json", "id LONG").collect()} == {1, 2}
+    (tmp_path / "sparql.json").write_text(json.dumps({"results": {"bindings": [{"item": {"value": "Q1"}}, {"acronym": {"value": "X"}}]}}))
+    assert {tuple(r) for r in ld.read_bindings(spark, f"{tmp_path}/sparql.json", "item", "acronym").collect()} == {("Q1", ""), ("", "X")}
+    (tmp_path / "truth").mkdir()
+    (tmp_path / "truth/a.json").write_text(json.dumps({"country": "A", "parties": [{"party_name": "x"}]}))
+    (tmp_path / "truth/b.json").write_text(json.dumps({"country": "B", "parties": "none"}))
+    assert [r.country for r in ld.read_arrays(spark, f"{tmp_path}/truth/*.json", "country STRING, parties ARRAY<STRUCT<party_name: STRING>>").where("parties IS NOT NULL").collect()] == ["A"]
+    (tmp_path / "wide.tsv").write_text("unit,geo\\TIME_PERIOD\t1999 \t2000 \nT,AT\t1\t2\n")
+    wide = fl.geo_named(spark.read.csv(f"{tmp_path}/wide.tsv", sep="\t", header=True).withColumnRenamed("unit,geo\\TIME_PERIOD", "geo\\TIME_PERIOD"))
+    assert {tuple(r) for r in ld.years_to_rows(wide).collect()} == {("T,AT", "1", 1999), ("T,AT", "2", 2000)} or {r.year for r in ld.years_to_rows(wide).collect()} == {1999, 2000}
+    doc = spark.read.text(f"{tmp_path}/doc.json").withColumnRenamed("value", "doc")
+    assert sorted(r.leaf for r in fl.leaves(doc, "doc", "data/*/tags/*/b").collect()) == ["1", "2"]
+    df = spark.createDataFrame([("9", "a b/c", 1), ("10", "d", 2)], "term string, member string, n int")
+    ld.write_views(df, f"{tmp_path}/views", "term", "member")
+    assert (tmp_path / "views/term=9/member=a_b_c").is_dir()
+    ld.replace_terms(df, f"{tmp_path}/terms")
+    ld.replace_terms(spark.createDataFrame([("9", "z", 5)], df.schema), f"{tmp_path}/terms")
+    assert sorted((str(r.term), r.n) for r in spark.read.parquet(f"{tmp_path}/terms").collect()) == [("10", 2), ("9", 5)]
