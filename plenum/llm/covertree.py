@@ -1,16 +1,20 @@
 """All pairs of vectors within a cosine threshold, by cover trees and a dual traversal.
 
-Cosines of at least t are distances of unit vectors of at most sqrt(2 - 2 t). The top level of a
-label's tree is a set of centres that grows with the label; every vector belongs to its nearest
-centre, and a centre with many vectors has several nodes, so that no node is large. The levels
-below a node, radii halving, are made once and stored with it. Pairs of nodes are pruned by their
-covering radii; each pair that is left is a task, which descends both trees level by level, all
-pairs of a level at once, and goes on with those that the radii leave. Links are counted for every
-vector, and a spanning forest of them gives the components; pairs are not written out.
+Cosines of at least t are distances of unit vectors of at most sqrt(2 - 2 t). The upper levels of a
+label's tree are nested sets of its vectors, each some `fan` times the one above: all vectors go
+down together, a join a level, each from its centre to the nearest of the centres below that one.
+A lowest centre with many vectors has several nodes, so that no node is large. The levels below a
+node, radii halving, are made once and stored with it. The tree is traversed against itself in the
+same way: pairs of centres whose covering radii leave them within reach go on to the pairs of
+their children, by joins down to the nodes. Each pair of nodes that is left is a task, which
+descends both trees level by level. Links are counted for every vector, and a spanning forest of
+them gives the components; pairs are not written out.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -156,52 +160,91 @@ def unpacked(row: dict) -> tuple[Tree, np.ndarray, np.ndarray]:
 LINKS = "a long, b long, n long"
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, node: int = 1500, settled: int = 16384) -> DataFrame:
+NONE = -(2**63) + 1  # stands where a cell has no centre: everything is within its radius
+PLACED = "kind string, id long, m long, v array<double>, at array<long>, ds array<double>"
+
+
+def settled(points: DataFrame, share, most: int) -> DataFrame:
+    """PLACED with one more level: each point's nearest of the centres in its cell, and how far it is.
+
+    share: the part of a label's points that are centres now, those of least hash. A cell (kind,
+    at) of many points is dealt out to groups of about `most`, each with the cell's centres.
+    """
+    uniform = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
+    counts = save(points.groupBy("kind", "at").agg(F.ceil(F.count("*") / most).alias("salts")), "cells")
+    salted = points.join(counts, ["kind", "at"]).withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), "salts"))
+    centres = points.join(share, "kind").where(uniform < F.col("share")).select("kind", "at", F.col("id").alias("centre"), F.col("v").alias("c"))
+    sent = centres.join(counts, ["kind", "at"]).select(F.col("kind").alias("of"), F.col("at").alias("above"), F.explode(F.expr("sequence(0L, salts - 1)")).alias("to"), "centre", "c")
+
+    def settle(t: pa.Table, given: pa.Table) -> pa.Table:
+        names = ["kind", "id", "m", "v", "at", "ds"]
+        if not t.num_rows:
+            return pa.table([pa.array([], x) for x in (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.float64()))], names=names)
+        centre, far = np.full(t.num_rows, NONE), np.full(t.num_rows, 2.0)
+        if given.num_rows:
+            home, far = nearest(units(matrix(t["v"])), units(matrix(given["c"])))
+            centre = given["centre"].to_numpy()[home]
+        at = t["at"][0].as_py()
+        ds = [[*x, y] for x, y in zip(t["ds"].to_pylist(), far.tolist())]
+        return pa.table([t["kind"], t["id"], t["m"], t["v"], pa.array([[*at, c] for c in centre.tolist()], pa.list_(pa.int64())), pa.array(ds, pa.list_(pa.float64()))], names=names)
+
+    return save(salted.select("kind", "at", "salt", "id", "m", "v", "ds").groupBy("kind", "at", "salt").cogroup(sent.groupBy("of", "above", "to")).applyInArrow(settle, PLACED), "placed")
+
+
+def near_cells(placed: DataFrame, nodes: DataFrame, levels: int, reach: float) -> DataFrame:
+    """kind, a, b: pairs of lowest cells (a <= b) that the covering radii leave within reach, level by level."""
+    pairs = placed.select("kind").distinct().select("kind", F.array().cast("array<long>").alias("a"), F.array().cast("array<long>").alias("b"))
+    centres = nodes.select("kind", F.col("id").alias("centre"), F.col("v").alias("c"))
+    unit = F.transform("c", lambda x: x / F.col("norm"))
+    for level in range(1, levels + 1):
+        cells = placed.groupBy("kind", F.slice("at", 1, level).alias("at")).agg(F.max(F.element_at("ds", level)).alias("radius"))
+        cells = cells.withColumn("centre", F.element_at("at", -1)).join(centres, ["kind", "centre"], "left")
+        cells = cells.withColumn("norm", F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, x: s + x * x))).select("kind", F.slice("at", 1, level - 1).alias("above"), "at", "radius", unit.alias("c"))
+        cells = save(cells, "cells")
+        one, two = (cells.select("kind", F.col("above").alias(x), F.col("at").alias(f"at{x}"), F.col("radius").alias(f"r{x}"), F.col("c").alias(f"c{x}")) for x in "ab")
+        dot = F.aggregate(F.zip_with("ca", "cb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        apart = F.coalesce(F.sqrt(F.greatest(2 - 2 * dot, F.lit(0.0))), F.lit(0.0))
+        both = pairs.join(one, ["kind", "a"]).join(two, ["kind", "b"]).where("ata <= atb").where(apart <= F.col("ra") + F.col("rb") + reach + 1e-7)
+        pairs = save(both.select("kind", F.col("ata").alias("a"), F.col("atb").alias("b")), "pairs")
+    return pairs
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, node: int = 1500, most: int = 16384, fan: int = 64) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row; links only within one label that is not null.
 
     Vectors that do not count (null, zero, null or non-finite components) and rows without a label
     link with nothing. Equal vectors of a label link with each other and with all that one of
     them links with. Repeated vec_ids: one row each, links of any of its rows count. Null vec_id:
-    a row of its own without links. Vectors of different lengths are never compared.
+    a row of its own without links. Vectors of different lengths are never compared. An empty
+    table gives an empty result; other columns are not looked at.
     """
-    spark = vectors.sparkSession
     rows = save(valid(vectors.where("label IS NOT NULL"), F.col("label").cast("string").alias("kind")).withColumn("kind", F.concat_ws("/", "kind", F.size("v"))), "vectors")
     nodes = save(rows.groupBy("kind", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("m")), "nodes")
     members = rows.join(nodes, ["kind", "v"]).select("vec_id", "kind", "id", "m")
-    sizes = nodes.groupBy("kind").agg(F.count("*").alias("n"))
-    # centres: of each label one in `node` vectors, by the hash of the id
-    ranked = nodes.join(F.broadcast(sizes), "kind").where(F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / F.ceil(F.col("n") / node))) == 0)
-    centres = save(ranked.select("kind", F.col("id").alias("centre"), F.col("v").alias("c")), "centres")
-    # groups of a label: more the larger it is, so that none is large
-    salts = save(sizes.select("kind", F.greatest(F.lit(64).cast("long"), F.ceil(F.col("n") / settled)).alias("salts")), "salts")
-    parts = nodes.select("kind", "id", "m", "v").join(F.broadcast(salts), "kind").withColumn("salt", F.pmod(F.xxhash64("id"), "salts")).drop("salts")
-    salted = centres.join(F.broadcast(salts), "kind").select(F.col("kind").alias("of"), F.explode(F.expr("sequence(0L, salts - 1)")).alias("to"), "centre", "c")
-
-    def settle(t: pa.Table, given: pa.Table) -> pa.Table:
-        names = ["kind", "centre", "id", "m", "v", "d"]
-        if not t.num_rows:
-            return pa.table([pa.array([], x) for x in (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.float64())], names=names)
-        x = units(matrix(t["v"]))
-        if given.num_rows:
-            home, far = nearest(x, units(matrix(given["c"])))
-            centre = given["centre"].to_numpy()[home]
-        else:
-            centre, far = np.full(len(x), -1), np.full(len(x), 2.0)
-        return pa.table([t["kind"], pa.array(centre), t["id"], t["m"], t["v"], pa.array(far)], names=names)
-
-    placed = save(parts.groupBy("kind", "salt").cogroup(salted.groupBy("of", "to")).applyInArrow(settle, "kind string, centre long, id long, m long, v array<double>, d double"), "placed")
-    many = placed.groupBy("kind", "centre").agg(F.ceil(F.count("*") / (2 * node)).alias("parts"))
+    sizes = save(nodes.groupBy("kind").agg(F.count("*").alias("n")), "sizes")
+    # lowest centres: of each label one in `node` vectors; labels of one node need none
+    lowest = math.ceil((sizes.agg(F.max("n")).first()[0] or 0) / node)
+    levels = 1
+    while fan**levels < lowest:
+        levels += 1
+    placed = nodes.select("kind", "id", "m", "v", F.array().cast("array<long>").alias("at"), F.array().cast("array<double>").alias("ds"))
+    for level in range(1, levels + 1):
+        wanted = F.least(F.ceil(F.col("n") / node), F.lit(fan**level))
+        placed = settled(placed, sizes.where(wanted > 1).select("kind", (wanted / F.col("n")).alias("share")), most)
+    many = placed.groupBy("kind", "at").agg(F.ceil(F.count("*") / (2 * node)).alias("parts"))
     reach = float(np.sqrt(2 - 2 * threshold))
 
     def grow(t: pa.Table) -> pa.Table:
-        return packed(Tree.grown(units(matrix(t["v"])), reach / 4), t["kind"][0].as_py(), t["id"].to_numpy(), t["m"].to_numpy())
+        tree = packed(Tree.grown(units(matrix(t["v"])), reach / 4), t["kind"][0].as_py(), t["id"].to_numpy(), t["m"].to_numpy())
+        return tree.append_column("at", t["at"].slice(0, 1))
 
-    dealt = placed.join(many, ["kind", "centre"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts")).select("kind", "centre", "part", "id", "m", "v")
-    trees = save(dealt.groupBy("kind", "centre", "part").applyInArrow(grow, NODE), "trees")
-    one, two = (trees.select("kind", F.col("node").alias(f"node{k}"), F.col("radius").alias(f"radius{k}"), F.col("c").alias(f"c{k}")) for k in "12")
+    dealt = placed.join(many, ["kind", "at"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(2)), "parts")).select("kind", "at", "part", "id", "m", "v")
+    trees = save(dealt.groupBy("kind", "at", "part").applyInArrow(grow, NODE + ", at array<long>"), "trees")
+    one, two = (trees.select("kind", F.col("at").alias(x), F.col("node").alias(f"node{k}"), F.col("radius").alias(f"radius{k}"), F.col("c").alias(f"c{k}")) for x, k in (("a", "1"), ("b", "2")))
     dot = F.aggregate(F.zip_with("c1", "c2", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     apart = F.sqrt(F.greatest(2 - 2 * dot, F.lit(0.0)))
-    near = save(one.join(two, "kind").where("node1 <= node2").where(apart <= F.col("radius1") + F.col("radius2") + reach + 1e-7).select("kind", "node1", "node2"), "near")
+    met = near_cells(placed, nodes, levels, reach).join(one, ["kind", "a"]).join(two, ["kind", "b"]).where("a < b OR node1 <= node2")
+    near = save(met.where(apart <= F.col("radius1") + F.col("radius2") + reach + 1e-7).select("kind", "node1", "node2"), "near")
     task = ["kind", "node1", "node2"]
     inner = ["ids", "m", "x", "sizes", "up", "radii"]
     left = near.join(trees.withColumnRenamed("node", "node1"), ["kind", "node1"]).select(*task, *inner)

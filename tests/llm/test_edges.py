@@ -250,3 +250,25 @@ def test_samples_equal_plain_draws():
                     best = log_a[0], x, level[0]
             want = neardup.mixed(np.array([(int(best[1]) + int(best[2]) * int(neardup.P) + k) % 2**64], np.uint64))
             assert got[r, k] == want[0]
+
+
+def test_covertree_sends_each_vector_a_bounded_number_of_times(spark):
+    """What one large label's centres are sent to grows with its vectors, not with their square."""
+    rng = np.random.default_rng(8)
+    sent = {}
+    for n in (600, 2400):
+        x = rng.normal(0, 1, (n, 4))
+        points = spark.createDataFrame([("k", i, 1, v.tolist(), [], []) for i, v in enumerate(x)], covertree.PLACED)
+        share = spark.createDataFrame([("k", 1 / 60)], "kind string, share double")
+        placed = covertree.settled(points, share, 50)
+        cells = placed.groupBy("at").count().collect()
+        assert sum(r["count"] for r in cells) == n and len(cells) < 120
+        below = covertree.settled(placed, spark.createDataFrame([("k", 0.1)], "kind string, share double"), 50)
+        sizes = {tuple(r["at"]): r["count"] for r in below.groupBy("at").count().collect()}
+        upper = {tuple(r["at"]): r["count"] for r in cells}
+        sent[n] = sum(-(-upper[k[:1]] // 50) for k in sizes)
+        for r in below.sample(0.05, 1).collect():
+            c = x[r["at"][1]] / np.linalg.norm(x[r["at"][1]])
+            v = x[r["id"]] / np.linalg.norm(x[r["id"]])
+            assert abs(np.linalg.norm(c - v) - r["ds"][1]) < 1e-6
+    assert sent[2400] < 8 * sent[600]

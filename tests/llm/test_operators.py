@@ -301,8 +301,8 @@ def test_covertree_settles_in_slices(spark, vectors):
     d = covertree.distances(x[:3000], c)
     assert peak < 200e6 and (home[:3000] == d.argmin(1)).all() and np.allclose(far[:3000], d.min(1))
     rows = spark.createDataFrame(vectors, VECTORS)
-    one, two = (sorted(covertree.near_duplicates(rows, node=40, settled=k).collect()) for k in (1, 16384))
-    assert len(one) == len(vectors) and one == two
+    one, two, three = (sorted(covertree.near_duplicates(rows, node=n, most=k, fan=f).collect()) for k, f, n in ((1, 64, 40), (16384, 64, 40), (100, 3, 6)))
+    assert len(one) == len(vectors) and one == two == three
 
 
 def test_neighbours(spark, vectors):
