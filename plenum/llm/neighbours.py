@@ -4,8 +4,8 @@ The graph begins with exact neighbours within small groups, made by the signs of
 projections (several times, each vector once a time). Then, in each round, a vector and all its
 neighbours, in either direction, are shown to each other: a join brings their vectors together, once
 for all vectors of a group, and each learns the nearest of the others. Rounds end when they change
-one edge in a thousand or less. A query ends when the nearest that it keeps have all shown their
-neighbours. All cosines are those of the original components. Equal vectors are one node.
+one edge in a thousand or less. A query keeps the `beam` nearest found so far and ends when they
+all have shown their neighbours. All cosines are those of the original components. Equal vectors are one node.
 """
 
 from __future__ import annotations
@@ -108,7 +108,7 @@ def graph(nodes: DataFrame, kind: str, k: int = 32, tables: int = 3, group: int
     return known.drop("born")
 
 
-def search(vectors: DataFrame, queries: str, k: int = 5, beam: int = 32, degree: int = 32) -> DataFrame:
+def search(vectors: DataFrame, queries: str, k: int = 5, beam: int = 128, degree: int = 32) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row that the condition `queries` picks.
 
     score is the cosine of the original vectors in double precision; ties go to the smaller
@@ -139,34 +139,44 @@ def searched(rows: DataFrame, kind: str, queries: str, k: int, beam: int, degree
     near = graph(shrunk, kind, degree)
     asked = members.where(queries).select(F.col("vec_id").alias("query"), "id")
     vector = stands.select("id", "v")
-
-    def measure(pairs: DataFrame) -> DataFrame:
-        """pairs(query, node, other) with the cosine of node and other."""
-
-        def cosine(batches):
-            for b in batches:
-                x, y = small(b.column(2), kind), small(b.column(3), kind)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((x * y).sum(1))], ["node", "other", "s"])
-
-        both = pairs.join(shrunk.select(F.col("id").alias("node"), F.col("q").alias("vn")), "node").join(shrunk.select(F.col("id").alias("other"), F.col("q").alias("vo")), "other")
-        return both.select("node", "other", "vn", "vo").mapInArrow(cosine, "node long, other long, s double")
-
-    # greedy search from the query's own node: the nearest so far show their neighbours, each once
+    places = max(1, math.ceil(shrunk.count() / 4096))
+    place = F.pmod(F.xxhash64("other"), F.lit(places))
+    homes = save(shrunk.select(F.col("id").alias("other"), "q").withColumn("home", place), "homes")
+
+    def measure(pairs: DataFrame, worst: DataFrame) -> DataFrame:
+        """Of pairs(node, other) those nearer than the node's `worst`, with their cosine: a node's vector goes once to each place where others of its pairs live."""
+        asks = pairs.withColumn("place", place).groupBy("node", "place").agg(F.collect_list("other").alias("others"))
+        asks = asks.join(worst, "node").join(shrunk.select(F.col("id").alias("node"), F.col("q").alias("vn")), "node")
+
+        def cosines(table: pa.Table, given: pa.Table) -> pa.Table:
+            parts = []
+            if table.num_rows and given.num_rows:
+                ids, y = given["other"].to_numpy(), small(given["q"], kind)
+                order = np.argsort(ids)
+                for node, others, least, x in zip(table["node"].to_pylist(), table["others"].to_pylist(), table["worst"].to_pylist(), small(table["vn"], kind)):
+                    others = np.array(others)
+                    c = y[order[np.searchsorted(ids[order], others)]] @ x
+                    parts.append((np.full(int((c > least).sum()), node), others[c > least], c[c > least]))
+            return flat(parts).rename_columns(["node", "other", "s"])
+
+        return asks.groupBy("place").cogroup(homes.groupBy("home")).applyInArrow(cosines, "node long, other long, s double")
+
+    # greedy search from the query's own node: the nearest so far show their neighbours
     nodes = asked.select(F.col("id").alias("node")).distinct()
+    best = Window.partitionBy("node").orderBy(F.desc("s"), "other")
     found = save(nodes.join(near.withColumnRenamed("id", "node"), "node").select("node", "other", "s", F.lit(False).alias("done")), "found")
     while True:
-        best = found.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("s"), "other"))).where(F.col("r") <= beam)
-        asking = save(best.where("NOT done").select("node", "other", "s"), "asking")
+        asking = save(found.where("NOT done").select("node", "other"), "asking")
         if asking.isEmpty():
             break
-        steps = asking.select("node", F.col("other").alias("id")).join(near, "id").select("node", near["other"]).where("node <> other").distinct()
-        more = measure(steps.join(found, ["node", "other"], "left_anti")).withColumn("done", F.lit(False))
-        shown = found.union(asking.withColumn("done", F.lit(True))).groupBy("node", "other").agg(F.max("s").alias("s"), F.max("done").alias("done"))
-        found = save(shown.union(more), "found")
+        steps = asking.join(near.select(F.col("id").alias("other"), F.col("other").alias("next")), "other").where("node <> next").select("node", F.col("next").alias("other")).distinct()
+        worst = found.groupBy("node").agg(F.when(F.count("*") >= beam, F.min("s")).otherwise(-1.5).alias("worst"))
+        more = measure(steps.join(found, ["node", "other"], "left_anti"), worst).withColumn("done", F.lit(False))
+        every = found.withColumn("done", F.lit(True)).unionByName(more)
+        found = save(every.withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam).drop("r"), "found")
     # all that are not farther than the k-th by more than the error of these cosines: ties are told apart below
-    ranked = Window.partitionBy("node").orderBy(F.desc("s"), "other")
     last = F.min(F.when(F.col("r") <= k, F.col("s"))).over(Window.partitionBy("node"))
-    top = found.withColumn("r", F.row_number().over(ranked)).withColumn("last", last).where(F.col("s") >= F.col("last") - TIE).select("node", "other", "s")
+    top = found.withColumn("r", F.row_number().over(best)).withColumn("last", last).where(F.col("s") >= F.col("last") - TIE).select("node", "other", "s")
     top = top.union(nodes.select("node", F.col("node").alias("other"), F.lit(1.0).alias("s")))
     # equal vectors: of each node its k + 1 least members can be among the answers
     least = members.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("vec_id"))).where(F.col("r") <= k + 1).select(F.col("id").alias("other"), "vec_id")
