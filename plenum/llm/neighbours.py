@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plenum.llm.common import save
+from plenum.llm.common import discard, save
 from plenum.llm.vectors import matrix, units, valid
 
 TIE = 1e-12  # more than the rounding of a cosine in double precision
@@ -103,8 +103,9 @@ def graph(nodes: DataFrame, kind: str, k: int = 32, tables: int = 3, group: int
             return flat([edges(ids[own], x[own], worst[own], 6) for own in groups if len(own) > 1])
 
         learned = around.select("code", "part", "id", "other").groupBy("code", "part").cogroup(brought.groupBy("code2", "part2")).applyInArrow(meet, EDGES)
-        known = save(merged(known.union(learned.withColumn("born", F.lit(r))), k), "graph")
+        before, known = known, save(merged(known.union(learned.withColumn("born", F.lit(r))), k), "graph")
         changed = known.where(F.col("born") == r).count()
+        discard(before, around)
     return known.drop("born")
 
 
@@ -173,7 +174,8 @@ def searched(rows: DataFrame, kind: str, queries: str, k: int, beam: int, degree
         worst = found.groupBy("node").agg(F.when(F.count("*") >= beam, F.min("s")).otherwise(-1.5).alias("worst"))
         more = measure(steps.join(found, ["node", "other"], "left_anti"), worst).withColumn("done", F.lit(False))
         every = found.withColumn("done", F.lit(True)).unionByName(more)
-        found = save(every.withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam).drop("r"), "found")
+        before, found = found, save(every.withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam).drop("r"), "found")
+        discard(before, asking)
     # all that are not farther than the k-th by more than the error of these cosines: ties are told apart below
     last = F.min(F.when(F.col("r") <= k, F.col("s"))).over(Window.partitionBy("node"))
     top = found.withColumn("r", F.row_number().over(best)).withColumn("last", last).where(F.col("s") >= F.col("last") - TIE).select("node", "other", "s")
