@@ -4,8 +4,9 @@ The graph begins with exact neighbours within small groups, made by the signs of
 projections (several times, each vector once a time). Then, in each round, a vector and all its
 neighbours, in either direction, are shown to each other: a join brings their vectors together, once
 for all vectors of a group, and each learns the nearest of the others. Rounds end when they change
-one edge in a thousand or less. A query keeps the `beam` nearest found so far and ends when they
-all have shown their neighbours. All cosines are those of the original components. Equal vectors are one node.
+one edge in a thousand or less. A query keeps the `beam` nearest found so far; in each step the
+`width` nearest of those that have not yet shown their neighbours do so, until all of them have.
+All cosines are those of the original components. Equal vectors are one node.
 """
 
 from __future__ import annotations
@@ -109,7 +110,7 @@ def graph(nodes: DataFrame, kind: str, k: int = 32, tables: int = 3, group: int
     return known.drop("born")
 
 
-def search(vectors: DataFrame, queries: str, k: int = 5, beam: int = 128, degree: int = 32) -> DataFrame:
+def search(vectors: DataFrame, queries: str, k: int = 5, beam: int = 192, degree: int = 32, width: int = 32) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row that the condition `queries` picks.
 
     score is the cosine of the original vectors in double precision; ties go to the smaller
@@ -122,12 +123,12 @@ def search(vectors: DataFrame, queries: str, k: int = 5, beam: int = 128, degree
     rows = save(valid(vectors).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
     lengths = sorted(r[0] for r in rows.select(F.size("v")).distinct().collect())  # as many as there are kinds of vectors
     if len(lengths) < 2:
-        return searched(rows, kind, queries, k, beam, degree)
-    found = [searched(rows.where(F.size("v") == n), kind, queries, k, beam, degree) for n in lengths]
+        return searched(rows, kind, queries, k, beam, degree, width)
+    found = [searched(rows.where(F.size("v") == n), kind, queries, k, beam, degree, width) for n in lengths]
     return functools.reduce(DataFrame.union, found)
 
 
-def searched(rows: DataFrame, kind: str, queries: str, k: int, beam: int, degree: int) -> DataFrame:
+def searched(rows: DataFrame, kind: str, queries: str, k: int, beam: int, degree: int, width: int) -> DataFrame:
     """search() among rows(vec_id, v) of one length."""
     stands = save(rows.groupBy("v").agg(F.min("vec_id").alias("id")), "nodes")
     members = save(rows.join(stands, "v").select("vec_id", "id"), "members")
@@ -165,17 +166,20 @@ def searched(rows: DataFrame, kind: str, queries: str, k: int, beam: int, degree
     # greedy search from the query's own node: the nearest so far show their neighbours
     nodes = asked.select(F.col("id").alias("node")).distinct()
     best = Window.partitionBy("node").orderBy(F.desc("s"), "other")
-    found = save(nodes.join(near.withColumnRenamed("id", "node"), "node").select("node", "other", "s", F.lit(False).alias("done")), "found")
-    while True:
-        asking = save(found.where("NOT done").select("node", "other"), "asking")
-        if asking.isEmpty():
-            break
+
+    def held(pairs: DataFrame) -> DataFrame:
+        """Of pairs(node, other, s, done) the nearest, `beam` of them; asks: the nearest that have not shown theirs, `width` of them."""
+        nearest = pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam)
+        open_ = F.count(F.when(~F.col("done"), 1)).over(best.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        return save(nearest.select("node", "other", "s", "done", (~F.col("done") & (open_ <= width)).alias("asks")), "found")
+
+    found = held(nodes.join(near.withColumnRenamed("id", "node"), "node").select("node", "other", "s", F.lit(False).alias("done")))
+    while not (asking := found.where("asks").select("node", "other")).isEmpty():
         steps = asking.join(near.select(F.col("id").alias("other"), F.col("other").alias("next")), "other").where("node <> next").select("node", F.col("next").alias("other")).distinct()
         worst = found.groupBy("node").agg(F.when(F.count("*") >= beam, F.min("s")).otherwise(-1.5).alias("worst"))
         more = measure(steps.join(found, ["node", "other"], "left_anti"), worst).withColumn("done", F.lit(False))
-        every = found.withColumn("done", F.lit(True)).unionByName(more)
-        before, found = found, save(every.withColumn("r", F.row_number().over(best)).where(F.col("r") <= beam).drop("r"), "found")
-        discard(before, asking)
+        before, found = found, held(found.select("node", "other", "s", (F.col("done") | F.col("asks")).alias("done")).unionByName(more))
+        discard(before)
     # all that are not farther than the k-th by more than the error of these cosines: ties are told apart below
     last = F.min(F.when(F.col("r") <= k, F.col("s"))).over(Window.partitionBy("node"))
     top = found.withColumn("r", F.row_number().over(best)).withColumn("last", last).where(F.col("s") >= F.col("last") - TIE).select("node", "other", "s")
