@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import chat, covertree, langid, lm, neardup, neighbours, packing, pieces, quality, suffixes
+from plenum.llm import chat, covertree, langid, licenses, lm, neardup, neighbours, packing, pieces, quality, suffixes
 from plenum.llm.langid import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,11 @@ def op3_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_cover_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_license_scan"] = licenses.brute_sql()
