@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import chat, covertree, langid, licenses, lm, neardup, neighbours, packing, pieces, quality, suffixes
+from plenum.llm import chat, covertree, hardneg, langid, licenses, lm, neardup, neighbours, packing, pieces, quality, suffixes
 from plenum.llm.langid import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,12 @@ def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op11_license_scan"] = licenses.brute_sql()
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")
+    return hardneg.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), "vec_id % 100 = 0")
+
+
+SQL["op12_hard_negatives"] = hardneg.brute_sql()
