@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plenum.llm import chat, covertree, hardneg, langid, licenses, lm, neardup, neighbours, packing, pieces, quality, suffixes
+from plenum.llm import chat, covertree, hardneg, langid, licenses, lm, neardup, neighbours, packing, pieces, quality, suffixes, trie
 from plenum.llm.langid import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,12 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op12_hard_negatives"] = hardneg.brute_sql()
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = "crc32(CAST(CAST(conv_id AS STRING) AS BINARY)) % 4"
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"), "conv_id - conv_id % 20", head)
+
+
+SQL["op13_prefix_trie"] = trie.brute_sql()
