@@ -278,7 +278,8 @@ def mine(vectors: DataFrame, anchors: str, positives: int = 5, negatives: int =
     spark = vectors.sparkSession
     packed = save(blocks(measured(vectors, scale, anchors, directions, sample)), "blocks")
     n = {r["anchors"]: r["n"] for r in packed.groupBy("anchors").agg(F.sum(F.octet_length("ids") / 8).alias("n")).collect()}
-    r = max(partitions(spark), -(-int(n.get(False, 0)) // rows_a_group))
+    count = int(n.get(False, 0))
+    r = max(1, -(-count // rows_a_group), min(partitions(spark), -(-count // 2048)))  # a group of few rows would repeat each anchor's best few
     a = max(1, -(-int(n.get(True, 0)) // anchors_a_group))
     salt = F.xxhash64("part", "ids")
     rows = packed.where("NOT anchors").withColumn("r", F.pmod(salt, F.lit(r)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(a - 1))))
