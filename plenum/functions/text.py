@@ -100,14 +100,45 @@ def folded_name(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.regexp_replace(decomposed(s), r"\p{M}", "")), "[^a-z0-9]+", " "))
 
 
-def aliases(name: Column, *more: Column) -> Column:
-    """The name, without its parentheses, what stands in them, and `more`; distinct, none empty."""
-    inner = F.regexp_extract_all(name, F.lit(r"\(([^)]*)\)"), F.lit(1))
-    found = F.concat(F.array(name, F.regexp_replace(name, r"\s*\([^)]*\)", "")), inner, F.array(*more) if more else F.array().cast("array<string>"))
-    return F.array_distinct(F.filter(F.transform(found, F.trim), lambda x: x.isNotNull() & (x != "")))
-
-
-def wikidata_id(html: Column) -> Column:
-    """The Q number of the main entity in a page's JSON-LD script."""
-    script = F.regexp_extract(html, r'(?s)<script[^>]*application/ld\+json[^>]*>(.*?)</script>', 1)
-    return F.nullif(F.regexp_extract(F.coalesce(F.get_json_object(script, "$.mainEntity"), F.get_json_object(script, "$.sameAs"), F.lit("")), "(Q[0-9]+)", 1), F.lit(""))
+def normal_forms(names: Column, form: str = "ascii") -> Column:
+    """Normal forms of an array of names, distinct, in order, without nulls and empty ones; one pass for all of a row.
+
+    form ascii: as ascii_name, other characters than ASCII go; folded: as folded_name, they part words.
+    """
+    joined = F.lower(decomposed(F.array_join(names, "\u0001")))
+    joined = F.regexp_replace(joined, r"[^\x00-\x7F]", "") if form == "ascii" else F.regexp_replace(joined, r"\p{M}", "")
+    plain = F.transform(F.split(joined, "\u0001"), lambda x: F.trim(F.regexp_replace(x, "[^a-z0-9]+", " ")))
+    return F.coalesce(F.array_distinct(F.filter(plain, lambda x: x != "")), F.array().cast("array<string>"))
+
+
+def aliases(name: Column, *more: Column, form: str = "ascii") -> Column:
+    """Normal forms of the name without its parentheses, of what stands in each of them, and of `more`, also without.
+
+    form folded, as registries compare: the whole name is one of them too, and `more` are taken whole.
+    """
+    bare = lambda c: F.regexp_replace(c, r"\([^)]*\)", "" if form == "ascii" else " ")
+    outside, inner = bare(name), F.regexp_extract_all(name, F.lit(r"\(([^)]*)\)"), F.lit(1))
+    inner = F.coalesce(inner, F.array().cast("array<string>"))
+    whole, more = ([F.array(name)], more) if form == "folded" else ([], tuple(map(bare, more)))
+    return normal_forms(F.concat(*whole, F.array(outside), inner, F.array(*more) if more else F.array().cast("array<string>")), form)
+
+
+def entity_id(html: Column) -> Column:
+    """The Q number of the first JSON-LD script of a page whose main entity, or else whose sameAs, is a URL of wikidata.org.
+
+    Scripts that are no JSON or no object are passed over, and so is a main entity or sameAs that
+    is no text; an empty main entity counts as none. No such script, or no page: null.
+    """
+    scripts = F.regexp_extract_all(html, F.lit(r"""(?is)<script\b[^>]*\btype\s*=\s*["']?application/ld\+json["']?(?=[\s>])[^>]*>(.*?)</script"""), F.lit(1))
+
+    def found(script: Column) -> Column:
+        value = F.try_parse_json(script)
+        main, same = (F.try_variant_get(value, f"$.{c}", "variant") for c in ("mainEntity", "sameAs"))
+        kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
+        text = lambda v, path: F.when(kind(v) == "STRING", F.try_variant_get(value, path, "string"))
+        said = F.try_variant_get(value, "$.mainEntity", "string")
+        none = main.isNull() | (kind(main) == "VOID") | F.coalesce(said.isin("", "0", "false", "[]", "{}"), F.lit(False))
+        url = F.when(none, text(same, "$.sameAs")).otherwise(text(main, "$.mainEntity"))
+        return F.when(F.contains(url, F.lit("wikidata.org")), F.nullif(F.regexp_extract(url, "Q[0-9]+", 0), F.lit("")))
+
+    return F.get(F.filter(F.transform(scripts, found), lambda x: x.isNotNull()), F.lit(0))

@@ -12,21 +12,24 @@ from plenum.operators.matching import bootstrap, f_score
 RECORD = ["country", "year"]
 
 
-def named(parties: DataFrame, name: str = "name", *more: str) -> DataFrame:
-    """parties with `plain` (normal form of the name) and `aliases` (those of the name and of the columns `more`)."""
-    found = F.transform(tx.aliases(F.col(name), *(F.col(c) for c in more)), lambda x: F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " ")))
-    return parties.withColumn("plain", tx.ascii_name(F.col(name))).withColumn("aliases", F.array_distinct(F.filter(found, lambda x: x != "")))
+def named(parties: DataFrame, name: str = "name", abbreviation: str | None = None) -> DataFrame:
+    """parties with `plain` (normal form of the name, without parentheses), `aliases` (that, those of its parentheses and of the abbreviation) and `words` (those of plain and abbreviation)."""
+    more = [F.col(abbreviation)] if abbreviation else []
+    out = parties.withColumn("plain", F.coalesce(tx.ascii_name(F.col(name)), F.lit(""))).withColumn("aliases", tx.aliases(F.col(name), *more))
+    said = F.concat_ws(" ", "plain", *(tx.ascii_name(c) for c in more))
+    return out.withColumn("words", F.array_distinct(F.split(said, " ")))
 
 
 def paired(truth: DataFrame, extracted: DataFrame) -> DataFrame:
     """One-to-one pairs t, x (places) of a record's parties(country, year, pos, plain, aliases).
 
     Truth parties choose in their order, each by all its means before the next: a common name or
-    alias (the first extracted party that has it), else one word of three letters or more that is
-    among the words of the other side, if one free party alone qualifies. A record is a handful of
-    parties, so it is one group.
+    alias (its own in order, of each the first free extracted party that has it), else a word of
+    three letters or more: one of its aliases among the words of an extracted name, or an extracted
+    name among the words of its own name and abbreviation, if one free party alone qualifies. A
+    record is a handful of parties, so it is one group.
     """
-    cols = [*RECORD, "pos", "plain", "aliases"]
+    cols = [*RECORD, "pos", "plain", "aliases", "words"]
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         free = {r.pos: (r.plain, list(r.aliases)) for r in b.sort_values("pos").itertuples()}
@@ -35,7 +38,7 @@ def paired(truth: DataFrame, extracted: DataFrame) -> DataFrame:
             own = list(t.aliases)
             hit = next((k for name in own for k, (_, others) in free.items() if name in others), None)
             if hit is None:
-                words = set(t.plain.split()) | {w for x in own[1:] for w in x.split()}
+                words = set(t.words)
                 single = [x for x in own if " " not in x and len(x) >= 3]
                 near = [k for k, (plain, _) in free.items() if any(x in plain.split() for x in single) or (" " not in plain and len(plain) >= 3 and plain in words)]
                 hit = near[0] if len(near) == 1 else None
@@ -93,10 +96,11 @@ def source_rates(records: DataFrame, *by: str) -> DataFrame:
 
 
 def first_attempts(parties: DataFrame, attempts: DataFrame) -> DataFrame:
-    """parties(key, url, name) with the number of the first of attempts(no, url, name) of the same URL or name."""
-    by_url = parties.select("key", "url").join(attempts.select("no", "url"), "url").select("key", "no")
-    plain = lambda d: d.withColumn("plain", F.lower(F.trim("name"))).where("plain <> ''")
-    by_name = plain(parties).select("key", "plain").join(plain(attempts).select("no", "plain"), "plain").select("key", "no")
+    """parties(key, url, name) with the number of the first of attempts(no, url, name) of the same URL (none: no URL) or the same normal form of the name (no name: empty)."""
+    by_url = parties.select("key", "url").join(attempts.where("url <> ''").groupBy("url").agg(F.min("no").alias("no")), "url").select("key", "no")
+    plain = lambda d: d.withColumn("plain", F.coalesce(tx.ascii_name(F.col("name")), F.lit("")))
+    firsts = plain(attempts).groupBy("plain").agg(F.min("no").alias("no"))
+    by_name = plain(parties).select("key", "plain").join(firsts, "plain").select("key", "no")
     return parties.select("key").join(by_url.union(by_name).groupBy("key").agg(F.min("no").alias("no")), "key", "left")
 
 

@@ -8,27 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plenum.session import ended
-
-
-def deduplicated(subjects: DataFrame) -> DataFrame:
-    """subjects(id, wiki_id, abbr, country) with `canonical`: the least id that equal keys reach.
-
-    Keys are the wiki id and, null countries being equal, abbreviation and country; null wiki ids
-    and abbreviations tie nothing. Rounds end when no canonical id changes, so chains are followed
-    to their end; each round is written and ends the lineage.
-    """
-    keys = [F.struct(F.lit(1).alias("k"), F.col("wiki_id").cast("string").alias("a"), F.lit(None).cast("string").alias("b")), F.struct(F.lit(2).alias("k"), F.col("abbr").cast("string").alias("a"), F.col("country").cast("string").alias("b"))]
-    ties = subjects.select("id", F.explode(F.array(*keys)).alias("key")).where("key.a IS NOT NULL")
-    ties = ended(ties.select("id", F.to_json("key", {"ignoreNullFields": "false"}).alias("key")))
-    state = subjects.select("id", F.col("id").alias("canonical"))
-    while True:
-        low = ties.join(state, "id").groupBy("key").agg(F.min("canonical").alias("low"))
-        reached = ties.join(low, "key").groupBy("id").agg(F.min("low").alias("low"))
-        new = ended(state.join(reached, "id", "left").select("id", F.coalesce(F.least("canonical", "low"), "canonical").alias("canonical"), (F.col("low") < F.col("canonical")).alias("moved")))
-        state = new.drop("moved")
-        if new.where("moved").isEmpty():
-            return subjects.join(state, "id")
 
 
 def cascade(parties: DataFrame, registry: DataFrame) -> DataFrame:
@@ -47,17 +26,43 @@ def clusters(bodies: DataFrame) -> DataFrame:
     return bodies.groupBy("country", "label").agg(F.array_sort(F.collect_set("id")).alias("ids"))
 
 
+def word_index(strings: DataFrame) -> DataFrame:
+    """strings(country, label, term) to country, term, n (bodies that have it) and the one body if it is one."""
+    return strings.distinct().groupBy("country", "term").agg(F.count("*").alias("n"), F.min("label").alias("one"))
+
+
 def registry_match(parties: DataFrame, groups: DataFrame) -> DataFrame:
-    """parties(key, country, aliases) to groups(country, label, aliases): exact alias, else one word of an alias; several: ambiguous; none: no_match."""
-    g = groups.select("country", "label", F.col("aliases").alias("names"))
-    both = parties.join(g, "country", "left")
-    words = F.flatten(F.transform("names", lambda x: F.split(x, " ")))
-    single = F.filter("aliases", lambda x: ~F.contains(x, F.lit(" ")))
-    both = both.withColumn("exact", F.coalesce(F.arrays_overlap("aliases", "names"), F.lit(False))).withColumn("part", F.coalesce(F.arrays_overlap(single, words), F.lit(False)))
-    by = both.groupBy("key").agg(F.array_sort(F.collect_set(F.when(F.col("exact"), F.col("label")))).alias("e"), F.array_sort(F.collect_set(F.when(F.col("part"), F.col("label")))).alias("p"))
-    found = F.when(F.size("e") > 0, F.col("e")).otherwise(F.col("p"))
-    method = F.when(F.size(found) > 1, "ambiguous").when(F.size("e") == 1, "exact_alias").when(F.size("p") == 1, "token_containment").otherwise("no_match")
-    return by.select("key", F.when(F.size(found) == 1, found[0]).alias("label"), method.alias("method"))
+    """parties(key, country, aliases) to groups(country, label, aliases), all in normal form, within a country.
+
+    A body that shares an alias (exact_alias); else one of which an alias holds the word of a
+    one-word alias of the party, or that has a one-word alias among the words of the party's
+    (token_containment; words of two letters or more). Several bodies: ambiguous; none: no_match.
+    Bodies of one country and label are one.
+
+    Aliases and words are looked up in an index that says of each how many bodies have it and, if
+    one, which: there is never a row for a pair of party and body, however common a word.
+    """
+    alias = groups.select("country", "label", F.explode("aliases").alias("term"))
+    single = lambda c: ~F.contains(c, F.lit(" ")) & (F.length(c) >= 2)
+    parts = alias.select("country", "label", F.explode(F.split("term", " ")).alias("term"))
+    index = word_index(alias).select("country", F.lit("alias").alias("kind"), "term", "n", "one")
+    index = index.union(word_index(parts).select("country", F.lit("holds"), "term", "n", "one"))
+    index = index.union(word_index(alias.where(single(F.col("term")))).select("country", F.lit("held"), "term", "n", "one"))
+    own = parties.select("key", "country", F.explode("aliases").alias("term"))
+    asks = own.select("key", "country", F.lit("alias").alias("kind"), "term")
+    asks = asks.union(own.where(single(F.col("term"))).select("key", "country", F.lit("holds"), "term"))
+    asks = asks.union(own.select("key", "country", F.lit("held"), F.explode(F.split("term", " ")))).distinct()
+    met = asks.join(index, ["country", "kind", "term"]).withColumn("exact", F.col("kind") == "alias")
+    by = met.groupBy("key").agg(
+        *(F.max(F.when(c, F.col("n"))).alias(f"n_{k}") for k, c in (("e", F.col("exact")), ("p", ~F.col("exact")))),
+        *(F.collect_set(F.when(c & (F.col("n") == 1), F.col("one"))).alias(k) for k, c in (("e", F.col("exact")), ("p", ~F.col("exact")))),
+    )  # as many labels as the party has words, at most
+    by = parties.select("key").distinct().join(by, "key", "left")
+    kind = F.when(F.col("n_e").isNotNull(), "e").when(F.col("n_p").isNotNull(), "p")
+    found, most = F.when(kind == "e", F.col("e")).otherwise(F.col("p")), F.when(kind == "e", F.col("n_e")).otherwise(F.col("n_p"))
+    one = (most == 1) & (F.size(found) == 1)
+    method = F.when(kind.isNull(), "no_match").when(~one, "ambiguous").when(kind == "e", "exact_alias").otherwise("token_containment")
+    return by.select("key", F.when(one, found[0]).alias("label"), method.alias("method"))
 
 
 def with_overrides(matches: DataFrame, reviewed: DataFrame) -> DataFrame:

@@ -31,22 +31,34 @@ def cast_votes(m: Model) -> DataFrame:
     return m.member_votes.where(ACTIVE).join(term_votes(m), "vote_id")
 
 
+def spans(spells: DataFrame, days: DataFrame) -> DataFrame:
+    """spells(d_from, d_to, ...; no d_to: open) with `low` and `high`: the numbers (from 1) of the first and last of days(day, distinct) within.
+
+    The ends of the spells and the days are united, sorted and swept once, as distinct dates: at
+    most a row a calendar day, however many spells there are. Spells without a day have high < low.
+    """
+    ends = F.explode(F.array("d_from", F.date_add(F.coalesce("d_to", open_end()), 1)))
+    dates = spells.select(ends.alias("date")).distinct().select("date", F.lit(0).alias("is_day")).union(days.select("day", F.lit(1)))
+    dates = dates.where("date IS NOT NULL").groupBy("date").agg(F.max("is_day").alias("is_day"))
+    swept = dates.withColumn("before", F.sum("is_day").over(Window.orderBy("date")) - F.col("is_day"))
+    low, high = (swept.select(F.col("date").alias(f"{c}_date"), F.col("before").alias(f"{c}_n")) for c in ("low", "high"))
+    both = spells.withColumn("low_date", F.col("d_from")).withColumn("high_date", F.date_add(F.coalesce("d_to", open_end()), 1))
+    return both.join(low, "low_date").join(high, "high_date").withColumn("low", F.col("low_n") + 1).withColumnRenamed("high_n", "high").drop("low_date", "high_date", "low_n")
+
+
 def affiliation(m: Model, kind: str = "group", variant: str = "date") -> DataFrame:
     """session_id, member_id, subject_id at each session day.
 
     variant date: the day lies within the membership; term_or_start: and the membership is of
     the session's term or began after that term did. Two memberships of a kind on one day give
-    two rows. The interval condition is met per year of both sides, then exactly, so that the
-    plan is a hash join however many sessions there are.
+    two rows. A membership covers a run of numbered session days, so sessions are joined by the
+    number of their day: as many keys as days, no candidate that does not fit.
     """
     kinds = F.col("kind") == "group" if kind == "group" else F.col("kind") != "group"
-    end = F.coalesce("d_to", open_end())
-    last = m.sessions.agg(F.min(F.year("day")).alias("low"), F.max(F.year("day")).alias("high"))
-    spells = m.memberships.where(kinds).crossJoin(F.broadcast(last))  # one row of two numbers
-    years = F.sequence(F.greatest(F.year("d_from"), "low"), F.least(F.year(end), "high"))
-    spells = spells.where(F.greatest(F.year("d_from"), "low") <= F.least(F.year(end), "high")).withColumn("year", F.explode(years))
-    spells = spells.withColumnRenamed("term", "own_term")
-    found = m.sessions.withColumn("year", F.year("day")).join(spells, "year").where(F.col("day").between(F.col("d_from"), end))
+    days = m.sessions.select("day").where("day IS NOT NULL").distinct()
+    spells = spans(m.memberships.where(kinds), days).where("low <= high").withColumnRenamed("term", "own_term")
+    numbered = m.sessions.join(days.withColumn("no", F.row_number().over(Window.orderBy("day")).cast("long")), "day")  # a row a calendar day at most
+    found = spells.withColumn("no", F.explode(F.sequence("low", "high"))).join(numbered, "no")
     if variant == "term_or_start":
         found = found.join(m.terms.select("term", F.col("d_from").alias("begun")), "term").where((F.col("own_term") == F.col("term")) | (F.col("d_from") >= F.col("begun")))
     return found.select("session_id", "member_id", "subject_id").distinct()
@@ -56,8 +68,20 @@ def with_subject(votes: DataFrame, at: DataFrame, how: str = "inner") -> DataFra
     return votes.join(at, ["session_id", "member_id"], how)
 
 
+def with_plurality(votes: DataFrame) -> DataFrame:
+    """votes with `plurality`: of their vote and subject the most frequent option of substantial votes, the lowest of ties, null if there are none.
+
+    Three counts over one window, so that a vote meets its plurality in one shuffle.
+    """
+    own = Window.partitionBy("vote_id", "subject_id")
+    n1, n2, n3 = (F.count_if((F.col("option") == k) & F.expr(SUBSTANTIAL)).over(own) for k in (1, 2, 3))
+    top = F.when((n1 >= n2) & (n1 >= n3), F.when(n1 > 0, 1)).when(n2 >= n3, 2).otherwise(3)
+    return votes.withColumn("plurality", top)
+
+
 def group_votes(m: Model) -> DataFrame:
-    return with_subject(cast_votes(m), affiliation(m))
+    """Cast votes with the member's group on that day and the group's plurality; from prepared tables if the model has them."""
+    return m.prepared() if m.prepared else with_plurality(with_subject(cast_votes(m), affiliation(m)))
 
 
 def vote_counts(votes: DataFrame, include_procedural: bool = False) -> DataFrame:
@@ -66,6 +90,8 @@ def vote_counts(votes: DataFrame, include_procedural: bool = False) -> DataFrame
 
 def plurality(votes: DataFrame) -> DataFrame:
     """vote_id, subject_id, plurality: the most frequent option, the lowest of ties."""
+    if "plurality" in votes.columns:
+        return votes.where(SUBSTANTIAL).groupBy("vote_id", "subject_id").agg(F.min("plurality").alias("plurality"))
     return vote_counts(votes).groupBy("vote_id", "subject_id").agg(F.max_by("option", F.struct("n", -F.col("option"))).alias("plurality"))
 
 
@@ -161,7 +187,7 @@ def country_cohesion(m: Model) -> DataFrame:
 
 def group_agreement(m: Model) -> DataFrame:
     """Share of votes in which two groups have the same plurality; groups are few."""
-    p = plurality(group_votes(m)).join(term_votes(m).select("vote_id", "term"), "vote_id")
+    p = group_votes(m).where(SUBSTANTIAL).groupBy("term", "vote_id", "subject_id").agg(F.min("plurality").alias("plurality"))
     a, b = (p.select("term", "vote_id", F.col("subject_id").alias(f"subject{k}"), F.col("plurality").alias(f"p{k}")) for k in "12")
     pairs = a.join(b, ["term", "vote_id"]).where("subject1 < subject2").groupBy("term", "subject1", "subject2")
     return pairs.agg(F.count_if(F.col("p1") == F.col("p2")).alias("agreed"), F.count("*").alias("total")).withColumn("agreement", F.round(F.col("agreed") / F.col("total"), 4))
@@ -177,7 +203,7 @@ def agreement_matrix(m: Model) -> DataFrame:
 
 def loyalty(votes: DataFrame, *more: str) -> DataFrame:
     """Votes equal to the group's plurality; more: further keys, which do not change the plurality."""
-    with_p = votes.where(SUBSTANTIAL).join(plurality(votes), ["vote_id", "subject_id"])
+    with_p = (votes if "plurality" in votes.columns else with_plurality(votes)).where(SUBSTANTIAL)
     by = with_p.groupBy("member_id", "subject_id", "term", *more).agg(F.count("*").alias("total"), F.count_if(F.col("option") == F.col("plurality")).alias("loyal"))
     return by.withColumn("loyalty", F.round(F.col("loyal") / F.col("total"), 4))
 
@@ -188,8 +214,7 @@ def government_loyalty(m: Model) -> DataFrame:
     spells = m.government.select(F.col("subject_id").alias("party"), year("year_from").alias("y0"), F.coalesce(year("year_to"), F.lit(9999)).alias("y1"))
     at = affiliation(m, "national").withColumnRenamed("subject_id", "party").join(m.sessions, "session_id").withColumn("year", F.year("day"))
     governs = at.join(spells, (at["party"] == spells["party"]) & (F.col("y0") <= F.col("year")) & (F.col("year") < F.col("y1")), "left").groupBy("session_id", "member_id", at["party"]).agg(F.max(F.col("y0").isNotNull()).alias("in_government"))
-    votes = group_votes(m)
-    tagged = votes.where(SUBSTANTIAL).join(plurality(votes), ["vote_id", "subject_id"]).join(governs, ["session_id", "member_id"])
+    tagged = group_votes(m).where(SUBSTANTIAL).join(governs, ["session_id", "member_id"])
     by = tagged.groupBy("member_id", "subject_id", "term", "in_government").agg(F.count("*").alias("total"), F.count_if(F.col("option") == F.col("plurality")).alias("loyal"))
     return by.withColumn("loyalty", F.round(F.col("loyal") / F.col("total"), 4))
 
@@ -226,15 +251,34 @@ def member_pairs(votes: DataFrame, *view: str, min_common: int = 10, top: int =
     return n.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
-def anomalies(m: Model, final_only: bool = True, least: int = 5) -> DataFrame:
-    """Votes against the member's own plurality so far (`least` earlier votes or more) and against the group's."""
+def counts_before(votes: DataFrame, keys: list[str], block: list[Column], order: list[str], options: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """votes with c1, c2, c3: how many votes of each option the keys have before, in the order of `block` and `order`.
+
+    Counted within blocks, carried from block to block, and added: one key's history of any length
+    is dealt over as many tasks as it has blocks. block: columns that ascend with the order.
+    """
+    names = [f"_b{k}" for k in range(len(block))]
+    rows = votes.withColumns(dict(zip(names, block)))
+    n = lambda k: F.count_if(F.col("option") == k)
+    within = Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys, *names).agg(*(n(k).alias(f"s{k}") for k in options))
+    carried = sums.select(*keys, *names, *(F.coalesce(F.sum(f"s{k}").over(earlier), F.lit(0)).alias(f"s{k}") for k in options))
+    rows = rows.withColumns({f"c{k}": n(k).over(within) for k in options})
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*keys, *names)]
+    both = rows.alias("l").join(carried.alias("r"), same)
+    return both.select(*(F.col(f"l.{c}") for c in votes.columns), *((F.col(f"l.c{k}") + F.col(f"r.s{k}")).alias(f"c{k}") for k in options))
+
+
+def anomalies(m: Model, final_only: bool = True, least: int = 5, block: int = 4096) -> DataFrame:
+    """Votes against the member's own plurality so far (`least` earlier votes or more) and against the group's.
+
+    A member's history is counted in blocks of a day and a run of `block` vote ids.
+    """
     votes = group_votes(m).where(SUBSTANTIAL)
-    p = plurality(votes)
     votes = votes.where("final IS TRUE") if final_only else votes
-    before = Window.partitionBy("term", "member_id").orderBy("day", "vote_id", "subject_id").rowsBetween(Window.unboundedPreceding, -1)
-    for k in (1, 2, 3):
-        votes = votes.withColumn(f"c{k}", F.count_if(F.col("option") == k).over(before))
+    votes = counts_before(votes, ["term", "member_id"], [F.col("day"), F.floor(F.col("vote_id") / block)], ["vote_id", "subject_id"])
     own = F.when((F.col("c1") >= F.col("c2")) & (F.col("c1") >= F.col("c3")), 1).when(F.col("c2") >= F.col("c3"), 2).otherwise(3)
-    judged = votes.withColumn("own", own).join(p, ["vote_id", "subject_id"])
+    judged = votes.withColumn("own", own)
     odd = (F.col("c1") + F.col("c2") + F.col("c3") >= least) & (F.col("option") != F.col("own")) & (F.col("option") != F.col("plurality"))
     return judged.withColumn("anomalous", odd)

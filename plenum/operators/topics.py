@@ -12,7 +12,7 @@ from plenum.functions.text import direction
 from plenum.operators.rollcall import SUBSTANTIAL, affiliation, cast_votes, open_end, share, with_subject
 from plenum.plans.model import TOPICS as TOPIC_ORDER
 from plenum.plans.model import Model
-from plenum.session import ended
+from plenum.session import saved
 
 
 def party_main_group(m: Model) -> DataFrame:
@@ -134,7 +134,7 @@ def frequent_itemsets(items: DataFrame, min_support: float, longest: int = 3, le
     Level by level: only items that are frequent themselves are joined to pairs, only frequent
     pairs to triples.
     """
-    items = ended(items)  # every level is planned from here
+    items = saved(items, "items")  # every level is planned from here
     sizes = items.groupBy("scope", "key").agg(F.count("*").alias("k")).where(F.col("k") >= least_items)
     rows = items.join(sizes.drop("k"), ["scope", "key"])
     total = sizes.groupBy("scope").agg(F.count("*").cast("double").alias("total"))
@@ -163,7 +163,7 @@ def rules(sets: DataFrame, min_confidence: float = 0.7, min_lift: float = 1.15)
 
     Ties of the rounded lift: fewer antecedents, then their order.
     """
-    sets = ended(sets)
+    sets = saved(sets, "itemsets")
     n = F.size("items")
     masks = F.sequence(F.lit(1), F.shiftleft(F.lit(1), 3) - 2)
     split = sets.where(n >= 2).withColumn("mask", F.explode(masks)).where(F.col("mask") < F.pow(F.lit(2), n) - 1)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plenum.functions import text as tx
+from plenum.operators import classes as cl
 from plenum.operators import matching as mt
 from plenum.operators import pages as pg
 from plenum.plans.model import TOPICS
@@ -51,8 +52,19 @@ add(
     lambda s, d: read(s, d, "supplier").select("s_suppkey", tx.ascii_name(F.expr(ACCENTED.replace("chr(64257)", "'\ufb01'"))).alias("plain"), tx.folded_name(F.expr(ACCENTED.replace("chr(64257)", "'\ufb01'"))).alias("folded")),
     "SELECT s_suppkey, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')) || ' ete nandu' || s_nationkey || ' fi' AS plain, trim(regexp_replace(lower(s_name), '[^a-z0-9]+', ' ', 'g')) || ' ete uber nandu' || s_nationkey || ' fi' AS folded FROM supplier",
 )
-add("subject_dedup", lambda s, d: mt.deduplicated(read(s, d, "supplier").selectExpr("s_suppkey AS id", "CASE WHEN s_suppkey % 4 = 0 THEN CAST(s_suppkey % 12 AS STRING) END AS wiki_id", "CASE WHEN s_suppkey % 4 > 0 THEN left(s_name, 17) END AS abbr", "CASE WHEN s_nationkey > 3 THEN s_nationkey END AS country")).select("id", "canonical"),
-    "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN min(s_suppkey) OVER (PARTITION BY s_suppkey % 4 = 0, s_suppkey % 12) ELSE min(s_suppkey) OVER (PARTITION BY s_suppkey % 4 = 0, left(s_name, 17), CASE WHEN s_nationkey > 3 THEN s_nationkey END) END AS canonical FROM supplier")
+CHAIN = ["CASE WHEN s_suppkey % 5 > 0 THEN 'w' || s_suppkey {d} 2 END AS wiki_id", "CASE WHEN s_suppkey % 16 NOT IN (0, 15) THEN 'a' || (s_suppkey + 1) {d} 2 END AS abbr", "CASE WHEN s_suppkey % 32 < 16 THEN s_suppkey {d} 32 END AS country"]
+TIED = f"""WITH RECURSIVE s AS (SELECT s_suppkey AS id, {', '.join(c.format(d='//') for c in CHAIN)} FROM supplier),
+    t AS (SELECT id, 'w' || wiki_id AS key FROM s WHERE wiki_id IS NOT NULL UNION ALL SELECT id, 'a' || abbr || coalesce('-' || country, '') FROM s WHERE abbr IS NOT NULL),
+    r AS (SELECT id, id AS other FROM s UNION SELECT r.id, b.id FROM r JOIN t a ON a.id = r.other JOIN t b ON b.key = a.key), c AS (SELECT id, min(other) AS canonical FROM r GROUP BY id)"""
+
+
+def chained(s, d) -> DataFrame:
+    """Suppliers as subjects in chains, each tied to the one before by wiki id or by abbreviation."""
+    return read(s, d, "supplier").selectExpr("s_suppkey AS id", *(c.format(d="DIV") for c in CHAIN))
+
+
+add("subject_dedup", lambda s, d: cl.deduplicated(chained(s, d)).select("id", "canonical"), f"{TIED} SELECT id, canonical FROM c")
+add("subject_aliases", lambda s, d: cl.aliases(chained(s, d), read(s, d, "supplier").where("s_suppkey % 7 = 0").selectExpr("s_suppkey AS id")), f"{TIED} SELECT id, canonical FROM c WHERE id <> canonical AND id % 7 > 0")
 add("match_cascade", lambda s, d: mt.cascade(read(s, d, "customer").selectExpr("c_custkey AS key", "CASE WHEN c_custkey % 3 = 0 THEN concat('Q', c_custkey) END AS wiki_id", "upper(replace(c_name, 'Customer', 'Supplier')) AS full", "c_name AS short"), read(s, d, "supplier").selectExpr("s_suppkey AS id", "concat('Q', s_suppkey) AS wiki_id", "s_name AS name")),
     "SELECT c_custkey AS key, coalesce(w.s_suppkey, f.s_suppkey) AS id, CASE WHEN w.s_suppkey IS NOT NULL THEN 'wiki_id' WHEN f.s_suppkey IS NOT NULL THEN 'full_name' ELSE 'none' END AS method FROM customer LEFT JOIN supplier w ON c_custkey % 3 = 0 AND w.s_suppkey = c_custkey LEFT JOIN supplier f ON lower(f.s_name) = lower(replace(c_name, 'Customer', 'Supplier'))")
 add("registry_clusters", lambda s, d: mt.clusters(read(s, d, "supplier").selectExpr("s_nationkey AS country", "left(s_name, 17) AS label", "s_suppkey AS id")).select(F.col("country").cast("long").alias("country"), "label", F.concat_ws(",", F.col("ids").cast("array<string>")).alias("ids")), "SELECT CAST(s_nationkey AS BIGINT) AS country, left(s_name, 17) AS label, string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY s_suppkey) AS ids FROM supplier GROUP BY 1, 2")

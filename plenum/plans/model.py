@@ -5,6 +5,7 @@ Suppliers are members, parts are votes, a line of a part by a supplier is that m
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,7 +47,10 @@ SOURCES = ("supplier", "nation", "part", "lineitem", "orders", "customer")
 
 @dataclass
 class Model:
-    """The model tables; any set of DataFrames with these columns will do."""
+    """The model tables; any set of DataFrames with these columns will do.
+
+    prepared: gives the votes of groups from tables made before, see plans/prepared.py; without it they are joined anew.
+    """
 
     members: DataFrame
     votes: DataFrame
@@ -56,6 +60,7 @@ class Model:
     memberships: DataFrame
     government: DataFrame
     indicators: DataFrame
+    prepared: Callable[[], DataFrame] | None = None
 
 
 def from_orders(spark: SparkSession, sf_dir: str) -> Model:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from plenum.operators import rollcall as rc
 from plenum.operators import topics as tp
-from plenum.plans.model import Model, from_orders, twin
+from plenum.plans import prepared
+from plenum.plans.model import Model, twin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -19,7 +20,7 @@ def add(name: str, f: Callable[[Model], DataFrame], sql: str | None) -> None:
     """Counts go out as long, days as text."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = f(from_orders(spark, sf_dir))
+        df = f(prepared.model(spark, sf_dir))
         return df.select(*(F.col(c).cast("long").alias(c) if t in ("int", "bigint") else F.col(c).cast("string").alias(c) if t == "date" else F.col(c) for c, t in df.dtypes))
 
     QUERIES[name] = run
@@ -112,7 +113,7 @@ OPP = "SELECT CAST(term AS BIGINT) AS scope, vote_id AS key, item FROM vote_item
 
 
 def opposition_items(m: Model) -> DataFrame:
-    p = rc.plurality(rc.group_votes(m)).join(rc.term_votes(m).where("final IS TRUE").select("vote_id", "term"), "vote_id")
+    p = rc.group_votes(m).where(rc.SUBSTANTIAL).where("final IS TRUE").groupBy("term", "vote_id", "subject_id").agg(F.min("plurality").alias("plurality"))
     said = F.when(F.col("plurality") == 1, "FOR").when(F.col("plurality") == 2, "AGAINST").otherwise("ABSTAIN")
     return p.select(F.col("term").cast("long").alias("scope"), F.col("vote_id").alias("key"), F.concat_ws(":", F.col("subject_id").cast("string"), said).alias("item")).distinct()
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,8 +14,10 @@ from plenum.operators import flatten as fl
 from plenum.operators import matching as mt
 from plenum.operators import rollcall as rc
 from plenum.operators import topics as tp
+from plenum.plans import prepared
 from plenum.plans import queries as rq
-from plenum.plans.model import Model, from_orders, twin
+from plenum.plans.model import MODEL, Model, from_orders, twin
+from plenum.session import shared_dir
 from plenum.sources import landed as ld
 
 QUERIES, SQL = {}, {}
@@ -29,7 +33,7 @@ def model(name: str, f, sql: str) -> None:
     """A query over the roll-call model: counts go out as long, days as text."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        df = f(from_orders(spark, sf_dir))
+        df = f(prepared.model(spark, sf_dir))
         return df.select(*(F.col(c).cast("long").alias(c) if t in ("int", "bigint") else F.col(c).cast("string").alias(c) if t == "date" else F.col(c) for c, t in df.dtypes))
 
     add(name, run, twin(sql))
@@ -160,10 +164,10 @@ YEAR = "CAST(2000 + s_suppkey // 40 AS BIGINT)"
 
 
 def parties(s, d) -> tuple[DataFrame, DataFrame]:
-    """Truth and extracted parties: of five the same name, the abbreviation, one word of it, none, another name."""
+    """Truth and extracted parties: of five the same name in other letters, the abbreviation, one word of it, none, another name or what all have in parentheses."""
     t = read(s, d, "supplier").selectExpr("CAST(s_nationkey AS LONG) AS country", "2000 + s_suppkey DIV 40 AS year", "s_suppkey AS pos", "'pty' || translate(CAST(s_suppkey AS STRING), '0123456789', 'abcdefghij') AS word", "s_suppkey AS k", "s_nationkey", "s_acctbal")
-    truth = t.selectExpr("country", "year", "pos", "concat('Union of ', word, ' (the people)') AS name", "concat('X', word) AS abbr", "k % 30 AS seats", "k % 2 = 0 AS in_government")
-    said = "CASE k % 5 WHEN 0 THEN concat('union of ', word) WHEN 1 THEN concat('x', word) WHEN 2 THEN word ELSE concat('other ', k) END"
+    truth = t.selectExpr("country", "year", "pos", "concat('\u00danion of ', word, '\u00e9 (the people)') AS name", "concat('X-', word) AS abbr", "k % 30 AS seats", "k % 2 = 0 AS in_government")
+    said = "CASE k % 5 WHEN 0 THEN concat('Union OF ', word, 'e\u0301!') WHEN 1 THEN concat('x ', word) WHEN 2 THEN concat(word, 'E') ELSE IF(k % 2 = 0, 'People', concat('other ', k)) END"
     found = t.where("k % 5 <> 3").selectExpr("country", "year", "pos", f"{said} AS name", "k % 30 + IF(k % 7 = 0, 1, 0) AS seats", "IF(k % 3 = 0, NULL, k % 4 = 0) AS in_government")
     return ev.named(truth, "name", "abbr"), ev.named(found)
 
@@ -207,23 +211,46 @@ add(
 )
 add(
     "first_attempts",
-    lambda s, d: ev.first_attempts(read(s, d, "supplier").selectExpr("s_suppkey AS key", "concat('u', s_nationkey, s_suppkey % 2) AS url", "concat(' NAME', s_suppkey % 97) AS name"), read(s, d, "customer").where("c_custkey % 3 = 0").selectExpr("c_custkey AS no", "concat('u', c_nationkey, c_custkey % 3) AS url", "concat('name', c_custkey % 450) AS name")),
+    lambda s, d: ev.first_attempts(read(s, d, "supplier").selectExpr("s_suppkey AS key", "concat('u', s_nationkey, s_suppkey % 2) AS url", "concat('(of) N\u00c1ME-', s_suppkey % 97) AS name"), read(s, d, "customer").where("c_custkey % 3 = 0").selectExpr("c_custkey AS no", "concat('u', c_nationkey, c_custkey % 3) AS url", "concat('na\u0301me ', c_custkey % 450, '!') AS name")),
     """SELECT s_suppkey AS key, min(c_custkey) AS no FROM supplier LEFT JOIN customer ON c_custkey % 3 = 0
     AND ('u' || s_nationkey || s_suppkey % 2 = 'u' || c_nationkey || c_custkey % 3 OR s_suppkey % 97 = c_custkey % 450) GROUP BY s_suppkey""",
 )
 
 
+PARTY = """CASE {k} % 8 WHEN 0 THEN 'B\u00f6dy ' || {k} WHEN 1 THEN 'W' || {k} WHEN 2 THEN 'Shared' WHEN 3 THEN 'None (of it)' WHEN 4 THEN 'Gr\u00fcn g' || {k} || ' left' WHEN 5 THEN 'Some (\u00c5' || {k} || ') \u00dfthing' WHEN 6 THEN 'Q' ELSE 'tie t' || {k} END"""
+BODY = {"name": "'body ' || {k} || ' (\u00e5' || {k} || ')'", "abbr": "CASE {k} % 8 WHEN 1 THEN 'the w' || {k} WHEN 4 THEN 'G' || {k} WHEN 6 THEN 'q x' WHEN 7 THEN 'T' || {k} ELSE CASE WHEN {k} % 16 < 6 THEN 'sh\u00e1red' ELSE 'late ' || {k} END END", "more": "CASE WHEN {k} % 3 = 0 THEN 'late ' || {k} WHEN {k} % 8 = 7 THEN 'tie' END"}
+
+
 def registry(s, d):
-    """Parties by country with their aliases; bodies of the registry with theirs."""
-    p = read(s, d, "supplier").selectExpr("s_suppkey AS key", "s_nationkey AS country", "CASE s_suppkey % 4 WHEN 0 THEN array('body ' || s_suppkey, 'x') WHEN 1 THEN array('w' || s_suppkey) WHEN 2 THEN array('shared') ELSE array('none') END AS aliases")
-    g = read(s, d, "supplier").selectExpr("s_nationkey AS country", "'B' || s_suppkey AS label", "array('body ' || s_suppkey, 'the w' || s_suppkey, IF(s_suppkey % 8 < 4, 'shared', 'y'), 'late ' || s_suppkey) AS aliases")
-    return p, g
+    """Parties by country with their aliases; bodies of the registry with theirs: accents, parentheses, words either way, ties."""
+    k = {"k": "s_suppkey"}
+    p = read(s, d, "supplier").selectExpr("s_suppkey AS key", "s_nationkey AS country", f"{PARTY.format(**k)} AS name", "IF(s_suppkey % 8 = 3, 'x\u00e9', NULL) AS abbr")
+    g = read(s, d, "supplier").selectExpr("s_nationkey AS country", "'B' || s_suppkey AS label", *(f"{v.format(**k)} AS {c}" for c, v in BODY.items()))
+    p = p.select("key", "country", tx.aliases(F.col("name"), F.col("abbr"), form="folded").alias("aliases"))
+    return p, g.select("country", "label", tx.aliases(F.col("name"), F.col("abbr"), F.col("more"), form="folded").alias("aliases"))
+
+
+def forms_sql(name: str, *more: str) -> str:
+    """In DuckDB: the distinct normal forms of a name, of it without parentheses, of what is in them, and of `more`."""
+    plain = lambda x: f"trim(regexp_replace(lower(strip_accents({x})), '[^a-z0-9]+', ' ', 'g'))"
+    outer = ", ".join(plain(x) for x in (name, f"regexp_replace({name}, '\\([^)]*\\)', ' ', 'g')", *more))
+    return f"list_distinct([x FOR x IN list_concat([{outer}], [{plain('y')} FOR y IN regexp_extract_all({name}, '\\(([^)]*)\\)', 1)]) IF x <> ''])"
+
 
+def match_sql(extra: str = "NULL") -> str:
+    """Every party of a country against every body; extra: one more name of the party."""
+    one = lambda a, b: f"len([x FOR x IN {a} IF NOT contains(x, ' ') AND len(x) >= 2 AND list_contains(string_split(array_to_string({b}, ' '), ' '), x)]) > 0"
+    k = {"k": "s_suppkey"}
+    return f"""SELECT key, CASE WHEN e = 1 THEN e1 WHEN e = 0 AND t = 1 THEN t1 END AS label, CASE WHEN e = 1 THEN 'exact_alias' WHEN e > 1 THEN 'ambiguous' WHEN t = 1 THEN 'token_containment' WHEN t > 1 THEN 'ambiguous' ELSE 'no_match' END AS method
+    FROM (SELECT key, count(*) FILTER (WHERE exact) AS e, min(label) FILTER (WHERE exact) AS e1, count(*) FILTER (WHERE part) AS t, min(label) FILTER (WHERE part) AS t1
+    FROM (SELECT key, label, coalesce(list_has_any(a, b), false) AS exact, coalesce({one('a', 'b')} OR {one('b', 'a')}, false) AS part
+    FROM (SELECT s_suppkey AS key, s_nationkey AS country, {forms_sql('name', "CASE WHEN s_suppkey % 8 = 3 THEN 'x\u00e9' END", extra)} AS a FROM (SELECT *, {PARTY.format(**k)} AS name FROM supplier) n) p
+    LEFT JOIN (SELECT 'B' || s_suppkey AS label, s_nationkey AS country, {forms_sql('name', 'abbr', 'more')} AS b FROM (SELECT *, {', '.join(f'{v.format(**k)} AS {c}' for c, v in BODY.items())} FROM supplier) n) g USING (country)) x GROUP BY key) y"""
 
-SHARED = """(SELECT s_nationkey AS nation, count(*) AS n, min('B' || s_suppkey) AS one FROM supplier WHERE s_suppkey % 8 < 4 GROUP BY s_nationkey)"""
-MATCH = f"""SELECT s_suppkey AS key, CASE WHEN s_suppkey % 4 < 2 THEN 'B' || s_suppkey WHEN s_suppkey % 4 = 2 AND n = 1 THEN one END AS label,
-    CASE s_suppkey % 4 WHEN 0 THEN 'exact_alias' WHEN 1 THEN 'token_containment' WHEN 2 THEN CASE WHEN n = 1 THEN 'exact_alias' WHEN n > 1 THEN 'ambiguous' ELSE 'no_match' END ELSE 'no_match' END AS method FROM supplier LEFT JOIN {SHARED} h ON nation = s_nationkey"""
-SECOND = f"""SELECT key, CASE WHEN late THEN 'B' || key ELSE label END AS label, CASE WHEN late THEN 'exact_alias+aliases' ELSE method END AS method FROM (SELECT *, method = 'no_match' AND key % 3 = 0 AS late FROM ({MATCH}) m) x"""
+
+MATCH = match_sql()
+SECOND = f"""SELECT m.key, CASE WHEN m.label IS NULL AND w.label IS NOT NULL THEN w.label ELSE m.label END AS label, CASE WHEN m.label IS NULL AND w.label IS NOT NULL THEN w.method || '+aliases' ELSE m.method END AS method
+    FROM ({MATCH}) m LEFT JOIN (SELECT * FROM ({match_sql("'late ' || s_suppkey")}) x WHERE key % 3 = 0) w USING (key)"""
 
 
 def second_pass(s, d):
@@ -236,6 +263,59 @@ add("registry_second_pass", second_pass, SECOND)
 add("registry_overrides", lambda s, d: mt.with_overrides(mt.registry_match(*registry(s, d)), read(s, d, "supplier").where("s_suppkey % 10 = 0").selectExpr("s_suppkey AS key", "'reviewed' AS label", "'manual' AS method")), f"SELECT key, CASE WHEN key % 10 = 0 THEN 'reviewed' ELSE label END AS label, CASE WHEN key % 10 = 0 THEN 'manual' ELSE method END AS method FROM ({MATCH}) m")
 add("registry_outcomes", lambda s, d: mt.outcomes(second_pass(s, d)), f"SELECT method, count(*) AS n, round(count(*) / CAST((SELECT count(*) FROM supplier) AS DOUBLE), 4) AS share FROM ({SECOND}) m GROUP BY method")
 
+# --- the prepared votes of groups: what a change of the input remakes, and how many rows each step has
+CHANGED = "vote_id % 40 = 25"  # votes of one session of the second term
+
+
+def prepared_twice(s, d) -> tuple[DataFrame, prepared.Prepared]:
+    """Prepared anew in a folder of its own, then brought up to date after votes of one term were taken back."""
+    m = from_orders(s, d)
+    own = prepared.Prepared(s, f"{shared_dir(s)}/prepared-{uuid.uuid4().hex}")
+    own.refresh(m)
+    m.member_votes = m.member_votes.withColumn("option", F.when(F.expr(CHANGED) & (F.col("member_id") % 2 == 0), 3).otherwise(F.col("option")))
+    return own.refresh(m), own
+
+
+def prepared_changes(s, d) -> DataFrame:
+    remade, own = prepared_twice(s, d)
+    rows = own.votes().groupBy("term").agg(F.count("*").alias("n"), F.sum("plurality").alias("pluralities"), F.sum("option").alias("options"))
+    return rows.join(remade, "term").select(F.col("term").cast("long").alias("term"), "remade", "n", "pluralities", "options")
+
+
+def stage_counts(s, d) -> DataFrame:
+    _, own = prepared_twice(s, d)
+    return s.createDataFrame(sorted(own.counts.items()), "step string, n long")
+
+
+NEW_VOTES = MODEL["member_votes"].replace("{", "").replace("}", "")
+NEW = f"""member_votes AS (SELECT vote_id, member_id, CASE WHEN {CHANGED} AND member_id % 2 = 0 THEN 3 ELSE option END AS option FROM ({NEW_VOTES}) o)"""
+add("prepared_changes", prepared_changes, twin("""SELECT CAST(term AS BIGINT) AS term, term = 10 AS remade, count(*) AS n, CAST(sum(plurality) AS BIGINT) AS pluralities, CAST(sum(option) AS BIGINT) AS options
+    FROM group_votes LEFT JOIN plurality USING (vote_id, subject_id) GROUP BY term""").replace(f"member_votes AS ({NEW_VOTES})", NEW))
+add("stage_counts", stage_counts, twin("""SELECT 'read' AS step, (SELECT count(*) FROM member_votes) AS n UNION ALL SELECT 'cast', (SELECT count(*) FROM cast_votes WHERE term = 10)
+    UNION ALL SELECT 'with_group', (SELECT count(*) FROM group_votes WHERE term = 10) UNION ALL SELECT 'written', (SELECT count(*) FROM group_votes WHERE term = 10)"""))
+
+# --- ids of entities in the scripts of pages: broken, in a second script, of another host, empty, no text
+SCRIPTS = ['{"mainEntity": "http://www.wikidata.org/entity/Q%"}', '{broken', '{"sameAs": "https://www.wikidata.org/wiki/Q%"}', '{"mainEntity": "https://example.org/Q%", "sameAs": "http://wikidata.org/Q1"}', '{"mainEntity": "", "sameAs": "http://wikidata.org/Q%x"}', '["wikidata.org/Q5"]', '{"mainEntity": {"@id": "wikidata.org/Q6"}, "sameAs": "wikidata.org/Q%"}', '{"mainEntity": null, "sameAs": "wikidata.org/none"}']
+
+
+def page_scripts(s, d) -> DataFrame:
+    """pages with a script by the page's number, and another by its number / 8, before its own text."""
+    tag = lambda no: F.concat(F.lit('<SCRIPT id=x type="application/ld+json">\n'), F.replace(F.element_at(F.array(*map(F.lit, SCRIPTS)), (no + 1).cast("int")), F.lit("%"), F.col("page_id").cast("string")), F.lit("</script>"))
+    first, second = (F.floor(F.col("page_id") / n) % 8 for n in (1, 8))
+    return read(s, d, "pages").select("page_id", F.concat(F.lit('<script type="text/javascript">{"sameAs": "wikidata.org/Q7"}</script>'), tag(first), tag(second), F.coalesce("html", F.lit(""))).alias("html"))
+
+
+SCRIPT = "replace([" + ", ".join(f"'{x}'" for x in SCRIPTS) + "][CAST(page_id // @ % 8 AS INT) + 1], '%', CAST(page_id AS VARCHAR))"
+MAIN = "json_extract(j, '$.mainEntity')"
+add(
+    "page_entity_ids",
+    lambda s, d: page_scripts(s, d).select("page_id", tx.entity_id(F.col("html")).alias("entity")),
+    f"""WITH s AS (SELECT page_id, no, CASE WHEN json_valid(j) THEN CAST(j AS JSON) END AS j FROM (SELECT page_id, 1 AS no, {SCRIPT.replace('@', '1')} AS j FROM pages UNION ALL SELECT page_id, 2, {SCRIPT.replace('@', '8')} FROM pages) x),
+    u AS (SELECT page_id, no, CASE WHEN {MAIN} IS NULL OR json_type({MAIN}) = 'NULL' OR CAST({MAIN} AS VARCHAR) IN ('""', '0', 'false', '[]', '{{}}') THEN json_extract(j, '$.sameAs') ELSE {MAIN} END AS v FROM s),
+    i AS (SELECT page_id, no, nullif(regexp_extract(v ->> '$', 'Q[0-9]+'), '') AS id FROM u WHERE json_type(v) = 'VARCHAR' AND contains(v ->> '$', 'wikidata.org'))
+    SELECT page_id, arg_min(id, no) AS entity FROM pages LEFT JOIN (SELECT * FROM i WHERE id IS NOT NULL) i USING (page_id) GROUP BY page_id""",
+)
+
 # --- analyses with an order, a filter or a top list
 PLACE = "row_number() OVER (PARTITION BY {} ORDER BY {})"
 
@@ -289,7 +369,7 @@ RULES = rq.rules_sql(rq.DEV, 0.2, 1)
 
 
 def deviation_rules(m: Model) -> tuple[DataFrame, DataFrame]:
-    items = tp.ended(tp.deviation_items(m))
+    items = tp.saved(tp.deviation_items(m), "deviations")
     return tp.rules(tp.frequent_itemsets(items, 0.2)), items
 
 

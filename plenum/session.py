@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -27,17 +28,37 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def ended(df: DataFrame) -> DataFrame:
-    """`df` written to the folder that the session names in spark.checkpoint.dir, and read from there.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as the session names it in spark.checkpoint.dir.
 
     Only a session in local mode, as in tests, may leave it unset and gets a folder of its own.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local") or "cluster" in context.master:
-                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as Parquet to the shared folder and read from there: its lineage ends, its statistics are known."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def removed(*tables: DataFrame) -> None:
+    """Remove what `saved` wrote, once nothing reads it any more."""
+    for df in tables:
+        if path := df.__dict__.pop("_saved_at", None):
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
