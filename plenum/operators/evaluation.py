@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plenum.functions import text as tx
-from plenum.operators.matching import bootstrap, f_score
+from plenum.operators.matching import f_score
+from plenum.operators.resample import bootstrap
 
 RECORD = ["country", "year"]
 
@@ -104,11 +105,12 @@ def first_attempts(parties: DataFrame, attempts: DataFrame) -> DataFrame:
     return parties.select("key").join(by_url.union(by_name).groupBy("key").agg(F.min("no").alias("no")), "key", "left")
 
 
-def intervals(records: DataFrame, n_boot: int = 10_000) -> DataFrame:
-    """Bootstrap interval of F1 of each mode of records(mode, no, tp, fp, fn), over the records that all modes have."""
+def intervals(records: DataFrame, n_boot: int = 10_000, *key: str) -> DataFrame:
+    """Bootstrap interval of F1 of each mode of records(mode, key..., tp, fp, fn), over the records that all modes have."""
+    key = key or tuple(RECORD)
     n = records.select("mode").distinct().count()
-    common = records.groupBy("no").agg(F.count_distinct("mode").alias("n")).where(F.col("n") == n).select("no")
-    return bootstrap(records.join(common, "no", "left_semi"), n_boot, 42, "mode")
+    common = records.groupBy(*key).agg(F.count_distinct("mode").alias("n")).where(F.col("n") == n).select(*key)
+    return bootstrap(records.join(common, list(key), "left_semi"), n_boot, 42, "mode", key=key)
 
 
 def write_report(records: DataFrame, path: str) -> None:

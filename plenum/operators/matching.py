@@ -99,29 +99,6 @@ def scores(records: DataFrame, *by: str) -> DataFrame:
     return s
 
 
-def bootstrap(records: DataFrame, n_boot: int = 10_000, seed: int = 42, *tags: str) -> DataFrame:
-    """95 % interval of F1 over resampled records(no 0..n-1, tp, fp, fn): draws by seeded hash, the same for every tag."""
-    spark, n = records.sparkSession, records.select("no").distinct().count()
-    draws = spark.range(n_boot).withColumnRenamed("id", "boot").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(max(n, 1))))).withColumn("no", F.pmod(F.xxhash64("boot", "k", F.lit(seed)), F.lit(max(n, 1))))
-    s = draws.join(records, "no").groupBy(*tags, "boot").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
-    s = s.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0)))
-    place = F.row_number().over(Window.partitionBy(*(tags or (F.lit(1),))).orderBy("f1", "boot")) - 1
-    at = lambda q: F.max(F.when(F.col("place") == int(q * n_boot), F.col("f1")))
-    return s.withColumn("place", place).groupBy(*tags).agg(F.avg("f1").alias("mean"), at(0.025).alias("low"), at(0.975).alias("high"))
-
-
-def paired_bootstrap(a: DataFrame, b: DataFrame, n_boot: int = 10_000, seed: int = 42) -> DataFrame:
-    """Difference of F1 with the same draws for both: mean, interval, two-sided p."""
-    both = a.select("no", *(F.col(c).alias(f"{c}1") for c in ("tp", "fp", "fn"))).join(b.select("no", *(F.col(c).alias(f"{c}2") for c in ("tp", "fp", "fn"))), "no")
-    spark, n = a.sparkSession, both.count()
-    draws = spark.range(n_boot).withColumnRenamed("id", "boot").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(max(n, 1))))).withColumn("no", F.pmod(F.xxhash64("boot", "k", F.lit(seed)), F.lit(max(n, 1))))
-    s = draws.join(both, "no").groupBy("boot").agg(*(F.sum(f"{c}{k}").alias(f"{c}{k}") for c in ("tp", "fp", "fn") for k in "12"))
-    f1 = lambda k: F.coalesce(F.try_divide(2 * F.col(f"tp{k}"), 2 * F.col(f"tp{k}") + F.col(f"fp{k}") + F.col(f"fn{k}")), F.lit(0.0))
-    s = s.withColumn("d", f1("1") - f1("2")).withColumn("place", F.row_number().over(Window.orderBy("d", "boot")) - 1)
-    at = lambda q: F.max(F.when(F.col("place") == int(q * n_boot), F.col("d")))
-    return s.agg(F.avg("d").alias("mean"), at(0.025).alias("low"), at(0.975).alias("high"), F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("d") <= 0).cast("double")), F.avg((F.col("d") >= 0).cast("double")))).alias("p"))
-
-
 def differences(actual: DataFrame, expected: DataFrame, *key: str, tolerance: float = 0.01) -> DataFrame:
     """Keys that one side lacks or whose expected columns differ by more than the tolerance."""
     rest = [c for c in expected.columns if c not in key]

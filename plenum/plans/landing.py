@@ -9,6 +9,7 @@ from plenum.functions import text as tx
 from plenum.operators import classes as cl
 from plenum.operators import matching as mt
 from plenum.operators import pages as pg
+from plenum.operators import resample as rs
 from plenum.plans.model import TOPICS
 from plenum.sources import landed as ld
 
@@ -45,7 +46,9 @@ add("election_spells", lambda s, d: ld.election_spells(read(s, d, "orders").join
     "WITH r AS (SELECT CAST(c_nationkey AS VARCHAR) AS country, year(o_orderdate) AS year, c_mktsegment AS party, o_orderkey % 9 = 0 AS g FROM orders JOIN customer ON o_custkey = c_custkey), y AS (SELECT country, year, lead(year) OVER (PARTITION BY country ORDER BY year) AS nxt FROM (SELECT DISTINCT country, year FROM r) x) SELECT DISTINCT r.country, party, year AS year_from, nxt AS year_to FROM r JOIN y USING (country, year) WHERE g")
 add("uri_parts", lambda s, d: read(s, d, "pages").select("page_id", tx.basename(F.col("url")).alias("last"), tx.digits(tx.basename(F.col("url"))).cast("long").alias("number")), "SELECT page_id, split_part(url, '/', -1) AS last, try_cast(regexp_replace(split_part(url, '/', -1), '[^0-9]', '', 'g') AS BIGINT) AS number FROM pages")
 add("iso_timestamps", lambda s, d: read(s, d, "orders").select("o_orderkey", tx.timestamp(F.concat(F.lit("http://x/"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))).alias("ts")), "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS ts FROM orders")
-add("colours", lambda s, d: read(s, d, "supplier").select("s_suppkey", tx.colour(F.lit(None).cast("string"), F.col("s_name")).alias("colour")))
+BITS = "(SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM range(256) r(i)) x)"
+CRC = "xor(list_reduce(list_concat([4294967295], [CAST(ascii(c) AS BIGINT) FOR c IN string_split(s_name, '')]), lambda x, b: xor(x >> 8, t[(xor(x, b) & 255) + 1])), 4294967295)"
+add("colours", lambda s, d: read(s, d, "supplier").select("s_suppkey", tx.colour(F.when(F.col("s_suppkey") % 5 == 0, F.lit("ABCDEF")), F.col("s_name")).alias("colour")), f"SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN '#ABCDEF' ELSE '#' || {tx.COLOURS}[{CRC} % {len(tx.COLOURS)} + 1] END AS colour FROM supplier, {BITS} b")
 ACCENTED = "concat(s_name, ' \u00c9t\u00e9 (\u00fcber) N\u0303and\u00fa', s_nationkey, ' ', chr(64257))"
 add(
     "name_normal_forms",
@@ -81,9 +84,34 @@ def score_sql(by: str) -> str:
 
 add("extraction_scores", lambda s, d: mt.scores(records(s, d)), score_sql(""))
 add("extraction_scores_by_country", lambda s, d: mt.scores(records(s, d), "n_name"), score_sql("n"))
-NUMBERED = lambda s, d: records(s, d).drop("n_name", "strict")
-add("bootstrap_f1", lambda s, d: mt.bootstrap(NUMBERED(s, d), 1000))
-add("paired_bootstrap", lambda s, d: mt.paired_bootstrap(NUMBERED(s, d), NUMBERED(s, d).withColumn("fp", F.col("fp") + 1), 1000))
+NUMBERED = lambda s, d: records(s, d).drop("n_name")
+BOOTS = 10_000
+RECORD_SQL = "r AS (SELECT n_nationkey AS no, count(*) FILTER (WHERE c_acctbal > 0) AS tp, count(*) FILTER (WHERE c_acctbal <= 0) AS fp, count(*) FILTER (WHERE c_custkey % 7 = 0) AS fn, count(*) FILTER (WHERE c_acctbal > 0 AND c_custkey % 2 = 0) AS strict FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY n_nationkey)"
+
+
+def draws_sql(keys: str, n_boot: int = BOOTS) -> str:
+    """The same draws in DuckDB: `p` numbers the keys of r, `b` has the key of each resample and place."""
+    return f"""p AS (SELECT *, row_number() OVER (ORDER BY {keys}) - 1 AS place FROM (SELECT DISTINCT {keys} FROM r) k), c AS (SELECT count(*) AS n FROM p),
+    b AS (SELECT boot, {keys} FROM (SELECT boot, CAST('0x' || substr(md5(concat_ws(':', 42, boot, k)), 1, 15) AS BIGINT) % n AS place FROM range({n_boot}) x(boot), c, range(c.n) y(k)) d JOIN p USING (place))"""
+
+
+def f1_sql(tp: str, fp: str = "fp", fn: str = "fn") -> str:
+    return f"coalesce(2.0::DOUBLE * sum({tp}) / nullif(2 * sum({tp}) + sum({fp}) + sum({fn}), 0), 0)"
+
+
+def interval_sql(v: str, n_boot: int = BOOTS) -> str:
+    return f"round(list_sort(list({v}))[{int(0.025 * n_boot) + 1}], 9) AS low, round(list_sort(list({v}))[{int(0.975 * n_boot) + 1}], 9) AS high"
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+for name, tp in (("bootstrap_f1", "tp"), ("bootstrap_f1_strict", "strict")):
+    add(name, lambda s, d, tp=tp: rounded(rs.bootstrap(NUMBERED(s, d), BOOTS, matched=tp)), f"WITH {RECORD_SQL}, {draws_sql('no')}, f AS (SELECT {f1_sql(tp)} AS v FROM b JOIN r USING (no) GROUP BY boot) SELECT (SELECT round({f1_sql(tp)}, 9) FROM r) AS point, {interval_sql('v')} FROM f")
+add("paired_bootstrap", lambda s, d: rounded(rs.paired_bootstrap(NUMBERED(s, d), NUMBERED(s, d).withColumn("fp", F.col("fp") + F.col("no") % 5 - 2), BOOTS)), f"""WITH {RECORD_SQL}, {draws_sql('no')}, f AS (SELECT {f1_sql('tp')} - {f1_sql('tp', 'fp + no % 5 - 2')} AS v FROM b JOIN r USING (no) GROUP BY boot),
+    o AS (SELECT {f1_sql('tp')} - {f1_sql('tp', 'fp + no % 5 - 2')} AS point FROM r)
+    SELECT round(point, 9) AS point, {interval_sql('v')}, round(least(1.0, 2.0 * CASE WHEN point >= 0 THEN count(*) FILTER (WHERE v <= 0) ELSE count(*) FILTER (WHERE v >= 0) END / {BOOTS}), 9) AS p FROM f, o GROUP BY point""")
 add("keyed_compare", lambda s, d: mt.differences(read(s, d, "part").selectExpr("p_partkey", "p_retailprice + IF(p_partkey % 10 = 0, 1, 0) AS price"), read(s, d, "part").selectExpr("p_partkey", "p_retailprice AS price"), "p_partkey").select("p_partkey"), "SELECT p_partkey FROM part WHERE p_partkey % 10 = 0")
 add("valid_extraction", lambda s, d: mt.valid_extraction(read(s, d, "events").selectExpr("event_id", "CASE WHEN event_id % 2 = 0 THEN '[{\"party_name\":\"A\",\"seats\":1,\"in_government\":true}]' ELSE props END AS raw"), "raw").select("event_id", "schema_valid"), "SELECT event_id, event_id % 2 = 0 AS schema_valid FROM events")
 add("page_reduction", lambda s, d: pg.reduced(read(s, d, "pages"), "text"))

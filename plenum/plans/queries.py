@@ -107,7 +107,12 @@ add("topic_heatmap", lambda m: tp.party_topics(m).join(tp.party_main_group(m), [
 add("topic_share_by_country", lambda m: tp.country_topics(m).withColumn("share", F.round("share", 4)), "SELECT CAST(term AS BIGINT) AS term, topic, country, n, round(share, 4) AS share FROM country_topic")
 IND = "SELECT t.term, i.name, i.country, avg(i.value) AS value FROM indicators i JOIN terms t ON i.year BETWEEN year(t.d_from) AND year(coalesce(t.d_to, DATE '9999-12-31')) WHERE value IS NOT NULL GROUP BY ALL"
 add("topic_indicator_correlation", lambda m: tp.correlations(m).select("term", "topic", "name", "n", F.round("r", 4).alias("r"), F.round("slope", 9).alias("slope"), F.round("intercept", 4).alias("intercept")), f"SELECT CAST(term AS BIGINT) AS term, topic, i.name, count(*) AS n, CASE WHEN count(*) >= 3 THEN round(corr(value, share), 4) END AS r, round(regr_slope(share, value), 9) AS slope, round(regr_intercept(share, value), 4) AS intercept FROM country_topic c JOIN ({IND}) i USING (term, country) GROUP BY ALL")
-add("topic_indicator_pvalue", lambda m: tp.correlations(m).select("term", "topic", "name", F.round("p", 4).alias("p"), tp.stars(F.col("p")).alias("stars")), None)
+# the tail of Student's t with k degrees of freedom, a finite series in the angle whose sine is |r|; odd and even k apart
+SERIES = "list_sum([coalesce(list_aggregate([CASE WHEN k % 2 = 1 THEN 2.0::DOUBLE * j / (2 * j + 1) ELSE (2.0::DOUBLE * j - 1) / (2 * j) END * (1 - r * r) FOR j IN range(1, i + 1)], 'product'), 1) FOR i IN range(0, CASE WHEN k % 2 = 1 THEN (k - 1) // 2 ELSE k // 2 END)])"
+TAIL = f"CASE WHEN k < 1 OR r IS NULL THEN NULL WHEN abs(r) >= 1 THEN 0 WHEN k % 2 = 1 THEN 1 - 2 / pi() * (asin(abs(r)) + CASE WHEN k > 1 THEN abs(r) * sqrt(1 - r * r) * {SERIES} ELSE 0 END) ELSE 1 - abs(r) * {SERIES} END"
+STARS = "CASE WHEN p IS NULL THEN '' WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE 'n.s.' END"
+add("topic_indicator_pvalue", lambda m: tp.correlations(m).select("term", "topic", "name", F.round("p", 4).alias("p"), tp.stars(F.col("p")).alias("stars")), f"""SELECT term, topic, name, round(p, 4) AS p, {STARS} AS stars FROM (SELECT *, greatest({TAIL}, 0) AS p
+    FROM (SELECT CAST(term AS BIGINT) AS term, topic, i.name, count(*) - 2 AS k, CASE WHEN count(*) >= 3 THEN CASE WHEN isfinite(corr(value, share)) THEN corr(value, share) END END AS r FROM country_topic c JOIN ({IND}) i USING (term, country) GROUP BY ALL) q) z""")
 DEV = """SELECT DISTINCT CAST(term AS BIGINT) AS scope, party AS key, topic || ':' || CASE WHEN gap > 0 THEN 'ABOVE' ELSE 'BELOW' END AS item FROM (SELECT term, party, topic, round(share - round(avg(share) OVER (PARTITION BY term, grp, topic), 4), 6) AS gap FROM party_topic JOIN party_group USING (term, party)) d WHERE abs(gap) > 0.10"""
 OPP = "SELECT CAST(term AS BIGINT) AS scope, vote_id AS key, item FROM vote_items JOIN term_votes USING (vote_id)"
 

@@ -14,6 +14,7 @@ from plenum.operators import flatten as fl
 from plenum.operators import matching as mt
 from plenum.operators import rollcall as rc
 from plenum.operators import topics as tp
+from plenum.plans import landing as lg
 from plenum.plans import prepared
 from plenum.plans import queries as rq
 from plenum.plans.model import MODEL, Model, from_orders, twin
@@ -195,7 +196,16 @@ add("record_scores", lambda s, d: scored(s, d).select("country", "year", "tp", "
 add("record_means", lambda s, d: ev.macro(scored(s, d)), f"SELECT {MACRO} FROM ({RECORDS}) r")
 add("record_means_by_country", lambda s, d: ev.macro(scored(s, d), "country"), f"SELECT country, {MACRO} FROM ({RECORDS}) r GROUP BY country")
 add("record_f1_micro", lambda s, d: mt.scores(scored(s, d)).select("tp", "fp", "fn", "strict", "f1_tp", "f1_strict"), f"SELECT tp, fp, fn, strict, round(2.0::DOUBLE * tp / (2 * tp + fp + fn), 4) AS f1_tp, round(2.0::DOUBLE * strict / (2 * tp + fp + fn), 4) AS f1_strict FROM (SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, sum(strict)::BIGINT AS strict FROM ({RECORDS}) r) a")
-add("intervals_by_mode", lambda s, d: ev.intervals(scored(s, d).select(F.explode(F.array(F.lit("html"), F.lit("text"))).alias("mode"), F.dense_rank().over(Window.orderBy("country", "year")).cast("long").alias("no"), "tp", "fp", "fn").where("mode = 'html' OR no % 4 > 0").withColumn("no", F.col("no") - 1), 1000))
+
+def by_mode(s, d) -> DataFrame:
+    modes = F.explode(F.array(F.lit("html"), F.lit("text"))).alias("mode")
+    rows = scored(s, d).select(modes, "country", "year", "tp", "fp", "fn").where("mode = 'html' OR (country + year) % 4 > 0")
+    return rows.withColumn("fp", F.col("fp") + F.when(F.col("mode") == "text", 1).otherwise(0))
+
+
+add("intervals_by_mode", lambda s, d: lg.rounded(ev.intervals(by_mode(s, d), lg.BOOTS)), f"""WITH a AS ({RECORDS}), r AS (SELECT * FROM a WHERE (country + year) % 4 > 0), {lg.draws_sql('country, year')},
+    m AS (SELECT mode, country, year, tp, fp + CASE WHEN mode = 'text' THEN 1 ELSE 0 END AS fp, fn FROM r, (VALUES ('html'), ('text')) v(mode)), f AS (SELECT mode, {lg.f1_sql('tp')} AS v FROM b JOIN m USING (country, year) GROUP BY mode, boot)
+    SELECT mode, point, low, high FROM (SELECT mode, {lg.interval_sql('v')} FROM f GROUP BY mode) i JOIN (SELECT mode, round({lg.f1_sql('tp')}, 9) AS point FROM m GROUP BY mode) o USING (mode)""")
 
 
 def evaluation_log(s, d):

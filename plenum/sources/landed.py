@@ -33,9 +33,24 @@ def read_bindings(spark: SparkSession, path: str, *names: str) -> DataFrame:
     return rows.select(*(F.coalesce(F.col(f"b.{n}.value"), F.lit("")).alias(n) for n in names))
 
 
-def read_arrays(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON arrays of records, with the file of each."""
-    return spark.read.schema(schema).json(path, multiLine=True).withColumn("file", F.input_file_name())
+def read_arrays(spark: SparkSession, path: str, schema: str, needed: str | None = None) -> DataFrame:
+    """JSON arrays of records, with the file of each; records whose field `needed` is no list (a note that they are to be done) are passed over."""
+    rows = spark.read.schema(schema).json(path, multiLine=True).withColumn("file", F.input_file_name())
+    return rows.where(F.col(needed).isNotNull()) if needed else rows
+
+
+def read_wide(spark: SparkSession, path: str) -> DataFrame:
+    """A tab-separated file whose first column holds several dimensions (`freq,unit,geo\\TIME_PERIOD`), then one column a year.
+
+    The dimensions become columns, the country's is `geo`; values lose their flags, `:` is null.
+    """
+    rows = spark.read.csv(path, sep="\t", header=True)
+    first = rows.columns[0]
+    names = [n.strip().split("\\")[0] for n in first.split(",")]
+    parts = F.split(F.col(f"`{first}`"), ",")
+    dims = [F.trim(F.get(parts, F.lit(k))).alias(n) for k, n in enumerate(names)]
+    value = lambda c: F.regexp_extract(F.col(f"`{c}`"), r"^\s*(-?[0-9.]+)", 1).try_cast("double").alias(c.strip())
+    return rows.select(*dims, *(value(c) for c in rows.columns[1:]))
 
 
 def vote_rows(dump: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ import pytest
 from plenum.operators import rollcall as rc
 from plenum.operators import topics as tp
 from plenum.operators.classes import deduplicated
-from plenum.operators.matching import bootstrap, differences, registry_match
+from plenum.operators.matching import differences, registry_match
+from plenum.operators.resample import bootstrap
 from plenum.operators.pages import grid, read
 from plenum.plans.model import Model
 
@@ -181,10 +182,11 @@ def test_landed_files(spark, tmp_path):
     (tmp_path / "truth").mkdir()
     (tmp_path / "truth/a.json").write_text(json.dumps({"country": "A", "parties": [{"party_name": "x"}]}))
     (tmp_path / "truth/b.json").write_text(json.dumps({"country": "B", "parties": "none"}))
-    assert [r.country for r in ld.read_arrays(spark, f"{tmp_path}/truth/*.json", "country STRING, parties ARRAY<STRUCT<party_name: STRING>>").where("parties IS NOT NULL").collect()] == ["A"]
-    (tmp_path / "wide.tsv").write_text("unit,geo\\TIME_PERIOD\t1999 \t2000 \nT,AT\t1\t2\n")
-    wide = fl.geo_named(spark.read.csv(f"{tmp_path}/wide.tsv", sep="\t", header=True).withColumnRenamed("unit,geo\\TIME_PERIOD", "geo\\TIME_PERIOD"))
-    assert {tuple(r) for r in ld.years_to_rows(wide).collect()} == {("T,AT", "1", 1999), ("T,AT", "2", 2000)}
+    assert [r.country for r in ld.read_arrays(spark, f"{tmp_path}/truth/*.json", "country STRING, parties ARRAY<STRUCT<party_name: STRING>>", "parties").collect()] == ["A"]
+    (tmp_path / "wide.tsv").write_text("freq,unit,geo\\TIME_PERIOD\t1999 \t2000 \nA,T,AT\t1 b\t: \nA,M,BE\t-2.5\t4 e\n")
+    wide = fl.by_dimensions(ld.read_wide(spark, f"{tmp_path}/wide.tsv"), {"unit": "T", "sex": "F"}, countries=["AT", "BE"])
+    assert {tuple(r) for r in ld.years_to_rows(wide).collect()} == {("AT", 1999, 1.0), ("AT", 2000, None)}
+    assert {(r.geo, r.value) for r in ld.years_to_rows(ld.read_wide(spark, f"{tmp_path}/wide.tsv")).where("unit = 'M'").collect()} == {("BE", -2.5), ("BE", 4.0)}
     doc = spark.read.text(f"{tmp_path}/doc.json").withColumnRenamed("value", "doc")
     assert sorted(r.leaf for r in fl.leaves(doc, "doc", "data/*/tags/*/b").collect()) == ["1", "2"]
     df = spark.createDataFrame([("9", "a b/c", 1), ("10", "d", 2)], "term string, member string, n int")
