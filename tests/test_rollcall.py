@@ -186,7 +186,7 @@ def test_landed_files(spark, tmp_path):
     (tmp_path / "wide.tsv").write_text("freq,unit,geo\\TIME_PERIOD\t1999 \t2000 \nA,T,AT\t1 b\t: \nA,M,BE\t-2.5\t4 e\n")
     wide = fl.by_dimensions(ld.read_wide(spark, f"{tmp_path}/wide.tsv"), {"unit": "T", "sex": "F"}, countries=["AT", "BE"])
     assert {tuple(r) for r in ld.years_to_rows(wide).collect()} == {("AT", 1999, 1.0), ("AT", 2000, None)}
-    assert {(r.geo, r.value) for r in ld.years_to_rows(ld.read_wide(spark, f"{tmp_path}/wide.tsv")).where("unit = 'M'").collect()} == {("BE", -2.5), ("BE", 4.0)}
+    assert {(r.geo, r.value) for r in ld.years_to_rows(ld.read_wide(spark, f"{tmp_path}/wide.tsv").where("unit = 'M'")).collect()} == {("BE", -2.5), ("BE", 4.0)}
     doc = spark.read.text(f"{tmp_path}/doc.json").withColumnRenamed("value", "doc")
     assert sorted(r.leaf for r in fl.leaves(doc, "doc", "data/*/tags/*/b").collect()) == ["1", "2"]
     df = spark.createDataFrame([("9", "a b/c", 1), ("10", "d", 2)], "term string, member string, n int")
