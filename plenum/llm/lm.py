@@ -16,7 +16,6 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +31,8 @@ LOWER[65:91] += 32
 
 
 def held_out(doc_ids: list) -> np.ndarray:
-    return np.array([zlib.crc32(str(i).encode()) % 10 == 0 for i in doc_ids], bool)
+    """Whether a document teaches nothing; one without an id does teach."""
+    return np.array([i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i in doc_ids], bool)
 
 
 def tokens(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -157,21 +157,30 @@ class Model:
         result[order] = out
         return result
 
-    def train(self, ids: np.ndarray, streams: int = 128, least_steps: int = 32, rate: float = 0.008) -> None:
-        """One pass of Adam over a run of tokens laid out in streams; gradients reach SPAN steps back.
+    def train(self, ids: np.ndarray, sizes: np.ndarray, streams: int = 128, least_steps: int = 32, rate: float = 0.008) -> None:
+        """One pass of Adam over the documents' tokens, one after the other, laid out in streams; gradients reach SPAN steps back.
 
-        Fewer streams where the run is short, so that there are `least_steps` windows.
+        Every token is a target once; what is missing to the last stream's end counts nothing. The
+        state begins anew with each document. Fewer streams where the tokens are few, so that there
+        are `least_steps` windows.
         """
         if not len(ids):
             return
         streams = min(streams, max(1, len(ids) // (SPAN * least_steps)))
-        width = len(ids) // streams
-        x = ids[: width * streams].reshape(streams, width)
+        width = -(-len(ids) // streams)
+        x, fresh, counts = np.zeros(width * streams, np.int64), np.zeros(width * streams, bool), np.zeros(width * streams, bool)
+        x[: len(ids)], counts[: len(ids)] = ids, True
+        fresh[np.cumsum(sizes)[:-1]] = True
+        fresh[0] = True
+        previous = np.append(self.n + 1, x[:-1])
+        previous[fresh] = self.n + 1
+        x, fresh, counts, previous = (v.reshape(streams, width) for v in (x, fresh, counts, previous))
+        previous[:, 0], fresh[:, 0] = self.n + 1, True  # a stream that begins within a document knows nothing of it
         h, step = np.zeros((streams, H), np.float32), 0
         a, b, scratch = np.zeros_like(self.flat), np.zeros_like(self.flat), np.empty_like(self.flat)
-        previous = np.concatenate([np.full((streams, 1), self.n + 1), x[:, :-1]], 1)
         for at in range(0, width, SPAN):
-            g, h = self.gradients(h, previous[:, at : at + SPAN], x[:, at : at + SPAN])
+            own = slice(at, at + SPAN)
+            g, h = self.gradients(h, previous[:, own], x[:, own], fresh[:, own], counts[:, own])
             step += 1
             np.clip(g, -0.2, 0.2, out=g)
             a *= 0.9
@@ -187,17 +196,22 @@ class Model:
             scratch *= rate / (1 - 0.9**step)
             self.flat -= scratch
 
-    def gradients(self, h: np.ndarray, before: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the mean of -ln P(y) over a window of streams, as one array like `flat`; and the states behind it."""
+    def gradients(self, h: np.ndarray, before: np.ndarray, y: np.ndarray, fresh: np.ndarray | None = None, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Of the mean of -ln P(y) over a window of streams, as one array like `flat`; and the states behind it.
+
+        fresh: where a document begins, and with it the state; counts: which targets count.
+        """
         p, (streams, width) = self.p, y.shape
         gx = self.inputs(before.T)
-        hs, gates, ghn = np.empty((width + 1, streams, H), np.float32), np.empty((3, width, streams, H), np.float32), np.empty((width, streams, H), np.float32)
-        hs[0] = h
+        ins, hs, gates, ghn = np.empty((width, streams, H), np.float32), np.empty((width, streams, H), np.float32), np.empty((3, width, streams, H), np.float32), np.empty((width, streams, H), np.float32)
+        kept = np.ones((width, streams, 1), np.float32) if fresh is None else (~fresh.T[:, :, None]).astype(np.float32)
         for t in range(width):
-            self.step(hs[t], gx[:, t], gates[:, t], ghn[t], hs[t + 1])
-        states, target = hs[1:].reshape(-1, H), y.T.ravel()
+            np.multiply(hs[t - 1] if t else h, kept[t], out=ins[t])
+            self.step(ins[t], gx[:, t], gates[:, t], ghn[t], hs[t])
+        states, target = hs.reshape(-1, H), y.T.ravel()
         out = Model(np.zeros(self.n), 0, np.zeros_like(self.flat))
-        g, scale = out.p, np.float32(1 / len(target))
+        weight = np.ones(len(target), np.float32) if counts is None else counts.T.ravel().astype(np.float32)
+        g, scale = out.p, (weight / max(weight.sum(), 1))[:, None]
         c, classes = self.by_class(target)
         q = softmax(states @ p["wc"] + p["bc"])
         q[np.arange(len(c)), c] -= 1
@@ -207,13 +221,13 @@ class Model:
         for k, own in classes:
             w = softmax(states[own] @ p["ww"][k] + p["bw"][k])
             w[np.arange(len(own)), target[own] % CLASS] -= 1
-            w *= scale
+            w *= scale[own]
             g["ww"][k], g["bw"][k] = states[own].T @ w, w.sum(0)
             back[own] += w @ p["ww"][k].T
         # what a state's gradient passes on to its gates, for all steps at once
         z, r, n = gates
         to_n = (1 - z) * (1 - n * n)
-        to_z, to_r = (hs[:-1] - n) * z * (1 - z), ghn * r * (1 - r)
+        to_z, to_r = (ins - n) * z * (1 - z), ghn * r * (1 - r)
         back, later = back.reshape(width, streams, H), np.zeros((streams, H), np.float32)
         dgh, dn, turned = gates.copy(), np.empty_like(ghn), np.ascontiguousarray(p["wh"].transpose(0, 2, 1))
         for t in range(width - 1, -1, -1):
@@ -226,8 +240,9 @@ class Model:
             later = (dgh[:, t] @ turned).sum(0)
             d *= z[t]
             later += d
+            later *= kept[t]
         dgh = dgh.reshape(3, -1, H)
-        g["wh"][:] = hs[:-1].reshape(-1, H).T @ dgh
+        g["wh"][:] = ins.reshape(-1, H).T @ dgh
         dgh[2] = dn.reshape(-1, H)
         read = before.T.ravel()
         order = np.argsort(read, kind="stable")
@@ -248,6 +263,7 @@ def averaged(parts: DataFrame, width: int = 64) -> bytes | None:
     """The mean of weights(part, params, n), weighted by n, by groups of `width` again and again."""
 
     def mean(t: pa.Table) -> pa.Table:
+        t = t.sort_by("part")  # sums of floats in one order, whatever came first
         n = np.array(t["n"].to_pylist(), np.float64)
         total = sum(np.frombuffer(x, "<f4") * k for x, k in zip(t["params"].to_pylist(), n)) / n.sum()
         return arrow({"part": [t["part"][0].as_py() // width], "params": [total.astype("<f4").tobytes()], "n": [int(n.sum())]}, "part long, params binary, n long")
@@ -261,18 +277,20 @@ def averaged(parts: DataFrame, width: int = 64) -> bytes | None:
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-LESSONS = "seq long, ids binary, n long"
+LESSONS = "key long, doc_id long, ids binary, n long"
 WEIGHTS = "part long, params binary, n long"
 
 
 def scores(docs: DataFrame, vocabulary: int = 1024, rounds: int = 4, part_tokens: int = 800_000, block_mb: float = 8) -> DataFrame:
     """SCORES of every whole text; documents whose crc32(id) mod 10 is 0 teach nothing.
 
-    All training tokens are counted, and the network reads every training document once. The
-    documents are dealt out to parts; in each of `rounds` rounds its share of the parts begins at
-    the weights that the round before left, and what they learn is averaged. Null texts count as
-    empty (the end token alone), repeated rows are documents each, a null doc_id teaches, a long
-    text is a block of its own, an empty table gives an empty result. Other columns are not looked at.
+    All training tokens are counted, and the network reads every token of every training document
+    once. The documents are dealt out to parts by a hash of id and length and read in its order, so
+    that the weights do not depend on how the rows lie or how the work is cut; in each of `rounds`
+    rounds its share of the parts begins at the weights that the round before left, and what they
+    learn is averaged. Null texts count as empty (the end token alone), repeated rows are documents
+    each, a null doc_id teaches and has a null held_out, a long text is a block of its own, an empty
+    table gives an empty result. Other columns are not looked at.
     """
     spark = docs.sparkSession
     docs = texts(docs)
@@ -305,22 +323,27 @@ def scores(docs: DataFrame, vocabulary: int = 1024, rounds: int = 4, part_tokens
         return (np.where(in_order[at] == keys, order[at], len(frequent)) if len(frequent) else np.zeros(len(keys), np.int64))[place]
 
     def taught(batches):
-        for k, table in enumerate(blocks_of(batches, 1 << 18)):
+        for table in blocks_of(batches, 1 << 18):
             chosen = table.filter(pa.array(~held_out(table["doc_id"].to_pylist())))
             if chosen.num_rows:
-                place, keys, _ = tokens(chosen["text"])
-                yield from arrow({"seq": [TaskContext.get().partitionId() * 7919 + k], "ids": [own_ids(place, keys).astype("<u2").tobytes()], "n": [len(place)]}, LESSONS).to_batches()
+                place, keys, sizes = tokens(chosen["text"])
+                ids, ends = own_ids(place, keys).astype("<u2"), np.cumsum(sizes).tolist()
+                each = [ids[a:b].tobytes() for a, b in zip([0, *ends], ends)]
+                yield from arrow({"key": chosen["key"].to_pylist(), "doc_id": chosen["doc_id"].to_pylist(), "ids": each, "n": sizes.tolist()}, LESSONS).to_batches()
 
     if len(frequent):
-        lessons = save(blocks.select("doc_id", "text").mapInArrow(taught, LESSONS), "lessons")
-        parts = max(rounds, round((lessons.agg(F.sum("n")).first()[0] or 0) / part_tokens))
-        lessons = lessons.withColumn("part", F.pmod("seq", F.lit(parts)))
+        keyed = blocks.select(F.xxhash64("doc_id", F.octet_length("text")).alias("key"), "doc_id", "text")
+        lessons = save(keyed.mapInArrow(taught, LESSONS), "lessons")
+        parts = max(rounds, round(n_train / part_tokens))
+        lessons = lessons.withColumn("part", F.pmod("key", F.lit(parts)))
 
         def teacher(begun, rate: float):
             def teach(table: pa.Table) -> pa.Table:
-                own, ids = model.unpack(begun.value), np.concatenate([np.frombuffer(x, "<u2") for x in table["ids"].to_pylist()]).astype(np.int64)
-                own.train(ids, rate=rate)
-                return arrow({"part": [table["part"][0].as_py()], "params": [own.pack()], "n": [len(ids)]}, WEIGHTS)
+                own, rows = model.unpack(begun.value), table.to_pydict()
+                order = sorted(range(table.num_rows), key=lambda k: (rows["key"][k], rows["doc_id"][k] is None, rows["doc_id"][k] or 0, rows["ids"][k]))
+                ids = np.frombuffer(b"".join(rows["ids"][k] for k in order), "<u2").astype(np.int64)
+                own.train(ids, np.array([rows["n"][k] for k in order]), rate=rate)
+                return arrow({"part": [rows["part"][0]], "params": [own.pack()], "n": [len(ids)]}, WEIGHTS)
 
             return teach
 
@@ -345,7 +368,7 @@ def scores(docs: DataFrame, vocabulary: int = 1024, rounds: int = 4, part_tokens
                 within = np.where(ids == len(frequent), np.log10((c + 0.1) / (others + 0.1 * (n_others + 1)))[place], 0)
                 score = model.unpack(sent.value).score(ids, sizes) / LN10 + np.add.reduceat(within, begins)
             doc_ids = table["doc_id"].to_pylist()
-            columns = (doc_ids, held_out(doc_ids).tolist(), sizes.tolist(), np.add.reduceat((c > 0)[place].astype(np.int64), begins).tolist(), [n_train] * len(sizes), base.tolist(), score.tolist())
+            columns = (doc_ids, [None if i is None else h for i, h in zip(doc_ids, held_out(doc_ids).tolist())], sizes.tolist(), np.add.reduceat((c > 0)[place].astype(np.int64), begins).tolist(), [n_train] * len(sizes), base.tolist(), score.tolist())
             out = dict(zip(names, columns))
         return arrow(out, SCORES)
 

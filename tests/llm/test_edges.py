@@ -221,6 +221,60 @@ def test_lm_gradients():
             assert abs((losses[0] - losses[1]) / 0.02 - own[at]) < 2e-4
 
 
+def test_lm_gradients_of_documents():
+    """Documents that begin within a window know nothing of the one before; what fills a stream up counts nothing."""
+    rng = np.random.default_rng(7)
+    model, y = lm_of(1), rng.integers(0, 71, (3, 6))
+    fresh, counts = np.zeros((3, 6), bool), np.ones((3, 6), bool)
+    fresh[:, 0] = fresh[1, 3] = fresh[2, 2] = fresh[2, 4] = True
+    counts[2, 4:] = False
+    before = np.where(fresh, model.n + 1, np.roll(y, 1, 1))
+    g, _ = model.gradients(rng.normal(0, 1, (3, lm.H)).astype(np.float32), before, y, fresh, counts)
+    own_docs = [y[0], y[1, :3], y[1, 3:], y[2, :2], y[2, 2:4]]
+    whole, places = lm.Model(np.zeros(70), 0, g).p, rng.integers(0, 1 << 30, (8, 6))
+    for name, drawn in zip(model.p, places):
+        flat, own = model.p[name].reshape(-1), whole[name].reshape(-1)
+        for at in {int(np.abs(own).argmax()), *(int(d) % len(flat) for d in drawn)}:
+            value, losses = flat[at], []
+            for d in (0.01, -0.01):
+                flat[at] = value + d
+                losses.append(-sum(brute_lm(model, doc) for doc in own_docs) / 16)
+            flat[at] = value
+            assert abs((losses[0] - losses[1]) / 0.02 - own[at]) < 2e-4
+
+
+def test_lm_scores_do_not_depend_on_the_cut_of_the_work(spark):
+    """The shipped settings, 3 and 7 partitions of input and shuffle, other blocks; every training token is read; a null id teaches."""
+    rng = np.random.default_rng(2)
+    rows = [(k if k != 17 else None, " ".join(f"w{int(x)}" for x in rng.zipf(1.4, rng.integers(1, 120)) % 500)) for k in range(600)]
+    rows += [(5, rows[5][1])] * 2
+    frame, shuffles = spark.createDataFrame(rows, "doc_id long, text string"), spark.conf.get("spark.sql.shuffle.partitions")
+    seen = {}
+    try:
+        for n in (3, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got = lm.scores(frame.repartition(n), block_mb=8 if n == 3 else 0.01).collect()
+            seen[n] = sorted((r.doc_id is None, r.doc_id or 0, r.held_out, r.n_tokens, r.score) for r in got if r.doc_id is not None) + [r.held_out for r in got if r.doc_id is None]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+    assert len(seen[3]) == len(rows) and seen[3][-1] is None is seen[7][-1]
+    assert [r[:4] for r in seen[3][:-1]] == [r[:4] for r in seen[7][:-1]]
+    assert np.allclose([r[4] for r in seen[3][:-1]], [r[4] for r in seen[7][:-1]], rtol=1e-5)
+
+
+def test_lm_reads_every_token():
+    """The last token of a run that no number of streams divides changes the weights, and a text is not run into the next."""
+    sizes = np.array([700, 1, 901, 2500])
+    ids = np.random.default_rng(3).integers(0, 70, sizes.sum())
+    flats = []
+    for change, parts in ((0, sizes), (1, sizes), (0, np.array([700, 902, 2500]))):
+        model, own = lm_of(2), ids.copy()
+        own[-1] = (own[-1] + change) % 70
+        model.train(own, parts)
+        flats.append(model.flat.copy())
+    assert not np.array_equal(flats[0], flats[1]) and not np.array_equal(flats[0], flats[2])
+
+
 def test_words_as_python_parts_them():
     rng = np.random.default_rng(9)
     texts = ["", " ", "ÉCOLE\u2003Ünï\xa0x\x1cy", "a" * 70_000 + " b", "no\u200bbreak \u3000 İI"] + ["".join(rng.choice(list("aB \n\t\x0b\x1d\x85é"), 40)) for _ in range(50)]
