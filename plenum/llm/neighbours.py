@@ -3,8 +3,9 @@
 The graph begins with exact neighbours within small groups, made by the signs of random
 projections (several times, each vector once a time). Then, in each round, a vector and all its
 neighbours, in either direction, are shown to each other: a join brings their vectors together, once
-for all vectors of a group, and each learns the nearest of the others. Rounds end when they change
-one edge in a thousand or less. A query keeps the `beam` nearest found so far; in each step the
+for all vectors of a group, and each learns of all others that are nearer than its farthest. Only
+pairs meet of which one at least is a neighbour since the round before; the others have met. Rounds
+end when they change one edge in a thousand or less. A query keeps the `beam` nearest found so far; in each step the
 `width` nearest of those that have not yet shown their neighbours do so, until all of them have.
 All cosines are those of the original components. Equal vectors are one node.
 """
@@ -33,18 +34,43 @@ def small(column, kind: str) -> np.ndarray:
     return units(np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1).astype(np.float64)) if rows else np.zeros((0, 1))
 
 
-def edges(ids: np.ndarray, x: np.ndarray, worst: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row the nearest others, `most` of them, that are nearer than its worst known: id, other, cosine."""
-    s = x @ x.T
-    np.fill_diagonal(s, -2)
-    if len(ids) <= most + 1:
-        i, j = np.nonzero(s > worst[:, None])
-    else:  # exactly `most` of each row, also where many tie
+def edges(ids: np.ndarray, x: np.ndarray, worst: np.ndarray, new: np.ndarray | None = None, most: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows that are nearer than the first one's worst known: id, other, cosine.
+
+    new: only pairs of which one at least is new. most: so many of each row at most, the nearest.
+    """
+    fresh = np.arange(len(ids)) if new is None else np.flatnonzero(new)
+    s = x[fresh] @ x.T
+    s[np.arange(len(fresh)), fresh] = -2
+    if most and len(ids) > most + 1:  # exactly `most` of each row, also where many tie
         j = np.argpartition(-s, most - 1, 1)[:, :most].ravel()
-        i = np.repeat(np.arange(len(ids)), most)
-        near = s[i, j] > worst[i]
+        i = np.repeat(np.arange(len(fresh)), most)
+        near = s[i, j] > worst[fresh[i]]
         i, j = i[near], j[near]
-    return ids[i], ids[j], s[i, j].astype(np.float64)
+    else:
+        i, j = np.nonzero(s > worst[fresh][:, None])
+    found = [(ids[fresh[i]], ids[j], s[i, j])]
+    if new is not None and len(fresh) < len(ids):
+        known = np.flatnonzero(~new)
+        i, j = np.nonzero(s[:, known] > worst[known][None, :])
+        found.append((ids[known[j]], ids[fresh[i]], s[i, known[j]]))
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
+
+
+def nearest(parts: list[tuple], k: int) -> list[tuple]:
+    """Of all pairs of a task each once, and of each id the k nearest others: what a merge of all tasks would keep of them."""
+    if not parts:
+        return []
+    i, j, s = (np.concatenate([p[c] for p in parts]) for c in range(3))
+    order = np.lexsort((j, i))
+    i, j, s = i[order], j[order], s[order]
+    once = np.concatenate([[True], (i[1:] != i[:-1]) | (j[1:] != j[:-1])]) if len(i) else np.zeros(0, bool)
+    i, j, s = i[once], j[once], s[once]
+    order = np.lexsort((j, -s, i))
+    i, j, s = i[order], j[order], s[order]
+    begin = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, int)
+    place = np.arange(len(i)) - np.repeat(begin, np.diff(np.append(begin, len(i))))
+    return [(i[place < k], j[place < k], s[place < k])]
 
 
 def flat(parts: list[tuple]) -> pa.Table:
@@ -76,7 +102,7 @@ def graph(nodes: DataFrame, kind: str, k: int = 32, tables: int = 3, group: int
 
     def exact(table: pa.Table) -> pa.Table:
         ids = table["id"].to_numpy()
-        return flat([edges(ids, small(table["q"], kind), np.full(len(ids), -1.5), k)])
+        return flat([edges(ids, small(table["q"], kind), np.full(len(ids), -1.5), most=k)])
 
     first = dealt.select("t", "code", "part", "id", "q").groupBy("t", "code", "part").applyInArrow(exact, EDGES)
     known = save(merged(first.withColumn("born", F.lit(0)), k), "graph")
@@ -84,12 +110,14 @@ def graph(nodes: DataFrame, kind: str, k: int = 32, tables: int = 3, group: int
     r, changed = 0, n * k
     while bits and changed > delta * n * k:
         r += 1
-        ways = known.select("id", "other")
-        back = ways.select(F.col("other").alias("id"), F.col("id").alias("other"))
-        back = back.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64("other", F.lit(r)), "other"))).where(F.col("r") <= k).drop("r")
+        ways = known.select("id", "other", (F.col("born") == r - 1).alias("new"))
+        back = ways.select(F.col("other").alias("id"), F.col("id").alias("other"), "new")
+        back = back.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("new"), F.xxhash64("other", F.lit(r)), "other"))).where(F.col("r") <= k).drop("r")
         worst = known.groupBy("id").agg(F.when(F.count("*") >= k, F.min("s")).otherwise(-1.5).alias("worst"))
         shown = nodes.join(worst, "id", "left").select(F.col("id").alias("other"), "q", F.coalesce("worst", F.lit(-1.5)).alias("worst"))
-        around = save(ways.union(back).union(nodes.select("id", F.col("id").alias("other"))).distinct().join(home, "id"), "around")
+        both = ways.union(back).union(nodes.select("id", F.col("id").alias("other"), F.lit(False).alias("new"))).groupBy("id", "other").agg(F.max("new").alias("new"))
+        shows = both.where("new").select("id").distinct()  # where no edge is new, all pairs have met before
+        around = save(both.join(shows, "id").join(home, "id"), "around")
         brought = around.select("code", "part", "other").distinct().join(shown, "other").select(F.col("code").alias("code2"), F.col("part").alias("part2"), F.col("other").alias("node"), "worst", "q")
 
         def meet(table: pa.Table, given: pa.Table) -> pa.Table:
@@ -100,10 +128,17 @@ def graph(nodes: DataFrame, kind: str, k: int = 32, tables: int = 3, group: int
             at = table["id"].to_numpy()
             place = sort[np.searchsorted(ids[sort], table["other"].to_numpy())]
             order = np.argsort(at, kind="stable")
-            groups = np.split(place[order], np.flatnonzero(np.diff(at[order])) + 1)
-            return flat([edges(ids[own], x[own], worst[own], 6) for own in groups if len(own) > 1])
-
-        learned = around.select("code", "part", "id", "other").groupBy("code", "part").cogroup(brought.groupBy("code2", "part2")).applyInArrow(meet, EDGES)
+            new = table["new"].to_numpy()[order]
+            cuts = np.flatnonzero(np.diff(at[order])) + 1
+            groups = zip(np.split(place[order], cuts), np.split(new, cuts))
+            held = []
+            for own, fresh in groups:
+                held.append(edges(ids[own], x[own], worst[own], fresh))
+                if sum(len(p[0]) for p in held) > 1 << 20:
+                    held = nearest(held, k)
+            return flat(nearest(held, k))
+
+        learned = around.select("code", "part", "id", "other", "new").groupBy("code", "part").cogroup(brought.groupBy("code2", "part2")).applyInArrow(meet, EDGES)
         before, known = known, save(merged(known.union(learned.withColumn("born", F.lit(r))), k), "graph")
         changed = known.where(F.col("born") == r).count()
         discard(before, around)

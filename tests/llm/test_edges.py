@@ -326,3 +326,19 @@ def test_covertree_sends_each_vector_a_bounded_number_of_times(spark):
             v = x[r["id"]] / np.linalg.norm(x[r["id"]])
             assert abs(np.linalg.norm(c - v) - r["ds"][1]) < 1e-6
     assert sent[2400] < 8 * sent[600]
+
+
+def test_meetings_leave_out_pairs_that_have_met():
+    """With flags: every pair of which one is new and that is nearer than the learner's worst, and no other; a task's list keeps what a merge would."""
+    rng = np.random.default_rng(12)
+    x = neighbours.units(rng.normal(0, 1, (20, 5)))
+    ids, worst, new = np.arange(100, 120), rng.uniform(-0.5, 0.5, 20), rng.random(20) < 0.3
+    s = x @ x.T
+    want = {(100 + a, 100 + b) for a in range(20) for b in range(20) if a != b and (new[a] or new[b]) and s[a, b] > worst[a]}
+    i, j, c = neighbours.edges(ids, x, worst, new)
+    assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want) and np.allclose(c, s[i - 100, j - 100])
+    (a, b, t), = neighbours.nearest([(i, j, c), (i[:30], j[:30], c[:30])], 3)
+    for own in set(i.tolist()):
+        best = sorted((-s[own - 100, o - 100], o) for k, o in want if k == own)[:3]
+        assert b[a == own].tolist() == [o for _, o in best]
+    assert len(a) == sum(min(3, n) for n in np.bincount(i)) and neighbours.nearest([], 3) == []
