@@ -209,7 +209,7 @@ def near_cells(placed: DataFrame, nodes: DataFrame, levels: int, reach: float) -
     return pairs
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, node: int = 1500, most: int = 16384, fan: int = 64) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, node: int = 1500, most: int = 16384, fan: int = 64, bundle: int = 16) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row; links only within one label that is not null.
 
     Vectors that do not count (null, zero, null or non-finite components) and rows without a label
@@ -217,6 +217,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, node: int = 150
     them links with. Repeated vec_ids: one row each, links of any of its rows count. Null vec_id:
     a row of its own without links. Vectors of different lengths are never compared. An empty
     table gives an empty result; other columns are not looked at.
+
+    The result is exact whatever the radii leave out. Where they leave out nothing, as among
+    random vectors of many dimensions, the pairs of nodes of a label are as many as its nodes
+    squared; the nodes travel in bundles of about `bundle`, so that what is sent is the nodes times
+    the bundles of their label. In such a label work grows with the square of its vectors.
     """
     rows = save(valid(vectors.where("label IS NOT NULL"), F.col("label").cast("string").alias("kind")).withColumn("kind", F.concat_ws("/", "kind", F.size("v"))), "vectors")
     nodes = save(rows.groupBy("kind", "v").agg(F.min("vec_id").alias("id"), F.count("*").alias("m")), "nodes")
@@ -245,23 +250,37 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, node: int = 150
     apart = F.sqrt(F.greatest(2 - 2 * dot, F.lit(0.0)))
     met = near_cells(placed, nodes, levels, reach).join(one, ["kind", "a"]).join(two, ["kind", "b"]).where("a < b OR node1 <= node2")
     near = save(met.where(apart <= F.col("radius1") + F.col("radius2") + reach + 1e-7).select("kind", "node1", "node2"), "near")
-    task = ["kind", "node1", "node2"]
+    # nodes travel in bundles: the trees of two bundles go once to the task of all their pairs
+    bundles = trees.select("kind", "node", F.slice("at", 1, levels - 1).alias("above"), F.pmod(F.xxhash64("node"), F.lit(max(1, fan // bundle))).alias("share"))
+    bundles = bundles.select("kind", "node", F.xxhash64("above", "share").alias("g"))
+    for k in "12":
+        near = near.join(bundles.select("kind", F.col("node").alias(f"node{k}"), F.col("g").alias(f"g{k}")), ["kind", f"node{k}"])
+    turned = F.col("g1") > F.col("g2")
+    sides = {f"{c}{k}": F.when(turned, F.col(f"{c}{o}")).otherwise(F.col(f"{c}{k}")) for c in ("g", "node") for k, o in ("12", "21")}
+    near = save(near.select("kind", *(v.alias(c) for c, v in sides.items())), "bundled")
+    task = ["kind", "g1", "g2"]
     inner = ["ids", "m", "x", "sizes", "up", "radii"]
-    left = near.join(trees.withColumnRenamed("node", "node1"), ["kind", "node1"]).select(*task, *inner)
-    right = near.where("node1 <> node2").join(trees.withColumnRenamed("node", "node2"), ["kind", "node2"]).select(*(F.col(x).alias(x) for x in (*task, *inner)))
+    asks = near.groupBy(*task, "node1").agg(F.collect_list("node2").alias("partners"))  # a bundle at most
+    left = asks.join(trees.withColumnRenamed("node", "node1"), ["kind", "node1"]).select(*task, "node1", "partners", *inner)
+    right = near.select(*task, "node2").distinct().join(trees.withColumnRenamed("node", "node2"), ["kind", "node2"]).select(*(F.col(x).alias(x) for x in (*task, "node2", *inner)))
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-        x, ids, m = unpacked(a.to_pylist()[0])
-        y, n = x, len(ids)
-        if b.num_rows:
-            y, others, more = unpacked(b.to_pylist()[0])
-            ids, m = np.concatenate([ids, others]), np.concatenate([m, more])
-        i, j = join(x, y, threshold)
-        j = j + n if b.num_rows else j
-        n = np.bincount(i, m[j], len(ids)) + np.bincount(j, m[i], len(ids))
-        low = least(i, j, len(ids))
-        tied, some = np.flatnonzero(low != np.arange(len(ids))), np.flatnonzero(n)
-        return pa.table([pa.array(np.concatenate([ids[tied], ids[some]])), pa.array(np.concatenate([ids[low[tied]], ids[some]])), pa.array(np.concatenate([np.zeros(len(tied)), n[some]]).astype(np.int64))], names=["a", "b", "n"])
+        partners = {r["node2"]: unpacked(r) for r in b.to_pylist()}
+        out = []
+        for row in a.to_pylist():
+            x, own, weight = unpacked(row)
+            for node2 in row["partners"]:
+                ids, m, y = own, weight, x
+                if node2 != row["node1"]:
+                    y, others, more = partners[node2]
+                    ids, m = np.concatenate([own, others]), np.concatenate([weight, more])
+                i, j = join(x, y, threshold)
+                j = j + len(own) if y is not x else j
+                n = np.bincount(i, m[j], len(ids)) + np.bincount(j, m[i], len(ids))
+                low = least(i, j, len(ids))
+                tied, some = np.flatnonzero(low != np.arange(len(ids))), np.flatnonzero(n)
+                out.append((np.concatenate([ids[tied], ids[some]]), np.concatenate([ids[low[tied]], ids[some]]), np.concatenate([np.zeros(len(tied)), n[some]]).astype(np.int64)))
+        return pa.table([pa.array(np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64)) for k in range(3)], names=["a", "b", "n"])
 
     found = save(left.groupBy(*task).cogroup(right.groupBy(*task)).applyInArrow(compare, LINKS), "links")
     counts = found.where("a = b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
