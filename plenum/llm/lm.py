@@ -204,14 +204,17 @@ class Model:
         p, (streams, width) = self.p, y.shape
         gx = self.inputs(before.T)
         ins, hs, gates, ghn = np.empty((width, streams, H), np.float32), np.empty((width, streams, H), np.float32), np.empty((3, width, streams, H), np.float32), np.empty((width, streams, H), np.float32)
-        kept = np.ones((width, streams, 1), np.float32) if fresh is None else (~fresh.T[:, :, None]).astype(np.float32)
+        begins = np.zeros(width, bool) if fresh is None else fresh.any(0)
         for t in range(width):
-            np.multiply(hs[t - 1] if t else h, kept[t], out=ins[t])
+            ins[t] = hs[t - 1] if t else h
+            if begins[t]:
+                ins[t, fresh[:, t]] = 0
             self.step(ins[t], gx[:, t], gates[:, t], ghn[t], hs[t])
         states, target = hs.reshape(-1, H), y.T.ravel()
         out = Model(np.zeros(self.n), 0, np.zeros_like(self.flat))
-        weight = np.ones(len(target), np.float32) if counts is None else counts.T.ravel().astype(np.float32)
-        g, scale = out.p, (weight / max(weight.sum(), 1))[:, None]
+        g, scale = out.p, np.float32(1 / len(target))
+        if counts is not None and not counts.all():
+            scale = (counts.T.reshape(-1, 1) / max(counts.sum(), 1)).astype(np.float32)
         c, classes = self.by_class(target)
         q = softmax(states @ p["wc"] + p["bc"])
         q[np.arange(len(c)), c] -= 1
@@ -221,7 +224,7 @@ class Model:
         for k, own in classes:
             w = softmax(states[own] @ p["ww"][k] + p["bw"][k])
             w[np.arange(len(own)), target[own] % CLASS] -= 1
-            w *= scale[own]
+            w *= scale if scale.ndim == 0 else scale[own]
             g["ww"][k], g["bw"][k] = states[own].T @ w, w.sum(0)
             back[own] += w @ p["ww"][k].T
         # what a state's gradient passes on to its gates, for all steps at once
@@ -240,7 +243,8 @@ class Model:
             later = (dgh[:, t] @ turned).sum(0)
             d *= z[t]
             later += d
-            later *= kept[t]
+            if begins[t]:
+                later[fresh[:, t]] = 0
         dgh = dgh.reshape(3, -1, H)
         g["wh"][:] = ins.reshape(-1, H).T @ dgh
         dgh[2] = dn.reshape(-1, H)
