@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plenum.operators import pairs
 from plenum.plans.model import Model
+from plenum.session import saved
 
 ACTIVE = "option IN (1, 2, 3)"
 SUBSTANTIAL = "procedural IS NOT TRUE"  # unknown counts as substantial
@@ -226,26 +228,21 @@ def compare_members(m: Model, one: int, two: int, include_procedural: bool = Tru
     return a.join(b.drop("topic"), "vote_id").withColumn("agree", F.col("option1") == F.col("option2"))
 
 
-def member_pairs(votes: DataFrame, *view: str, min_common: int = 10, top: int = 5000, method: str = "join") -> DataFrame:
+def member_pairs(votes: DataFrame, *view: str, min_common: int = 10, top: int = 5000, method: str = "measured") -> DataFrame:
     """All pairs of members: agreeing votes, common votes, percent; the `top` of each view.
 
-    method join: a self-join on the vote, best for few voters a vote; bitmap: 64 votes a word of
-    three bit sets, best when most members vote (about n / 8 of them and more).
+    method join: a self-join on the vote, best where few members vote; tiles: blocks of members
+    and votes multiplied, see `pairs`; measured: whichever the density of the votes asks for.
     """
     votes = votes.where(SUBSTANTIAL).groupBy(*view, "vote_id", "member_id").agg(F.min("option").alias("option"))
+    if method == "measured":
+        votes = saved(votes, "votes")
+        method = "join" if pairs.sparse(votes, *view) else "tiles"
     if method == "join":
         a, b = (votes.select(*view, "vote_id", F.col("member_id").alias(f"member{k}"), F.col("option").alias(f"o{k}")) for k in "12")
         n = a.join(b, [*view, "vote_id"]).where("member1 < member2").groupBy(*view, "member1", "member2").agg(F.count_if(F.col("o1") == F.col("o2")).alias("agree"), F.count("*").alias("common"))
     else:
-        place = votes.select(*view, "vote_id").distinct().withColumn("no", F.row_number().over(Window.partitionBy(*view).orderBy("vote_id")) - 1)
-        bit = F.expr("shiftleft(1L, CAST(no % 64 AS INT))")
-        words = votes.join(place, [*view, "vote_id"]).groupBy(*view, "member_id", F.floor(F.col("no") / 64).alias("word"))
-        words = words.agg(*(F.bit_or(F.when(F.col("option") == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in (1, 2, 3)))
-        a, b = (words.select(*view, "word", F.col("member_id").alias(f"member{k}"), *(F.col(f"b{o}").alias(f"b{o}_{k}") for o in (1, 2, 3))) for k in "12")
-        both = a.join(b, [*view, "word"]).where("member1 < member2")
-        agree = sum((F.bit_count(F.col(f"b{o}_1").bitwiseAND(F.col(f"b{o}_2"))) for o in (1, 2, 3)), F.lit(0))
-        any_ = lambda k: F.col(f"b1_{k}").bitwiseOR(F.col(f"b2_{k}")).bitwiseOR(F.col(f"b3_{k}"))
-        n = both.groupBy(*view, "member1", "member2").agg(F.sum(agree).alias("agree"), F.sum(F.bit_count(any_(1).bitwiseAND(any_(2)))).alias("common")).where("common > 0")
+        n = pairs.tiled_counts(votes, *view)
     n = n.where(F.col("common") >= min_common).withColumn("pct", F.round(F.col("agree") * 100.0 / F.col("common"), 1))
     rank = F.row_number().over(Window.partitionBy(*view).orderBy(F.desc("pct"), F.desc("common"), "member1", "member2"))
     return n.withColumn("rank", rank).where(F.col("rank") <= top)

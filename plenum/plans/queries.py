@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plenum.operators import itemsets as its
 from plenum.operators import rollcall as rc
 from plenum.operators import topics as tp
 from plenum.plans import prepared
@@ -95,7 +96,7 @@ PAIRS = """SELECT {v} member1, member2, agree, common, pct, rank FROM (SELECT *,
     SELECT {a} a.member_id AS member1, b.member_id AS member2, count(*) FILTER (WHERE a.option = b.option) AS agree, count(*) AS common FROM cast_votes a JOIN cast_votes b ON a.vote_id = b.vote_id AND a.member_id < b.member_id
     WHERE a.procedural IS NOT TRUE {w} GROUP BY ALL) x WHERE common >= 10) y) z WHERE rank <= 5000"""
 add("member_pairs_overall", lambda m: rc.member_pairs(rc.cast_votes(m), "term"), PAIRS.format(v="CAST(term AS BIGINT) AS term,", p="term", a="a.term,", w=""))
-add("member_pairs_overall_bitmap", lambda m: rc.member_pairs(rc.cast_votes(m), "term", method="bitmap"), PAIRS.format(v="CAST(term AS BIGINT) AS term,", p="term", a="a.term,", w=""))
+add("member_pairs_overall_tiles", lambda m: rc.member_pairs(rc.cast_votes(m), "term", method="tiles"), PAIRS.format(v="CAST(term AS BIGINT) AS term,", p="term", a="a.term,", w=""))
 add("member_pairs_by_topic", lambda m: rc.member_pairs(rc.cast_votes(m).where("topic IS NOT NULL"), "topic"), PAIRS.format(v="topic,", p="topic", a="a.topic,", w="AND a.topic IS NOT NULL"))
 add("member_index", lambda m: rc.main_subject(rc.member_stats(m), "member_id").join(m.members, "member_id").join(rc.main_subject(rc.with_subject(rc.cast_votes(m), rc.affiliation(m, "national")).groupBy("member_id", "subject_id").agg(F.count("*").alias("n")), "member_id").withColumnRenamed("main_subject", "main_party"), "member_id", "left").select("member_id", "name", "country", "main_subject", "main_party"),
     """WITH g AS (SELECT member_id, subject_id AS main_subject, row_number() OVER (PARTITION BY member_id ORDER BY sum(n) DESC, subject_id) AS r FROM member_stats WHERE subject_id IS NOT NULL GROUP BY member_id, subject_id),
@@ -148,7 +149,9 @@ def joined_with(sql: str) -> str:
 
 add("deviation_items", tp.deviation_items, DEV)
 add("opposition_items", opposition_items, OPP)
-add("frequent_itemsets", lambda m: tp.frequent_itemsets(opposition_items(m), 0.3, least_items=3).select("scope", F.concat_ws(",", "items").alias("items"), F.round("support", 4).alias("support")), f"WITH {itemsets_sql(OPP, 0.3, 3)} SELECT scope, array_to_string(items, ',') AS items, round(support, 4) AS support FROM sets")
+SQL_FP = f"WITH {itemsets_sql(OPP, 0.3, 3)} SELECT scope, array_to_string(items, ',') AS items, round(support, 4) AS support FROM sets"
+add("frequent_itemsets", lambda m: tp.frequent_itemsets(opposition_items(m), 0.3, least_items=3).select("scope", F.concat_ws(",", "items").alias("items"), F.round("support", 4).alias("support")), SQL_FP)
+add("frequent_itemsets_fp", lambda m: its.frequent_itemsets(opposition_items(m), 0.3, least_items=3).select("scope", F.concat_ws(",", "items").alias("items"), F.round("support", 4).alias("support")), SQL_FP)
 add("deviation_rules", lambda m: tp.rules(tp.frequent_itemsets(tp.deviation_items(m), 0.2)), rules_sql(DEV, 0.2, 1))
 add("opposition_rules", lambda m: tp.rules(tp.frequent_itemsets(opposition_items(m), 0.3, least_items=3)), rules_sql(OPP, 0.3, 3))
 ODD = """SELECT j.*, c1 + c2 + c3 >= 5 AND option <> own AND option <> plurality AS anomalous FROM (SELECT *, CASE WHEN c1 >= c2 AND c1 >= c3 THEN 1 WHEN c2 >= c3 THEN 2 ELSE 3 END AS own FROM (

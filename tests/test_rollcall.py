@@ -57,9 +57,9 @@ def test_participation_and_loyalty(model):
     assert loyal == [0.5] * 3 + [1.0] * 13
 
 
-def test_bitmap_pairs_equal_join_pairs(model):
+def test_tiled_pairs_equal_join_pairs(model):
     votes = rc.cast_votes(model)
-    a, b = (sorted(rc.member_pairs(votes, min_common=1, method=k).select("member1", "member2", "agree", "common").collect()) for k in ("join", "bitmap"))
+    a, b = (sorted(rc.member_pairs(votes, min_common=1, method=k).select("member1", "member2", "agree", "common").collect()) for k in ("join", "tiles"))
     assert a == b and len(a) == 120
 
 
