@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plenum.functions import text as tx
 from plenum.functions.text import direction
 from plenum.operators.rollcall import SUBSTANTIAL, affiliation, cast_votes, open_end, share, with_subject
 from plenum.plans.model import TOPICS as TOPIC_ORDER
@@ -33,9 +34,16 @@ def party_topics(m: Model, min_votes: int = 5) -> DataFrame:
 
 
 def party_profile(m: Model, min_votes: int = 5) -> DataFrame:
-    """One row a party: its main group and a map of topic to share and number of votes."""
+    """One row a party: its country, main group and colour, and a map of topic to share and number of votes."""
     cells = party_topics(m, min_votes).withColumn("share", F.round("share", 4))
-    return cells.groupBy("term", "party").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("topic", F.struct("share", "n"))))).alias("topics")).join(party_main_group(m), ["term", "party"], "left")
+    topics = cells.groupBy("term", "party").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("topic", F.struct("share", "n"))))).alias("topics"))
+    colour = tx.colour(F.lit(None).cast("string"), F.col("party").cast("string"))
+    return topics.join(party_main_group(m), ["term", "party"], "left").join(party_countries(m), "party", "left").withColumn("colour", colour)
+
+
+def party_countries(m: Model) -> DataFrame:
+    """party, country: that of its members, the first by name if there are several."""
+    return m.memberships.where("kind <> 'group'").join(m.members, "member_id").groupBy(F.col("subject_id").alias("party")).agg(F.min("country").alias("country"))
 
 
 def country_topics(m: Model) -> DataFrame:
@@ -43,6 +51,11 @@ def country_topics(m: Model) -> DataFrame:
     return votes.groupBy("term", "topic", "country").agg(F.count("*").alias("n"), share(F.col("option") == 1).alias("share"))
 
 
+def coded(rows: DataFrame) -> DataFrame:
+    """rows with `code`, the country as indicators write it: two letters where the votes have three, other names as they are."""
+    return rows.withColumn("code", tx.country_code(F.col("country")))
+
+
 def term_indicators(m: Model, as_of: Column | None = None) -> DataFrame:
     """Mean of each indicator and country over the years of a term (null end: as_of, else no end)."""
     end = F.coalesce("d_to", open_end() if as_of is None else as_of)
@@ -72,7 +85,7 @@ def stars(p: Column) -> Column:
 
 def correlations(m: Model) -> DataFrame:
     """Pearson r, two-sided p and the least-squares line of share on indicator; null under three countries or without spread."""
-    points = country_topics(m).join(term_indicators(m), ["term", "country"])
+    points = coded(country_topics(m)).join(term_indicators(m).withColumnRenamed("country", "code"), ["term", "code"])
     by = points.groupBy("term", "topic", "name").agg(F.count("*").alias("n"), F.corr("value", "share").alias("r"), F.regr_slope("share", "value").alias("slope"), F.regr_intercept("share", "value").alias("intercept"))
     r = F.when((F.col("n") >= 3) & ~F.isnan("r"), F.col("r"))
     return by.withColumn("r", r).withColumn("p", two_sided_p(F.col("r"), F.col("n")))
@@ -80,8 +93,8 @@ def correlations(m: Model) -> DataFrame:
 
 def points(m: Model) -> DataFrame:
     """The points behind a correlation: country, indicator (x), share of yes (y)."""
-    both = country_topics(m).join(term_indicators(m), ["term", "country"])
-    return both.select("term", "topic", "name", "country", F.col("value").alias("x"), F.col("share").alias("y"))
+    both = coded(country_topics(m)).join(term_indicators(m).withColumnRenamed("country", "code"), ["term", "code"])
+    return both.select("term", "topic", "name", "country", "code", F.col("value").alias("x"), F.col("share").alias("y"))
 
 
 def lines(m: Model, beyond: float = 0.02) -> DataFrame:

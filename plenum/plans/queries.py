@@ -68,10 +68,11 @@ add("for_share_histogram", lambda m: rc.histogram(rc.by_option(rc.member_stats(m
 add("session_cohesion", lambda m: rc.pooled_cohesion(rc.group_votes(m)).withColumn("cohesion", F.round("cohesion", 4)), "SELECT session_id, subject_id, y, n, a, round(cohesion, 4) AS cohesion FROM session_cohesion")
 PARTY = "SELECT CAST(term AS BIGINT) AS term, subject_id, round(avg(cohesion), 4) AS ai, count(*) AS sessions FROM session_cohesion JOIN sessions USING (session_id) GROUP BY ALL"
 add("party_cohesion", rc.party_cohesion, PARTY)
-add("country_cohesion", rc.country_cohesion, """WITH v AS (SELECT * FROM cast_votes JOIN members USING (member_id) WHERE procedural IS NOT TRUE AND country IS NOT NULL),
+COUNTRY = """WITH v AS (SELECT * FROM cast_votes JOIN members USING (member_id) WHERE procedural IS NOT TRUE AND country IS NOT NULL),
     n AS (SELECT term, country, vote_id, count(*) FILTER (WHERE option = 1) AS y, count(*) FILTER (WHERE option = 2) AS n, count(*) FILTER (WHERE option = 3) AS a FROM v GROUP BY ALL)
     SELECT CAST(term AS BIGINT) AS term, country, ai, votes, mep_count FROM (SELECT term, country, round(avg(CAST(greatest(y, n, a) AS DOUBLE) / (y + n + a) * 100), 4) AS ai, count(*) AS votes FROM n WHERE y + n + a >= 2 GROUP BY ALL) a
-    JOIN (SELECT term, country, count(DISTINCT member_id) AS mep_count FROM v GROUP BY ALL) b USING (term, country)""")
+    JOIN (SELECT term, country, count(DISTINCT member_id) AS mep_count FROM v GROUP BY ALL) b USING (term, country)"""
+add("country_cohesion", rc.country_cohesion, COUNTRY)
 add("cohesion_average", lambda m: rc.party_cohesion(m).groupBy("term").agg(F.round(F.avg("ai"), 3).alias("average")), f"SELECT term, round(avg(ai), 3) AS average FROM ({PARTY}) p GROUP BY term")
 AGREE = f"""SELECT CAST(a.term AS BIGINT) AS term, a.subject_id AS subject1, b.subject_id AS subject2, count(*) FILTER (WHERE a.plurality = b.plurality) AS agreed, count(*) AS total, {pct('count(*) FILTER (WHERE a.plurality = b.plurality)', 'count(*)')} AS agreement
     FROM (SELECT * FROM plurality JOIN term_votes USING (vote_id)) a JOIN (SELECT * FROM plurality JOIN term_votes USING (vote_id)) b ON a.vote_id = b.vote_id AND a.subject_id < b.subject_id GROUP BY 1, 2, 3"""

@@ -20,6 +20,7 @@ from plenum.plans import queries as rq
 from plenum.plans.model import MODEL, Model, from_orders, twin
 from plenum.session import shared_dir
 from plenum.sources import landed as ld
+from plenum.sources import views as vw
 
 QUERIES, SQL = {}, {}
 
@@ -344,6 +345,52 @@ model(
     f"""SELECT CAST(term AS BIGINT) AS term, party, country, topic, n, {PLACE.format('term', "coalesce(country, ''), party, list_position(" + str(list(tp.TOPIC_ORDER)) + ", topic)")} AS place
     FROM party_topic LEFT JOIN (SELECT subject_id AS party, min(country) AS country FROM memberships JOIN members USING (member_id) WHERE kind <> 'group' GROUP BY subject_id) c USING (party)""",
 )
+for name, f, value, key, base in (
+    ("party_cohesion_ranked", rc.party_cohesion, "ai", "subject_id", rq.PARTY), ("country_cohesion_ranked", rc.country_cohesion, "ai", "country", rq.COUNTRY),
+    ("agreement_ranked", rc.group_agreement, "agreement", "subject1, subject2", rq.AGREE),
+):
+    model(name, lambda m, f=f, v=value, k=key: placed(f(m), ["term"], F.desc(v), *k.split(", ")), f"SELECT *, {PLACE.format('term', f'{value} DESC, {key}')} AS place FROM ({base}) b")
+model("participation_ranked", lambda m: placed(rc.participation(m).withColumn("all", F.lit(1)), ["all"], F.desc("ratio"), "member_id").drop("all"), f"SELECT *, row_number() OVER (ORDER BY ratio DESC, member_id) AS place FROM ({rq.PARTICIPATION}) p")
+model("country_cohesion_average", lambda m: rc.country_cohesion(m).groupBy("term").agg(F.round(F.avg("ai"), 3).alias("average")), f"SELECT term, round(avg(ai), 3) AS average FROM ({rq.COUNTRY}) c GROUP BY term")
+PARTY_COUNTRY = "(SELECT subject_id AS party, min(country) AS country FROM memberships JOIN members USING (member_id) WHERE kind <> 'group' GROUP BY subject_id)"
+model("profile_countries", lambda m: tp.party_topics(m).join(tp.party_countries(m), "party").select("term", "country").where("country <> ''").distinct().orderBy("term", "country"), f"SELECT DISTINCT CAST(term AS BIGINT) AS term, country FROM party_topic JOIN {PARTY_COUNTRY} c USING (party)")
+COLOUR = lambda key: f"'#' || {tx.COLOURS}[{lg.CRC.replace('s_name', f'CAST({key} AS VARCHAR)')} % {len(tx.COLOURS)} + 1]"
+model(
+    "party_profile",
+    lambda m: tp.party_profile(m).withColumn("topics", F.array_join(F.transform(F.map_entries("topics"), lambda e: F.concat_ws(":", e["key"], F.round(e["value"]["share"] * 10000).cast("long").cast("string"), e["value"]["n"].cast("string"))), ",")).select("term", "party", "country", "grp", "colour", "topics"),
+    f"""SELECT CAST(term AS BIGINT) AS term, party, any_value(country) AS country, any_value(grp) AS grp, {COLOUR('party')} AS colour, string_agg(topic || ':' || CAST(round(round(share, 4) * 10000) AS BIGINT) || ':' || n, ',' ORDER BY topic) AS topics
+    FROM party_topic LEFT JOIN party_group USING (term, party) LEFT JOIN {PARTY_COUNTRY} c USING (party), {lg.BITS} b GROUP BY term, party, t""",
+)
+
+
+def pair_views(s, d) -> DataFrame:
+    """Pairs of members by topic written as views and their manifest read back: every topic, also one without pairs."""
+    m = prepared.model(s, d)
+    root = f"{shared_dir(s)}/views-{uuid.uuid4().hex}"
+    topics = s.createDataFrame([(t,) for t in tp.TOPIC_ORDER], "topic string")
+    vw.write_views(rc.member_pairs(rc.cast_votes(m).where("topic IS NOT NULL AND topic <> 'AGRI'"), "topic"), root, "topic", every=topics)
+    return vw.read_manifest(s, root).select("topic", "rows", (F.col("folder") == F.concat(F.lit("_topic="), "topic")).alias("placed"))
+
+
+add("pair_view_index", pair_views, twin(f"""SELECT topic, coalesce(n, 0) AS rows, CASE WHEN n > 0 THEN true END AS placed FROM (SELECT unnest({list(tp.TOPIC_ORDER)}) AS topic) t
+    LEFT JOIN (SELECT topic, count(*) AS n FROM ({rq.PAIRS.format(v='topic,', p='topic', a='a.topic,', w="AND a.topic IS NOT NULL AND a.topic <> 'AGRI'")}) p GROUP BY topic) q USING (topic)"""))
+
+
+def coded_countries(m: Model) -> Model:
+    """Members' countries in three letters, those of the indicators in two, where they have a code."""
+    three, two = (F.create_map(*map(F.lit, [x for pair in CODES for x in (pair[0], pair[k])])) for k in (1, 2))
+    m.members = m.members.withColumn("country", F.coalesce(F.element_at(three, F.col("country")), "country"))
+    m.indicators = m.indicators.withColumn("country", F.coalesce(F.element_at(two, F.col("country")), "country"))
+    return m
+
+
+CODES = [("FRANCE", "FRA", "FR"), ("GERMANY", "DEU", "DE"), ("ROMANIA", "ROU", "RO"), ("CHINA", "GRC", "EL")]
+model(
+    "indicator_points_by_code",
+    lambda m: tp.points(coded_countries(m)).select("term", "topic", "country", "code", F.round("x", 2).alias("x"), F.round("y", 4).alias("y")),
+    f"""SELECT CAST(term AS BIGINT) AS term, topic, CASE country {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b, _ in CODES)} ELSE country END AS country, CASE country {' '.join(f"WHEN '{a}' THEN '{c}'" for a, _, c in CODES)} ELSE country END AS code,
+    round(value, 2) AS x, round(share, 4) AS y FROM country_topic JOIN ({rq.IND}) i USING (term, country)""",
+)
 model("member_search", lambda m: m.members.where(F.contains(F.lower("name"), F.lower(F.lit("#00000000")))).select("member_id", "name"), "SELECT member_id, name FROM members WHERE contains(lower(name), lower('#00000000'))")
 model("members_with_votes", lambda m: rc.cast_votes(m).select("term", "member_id").distinct(), "SELECT DISTINCT CAST(term AS BIGINT) AS term, member_id FROM cast_votes")
 model("unusual_by_topic", lambda m: rc.anomalies(m).where("anomalous").groupBy("member_id", F.coalesce("topic", F.lit("OTHER")).alias("topic")).agg(F.count("*").alias("n")), f"SELECT member_id, coalesce(topic, 'OTHER') AS topic, count(*) AS n FROM ({rq.ODD}) o WHERE anomalous GROUP BY ALL")
