@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import zlib
 from array import array
 
 import numpy as np
@@ -45,15 +46,16 @@ class ByteLevelEncoder:
     """ids as little-endian unsigned 32-bit bytes, those of `tokenizers` for the file.
 
     The byte-pair merging is done by tiktoken over the file's own vocabulary (three times as
-    fast, same ids). The first `verified` texts of every task are encoded by both; a difference
-    stops the task. Texts that hold a special token's string go to `tokenizers` itself.
+    fast, same ids). The first `verified` texts of every task, and all over the table those whose
+    ids have a checksum that is a multiple of `share`, are encoded by both; a difference stops the
+    task. Texts that hold a special token's string go to `tokenizers` itself.
     """
 
-    def __init__(self, path: str, verified: int = 20):
+    def __init__(self, path: str, verified: int = 20, share: int = 512):
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.left = Tokenizer.from_file(path), verified
+        self.tokenizer, self.left, self.share = Tokenizer.from_file(path), verified, share
         with open(path, encoding="utf-8") as f:
             said = json.load(f)
         self.special = [x["content"] for x in said["added_tokens"]]
@@ -71,7 +73,7 @@ class ByteLevelEncoder:
         if any(s in text for s in self.special):
             return self.own(text)
         ids = array("I", (self.whole if runs else self.plain)(text)).tobytes()
-        if self.left > 0:
+        if self.left > 0 or not zlib.crc32(ids) % self.share:
             self.left -= 1
             if ids != self.own(text):
                 raise ValueError("the merges of this file are not in the order of its ids")

@@ -7,7 +7,7 @@ import pytest
 
 P = pytest.importorskip("public_tokenizers")
 
-from plenum.llm import chat, common, covertree, langid, lm, neardup, neighbours, quality, words  # noqa: E402
+from plenum.llm import chat, common, covertree, langid, lm, neardup, neighbours, pieces, quality, words  # noqa: E402
 from plenum.llm.components import components  # noqa: E402
 
 
@@ -342,3 +342,46 @@ def test_meetings_leave_out_pairs_that_have_met():
         best = sorted((-s[own - 100, o - 100], o) for k, o in want if k == own)[:3]
         assert b[a == own].tolist() == [o for _, o in best]
     assert len(a) == sum(min(3, n) for n in np.bincount(i)) and neighbours.nearest([], 3) == []
+
+
+def unigram(path, fallback, prefix, strip):
+    """A unigram model of a few pieces with random scores, written as the library writes them."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    rng, model = np.random.default_rng(1), pb.ModelProto()
+
+    def add(piece, score, kind):
+        own = model.pieces.add()
+        own.piece, own.score, own.type = piece, float(score), kind
+
+    for piece, kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3)):
+        add(piece, 0, kind)
+    for b in range(256 * fallback):
+        add(f"<0x{b:02X}>", 0, 6)
+    drawn = ["".join(rng.choice(list("abcde▁é"), rng.integers(2, 5))) for _ in range(60)]
+    for piece in dict.fromkeys(["▁", *"abcdeé中", "ab", "abc", "▁a", "▁ab", "▁the", "ded", "▁▁", "a▁b", *drawn]):
+        add(piece, -rng.uniform(1, 9), 1)
+    model.trainer_spec.model_type, model.trainer_spec.byte_fallback, model.trainer_spec.unk_id = 1, fallback, 0
+    spec = model.normalizer_spec
+    spec.name, spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces = "identity", prefix, strip, True
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+@pytest.mark.parametrize("fallback", [True, False])
+@pytest.mark.parametrize("prefix, strip", [(True, True), (True, False), (False, True)])
+def test_unigram_pieces(spark, tmp_path, fallback, prefix, strip):
+    """Scores, byte fallback, marker and white space, by many threads: ids as the sentencepiece library gives them."""
+    from sentencepiece import SentencePieceProcessor
+
+    rng = np.random.default_rng(2)
+    texts = ["", " ", "a", " a  b ", "zzz", "éé 中x", "the abc ded"] + ["".join(rng.choice(list("abcdeé z中 "), rng.integers(0, 40))) for _ in range(1000)]
+    path = unigram(tmp_path / "own.model", fallback, prefix, strip)
+    own, model = SentencePieceProcessor(model_file=path), pieces.PieceModel(path, threads=True)
+    got, want = [np.frombuffer(x, "<u4").tolist() for x in model.encode(texts)], own.encode(texts)
+    assert all(map(model.agrees, got, want)) and sum(g != w for g, w in zip(got, want)) < 10  # the others are ties of score
+    assert [model.decode(np.array(g, "<u4").tobytes()) for g in got] == own.decode(want)
+    if fallback and prefix:
+        docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, None)], "doc_id long, text string")
+        rows = pieces.encoded(docs, path, verified_share=3, with_ids=True, threads=True).collect()
+        assert {r.doc_id: r.ids for r in rows} == dict(enumerate(got)) | {None: []}
