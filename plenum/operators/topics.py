@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -127,9 +125,9 @@ def top_rules(rules: DataFrame, n: int = 30) -> DataFrame:
 
 
 def filled_by(series: DataFrame, methods: dict[str, str], since: int = 1990) -> DataFrame:
-    """filled() with the method of each indicator's name, years from `since` on."""
-    parts = [filled(series.where(F.col("name") == name), method) for name, method in methods.items()]
-    return functools.reduce(DataFrame.unionByName, parts).where(F.col("year") >= since)
+    """filled() with the method of each indicator's name, years from `since` on; one pass over the series for all methods."""
+    known = F.create_map(*(F.lit(x) for pair in methods.items() for x in pair))
+    return filled(series.where(F.col("name").isin(list(methods))), F.element_at(known, F.col("name"))).where(F.col("year") >= since)
 
 
 def deviation_items(m: Model, threshold: float = 0.10) -> DataFrame:
@@ -190,8 +188,8 @@ def rules(sets: DataFrame, min_confidence: float = 0.7, min_lift: float = 1.15)
     return kept.select("scope", F.concat_ws(",", "antecedents").alias("antecedents"), F.concat_ws(",", "consequents").alias("consequents"), F.round("support", 4).alias("support"), F.round("confidence", 4).alias("confidence"), "lift")
 
 
-def filled(series: DataFrame, method: str) -> DataFrame:
-    """series(name, country, year, value) with gaps filled and `predicted`; method linear, loglinear or mean.
+def filled(series: DataFrame, method: str | Column) -> DataFrame:
+    """series(name, country, year, value) with gaps filled and `predicted`; method linear, loglinear or mean, one or one a row's name.
 
     linear: missing years lie on the line through the last observation whose slope blends the
     country's with that of all countries (weight r squared, one half at least); no data: the
@@ -200,30 +198,37 @@ def filled(series: DataFrame, method: str) -> DataFrame:
     curve. mean: the mean of the last five observations, else of all. Rounded to 2 places, not
     under 0 (loglinear cannot be).
     """
-    value = F.when(F.col("value") > 0, F.ln("value")) if method == "loglinear" else F.col("value")
-    rows = series.withColumn("v", value)
-    common = rows.groupBy("name").agg(F.regr_slope("v", "year").alias("g_slope"), F.regr_intercept("v", "year").alias("g_at"), F.avg("v").alias("g_mean"), F.avg(F.when(F.col("v").isNotNull(), F.col("year"))).alias("g_year"))
-    own = rows.groupBy("name", "country").agg(F.count("v").alias("n"), F.regr_slope("v", "year").alias("slope"), F.regr_r2("v", "year").alias("r2"),
-        F.max_by("v", F.when(F.col("v").isNotNull(), F.col("year"))).alias("last"), F.max(F.when(F.col("v").isNotNull(), F.col("year"))).alias("last_year"),
-        F.min_by("v", F.when(F.col("v").isNotNull(), F.col("year"))).alias("first"), F.min(F.when(F.col("v").isNotNull(), F.col("year"))).alias("first_year"))
-    both = rows.join(own, ["name", "country"]).join(common, "name")
+    rows = series.withColumn("method", F.lit(method) if isinstance(method, str) else method)
+    logs = F.col("method") == "loglinear"
+    rows = rows.withColumn("v", F.when(logs, F.when(F.col("value") > 0, F.ln("value"))).otherwise(F.col("value")))
+    seen = F.when(F.col("v").isNotNull(), F.col("year"))
+    common = rows.groupBy("name").agg(
+        F.regr_slope("v", "year").alias("g_slope"), F.regr_intercept("v", "year").alias("g_at"), F.avg("v").alias("g_mean"), F.avg(seen).alias("g_year")
+    )
+    place = Window.partitionBy("name", "country").orderBy("year")
+    past, later = place.rowsBetween(Window.unboundedPreceding, 0), place.rowsBetween(0, Window.unboundedFollowing)
+    whole = Window.partitionBy("name", "country")
+    rows = rows.withColumn("no", F.row_number().over(place))
+    at = F.when(F.col("v").isNotNull(), F.col("no"))
+    latest = F.row_number().over(Window.partitionBy("name", "country").orderBy(F.col("value").isNull(), F.desc("year")))
+    rows = rows.withColumns({"a": F.last("value", True).over(past), "ia": F.last(at, True).over(past), "b": F.first("value", True).over(later), "ib": F.first(at, True).over(later), "latest": latest})
+    rows = rows.withColumns({
+        "n": F.count("v").over(whole), "slope": F.regr_slope("v", "year").over(whole), "r2": F.regr_r2("v", "year").over(whole),
+        "last": F.max_by("v", seen).over(whole), "last_year": F.max(seen).over(whole), "first": F.min_by("v", seen).over(whole), "first_year": F.min(seen).over(whole),
+        "recent": F.avg(F.when((F.col("latest") <= 5) & F.col("value").isNotNull(), F.col("value"))).over(whole),
+    })
+    both = rows.join(common, "name")
     weight = F.greatest(F.lit(0.5), F.coalesce("r2", F.lit(0.0)))
     slope = F.when(F.col("n") < 2, F.col("g_slope")).otherwise(weight * F.col("slope") + (1 - weight) * F.col("g_slope"))
     line = F.col("last") + slope * (F.col("year") - F.col("last_year"))
-    if method == "linear":
-        guess = F.when(F.col("n") == 0, F.col("g_mean") + F.col("g_slope") * (F.col("year") - F.col("g_year"))).otherwise(line)
-    elif method == "loglinear":
-        past = Window.partitionBy("name", "country").orderBy("year").rowsBetween(Window.unboundedPreceding, 0)
-        later = Window.partitionBy("name", "country").orderBy("year").rowsBetween(0, Window.unboundedFollowing)
-        place = F.row_number().over(Window.partitionBy("name", "country").orderBy("year"))
-        both = both.withColumn("no", place)
-        seen = F.when(F.col("v").isNotNull(), F.col("no"))
-        both = both.withColumn("a", F.last("value", True).over(past)).withColumn("ia", F.last(seen, True).over(past)).withColumn("b", F.first("value", True).over(later)).withColumn("ib", F.first(seen, True).over(later))
-        inner = F.col("a") + (F.col("b") - F.col("a")) * (F.col("no") - F.col("ia")) / (F.col("ib") - F.col("ia"))
-        guess = F.when(F.col("n") == 0, F.exp(F.col("g_at") + F.col("g_slope") * F.col("year"))).when(F.col("year") > F.col("last_year"), F.exp(line)).when(F.col("year") < F.col("first_year"), F.exp(F.col("first") + F.col("g_slope") * (F.col("year") - F.col("first_year")))).otherwise(inner)
-    else:
-        recent = series.where("value IS NOT NULL").withColumn("r", F.row_number().over(Window.partitionBy("name", "country").orderBy(F.desc("year")))).where("r <= 5")
-        both = both.join(recent.groupBy("name", "country").agg(F.avg("value").alias("recent")), ["name", "country"], "left")
-        guess = F.coalesce("recent", "g_mean")
+    inner = F.col("a") + (F.col("b") - F.col("a")) * (F.col("no") - F.col("ia")) / (F.col("ib") - F.col("ia"))
+    straight = F.when(F.col("n") == 0, F.col("g_mean") + F.col("g_slope") * (F.col("year") - F.col("g_year"))).otherwise(line)
+    curved = (
+        F.when(F.col("n") == 0, F.exp(F.col("g_at") + F.col("g_slope") * F.col("year")))
+        .when(F.col("year") > F.col("last_year"), F.exp(line))
+        .when(F.col("year") < F.col("first_year"), F.exp(F.col("first") + F.col("g_slope") * (F.col("year") - F.col("first_year"))))
+        .otherwise(inner)
+    )
+    guess = F.when(logs, curved).when(F.col("method") == "linear", straight).otherwise(F.coalesce("recent", "g_mean"))
     result = F.round(F.coalesce("value", guess), 2)
-    return both.select("name", "country", "year", (result if method == "loglinear" else F.greatest(result, F.lit(0.0))).alias("value"), F.col("value").isNull().alias("predicted"))
+    return both.select("name", "country", "year", F.when(logs, result).otherwise(F.greatest(result, F.lit(0.0))).alias("value"), F.col("value").isNull().alias("predicted"))

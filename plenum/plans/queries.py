@@ -142,12 +142,6 @@ def rules_sql(items: str, support: float, least: int) -> str:
     SELECT scope, array_to_string(ante, ',') AS antecedents, array_to_string(cons, ',') AS consequents, round(support, 4) AS support, round(confidence, 4) AS confidence, lift FROM k WHERE r = 1 AND lift >= 1.15"""
 
 
-def joined_with(sql: str) -> str:
-    """A statement that begins with its own WITH, after the model's."""
-    whole = twin(sql)
-    return whole.replace(") WITH ", "), ", 1) if whole is not sql else sql
-
-
 add("deviation_items", tp.deviation_items, DEV)
 add("opposition_items", opposition_items, OPP)
 SQL_FP = f"WITH {itemsets_sql(OPP, 0.3, 3)} SELECT scope, array_to_string(items, ',') AS items, round(support, 4) AS support FROM sets"

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -13,7 +14,17 @@ os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "
 def spark():
     from pyspark.sql import SparkSession
 
-    s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "4g").config("spark.sql.warehouse.dir", "/tmp/spark-test-warehouse").getOrCreate()
+    shared = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    settings = {
+        "spark.sql.shuffle.partitions": "4",
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.driver.memory": "4g",
+        "spark.sql.warehouse.dir": f"{shared}/warehouse",
+        "spark.checkpoint.dir": f"file://{shared}/shared",
+    }
+    s = SparkSession.builder.master("local[4]").config(map=settings).getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
