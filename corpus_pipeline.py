@@ -24,18 +24,28 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, no letter) go; a missing language is filled in."""
+    """Documents without a language (no text, no letter) go; a missing language is filled in.
+
+    Repeated rows and rows of one doc_id are judged each for itself; if any of a doc_id has no
+    language, all of it go. Rows with a null doc_id stay as they are.
+    """
     found = save(langid.identify(docs, langid.learn(docs.where(fold(4) != 2))).select("doc_id", "lang_pred"), "languages")
     filled = docs.select(COLUMNS).join(docs.where("lang IS NULL").select("doc_id").join(found, "doc_id").groupBy("doc_id").agg(F.min("lang_pred").alias("guess")), "doc_id", "left")
     return without(filled.withColumn("lang", F.coalesce("lang", "guess")), found.where("lang_pred = 'und'"))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is under REJECT_BELOW go, with all rows of their doc_id; rows with a null doc_id stay.
+
+    The classifier learns from the labelled documents that reach it; without any, all scores are
+    those of a network that has learned nothing.
+    """
     model = quality.learn(docs.where(fold(3) != 1), table(spark, sf_dir, "labels"))
     return without(docs, quality.score(docs, model).where(F.col("score") < REJECT_BELOW))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that of the smallest doc_id; rows with a null doc_id stay."""
     return without(docs, neardup.near_duplicates(docs).where("NOT kept"))
 
 
@@ -48,6 +58,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, placed in sequences of 2048 tokens; null and empty texts are the end token alone."""
     return packing.pack(docs, tokenizer("byte_bpe_50k.json"))
 
 
