@@ -45,6 +45,15 @@ add("stub_sessions", lambda s, d: ld.stub_sessions(read(s, d, "orders").select(F
 add("election_spells", lambda s, d: ld.election_spells(read(s, d, "orders").join(read(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).selectExpr("CAST(c_nationkey AS STRING) AS country", "year(o_orderdate) AS year", "c_mktsegment AS party", "o_orderkey % 9 = 0 AS in_government")).selectExpr("country", "party", "CAST(year_from AS LONG) AS year_from", "CAST(year_to AS LONG) AS year_to"),
     "WITH r AS (SELECT CAST(c_nationkey AS VARCHAR) AS country, year(o_orderdate) AS year, c_mktsegment AS party, o_orderkey % 9 = 0 AS g FROM orders JOIN customer ON o_custkey = c_custkey), y AS (SELECT country, year, lead(year) OVER (PARTITION BY country ORDER BY year) AS nxt FROM (SELECT DISTINCT country, year FROM r) x) SELECT DISTINCT r.country, party, year AS year_from, nxt AS year_to FROM r JOIN y USING (country, year) WHERE g")
 add("uri_parts", lambda s, d: read(s, d, "pages").select("page_id", tx.basename(F.col("url")).alias("last"), tx.digits(tx.basename(F.col("url"))).cast("long").alias("number")), "SELECT page_id, split_part(url, '/', -1) AS last, try_cast(regexp_replace(split_part(url, '/', -1), '[^0-9]', '', 'g') AS BIGINT) AS number FROM pages")
+URIS = ["concat('http://x/', IF(s_suppkey % 3 = 0, 'FEMALE', 'MALE')) AS sex", "concat('http://x/org/', IF(s_suppkey % 4 = 0, 'EP-x', concat('EP-', s_suppkey % 11))) AS term", "array('a/b/' || s_suppkey, s_suppkey || '', 'c/') AS many"]
+add(
+    "uri_values",
+    lambda s, d: read(s, d, "supplier").selectExpr("s_suppkey", *URIS).select("s_suppkey", tx.is_female(F.col("sex")).alias("female"), tx.term_number(F.col("term")).cast("long").alias("term"), F.concat_ws(",", tx.basenames(F.col("many"))).alias("last_parts")),
+    "SELECT s_suppkey, s_suppkey % 3 = 0 AS female, CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey % 11 END AS term, s_suppkey || ',' || s_suppkey || ',' AS last_parts FROM supplier",
+)
+add("one_line_texts", lambda s, d: read(s, d, "conversations").select("conv_id", "turn", tx.one_line(F.col("text")).alias("line")), "SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS line FROM conversations")
+add("name_ids", lambda s, d: ld.name_ids(read(s, d, "customer").selectExpr("IF(c_custkey % 10 = 0, NULL, c_mktsegment || c_nationkey) AS name"), "name").agg(F.count("*").alias("rows"), F.count_distinct("name").alias("names"), F.count_distinct("id").alias("ids")), "SELECT count(DISTINCT n) AS rows, count(DISTINCT n) AS names, count(DISTINCT n) AS ids FROM (SELECT c_mktsegment || c_nationkey AS n FROM customer WHERE c_custkey % 10 > 0) x")
+add("refresh_rows", lambda s, d: ld.refresh(read(s, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment"), read(s, d, "customer").where("c_custkey % 3 = 0").selectExpr("c_custkey", "IF(c_custkey % 2 = 0, 1.5D, NULL) AS c_acctbal"), "c_custkey"), "SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 1.5 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer")
 add("iso_timestamps", lambda s, d: read(s, d, "orders").select("o_orderkey", tx.timestamp(F.concat(F.lit("http://x/"), F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss"))).alias("ts")), "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS ts FROM orders")
 BITS = "(SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS v FROM range(256) r(i)) x)"
 CRC = "xor(list_reduce(list_concat([4294967295], [CAST(ascii(c) AS BIGINT) FOR c IN string_split(s_name, '')]), lambda x, b: xor(x >> 8, t[(xor(x, b) & 255) + 1])), 4294967295)"
