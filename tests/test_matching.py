@@ -130,3 +130,22 @@ def test_deduplicated(spark):
     rows = [(5, "w1", None, None), (4, "w1", "A", None), (9, None, "A", None), (8, None, "A", "x"), (7, None, None, None), (3, None, "A", "x")]
     got = cl.deduplicated(spark.createDataFrame(rows, "id long, wiki_id string, abbr string, country string"))
     assert {r.id: r.canonical for r in got.collect()} == {5: 4, 4: 4, 9: 4, 8: 3, 7: 7, 3: 3}
+
+
+def test_alias_resolution(spark, tmp_path):
+    """The registered query against its SQL, with suppliers of one name and nation, of one name alone and without a name."""
+    import duckdb
+
+    import __spark_entry__ as e
+
+    names = [(1, "Supplier#000000001", 3), (2, "Supplier#000000002", 3), (3, "Supplier#000000003", 4), (4, None, 3), (5, None, 3), (6, "", 3), (7, "Supplier#00000000", None), (8, "Supplier#00000000", None), (9, "x", 3)]
+    spark.createDataFrame(names, "s_suppkey long, s_name string, s_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(k // 3, k % 3, k % 11) for k in range(60)], "l_orderkey long, l_linenumber int, l_suppkey long").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for t in ("supplier", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = e.queries()["alias_resolution"](spark, str(tmp_path))
+    want = con.execute(e.oracle_sql()["alias_resolution"]).fetchall()
+    assert got.columns == ["l_orderkey", "l_linenumber", "canonical"]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert {c for *_, c in want} == {1, 3, 4, 6, 7, 9}
