@@ -8,9 +8,10 @@ is at least the threshold. Candidates share a band of weighted samples; all link
 
 Exact copies are put together first and do not take part beyond one of them. In a bucket of
 candidates not all pairs are compared: each is compared with the member that meets most others
-in all its buckets, then with a few drawn by that measure. Members of a bucket that are still in
-different classes after that are paired by their rarest shingles where those can still meet the
-threshold, which leaves out no link, and compared.
+in all its buckets, then, in buckets that are still of several classes, with a few drawn by that
+measure, all of them in one pass. Members of a bucket that are still in different classes after
+that are paired by their rarest shingles where those can still meet the threshold, which leaves
+out no link, and compared. Links found in the two later passes tie classes, not documents.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plenum.llm.common import power_of_two, save, text_bytes, texts, write_blocks
-from plenum.llm.components import components
+from plenum.llm.common import power_of_two, save, save_by, text_bytes, texts, write_blocks
+from plenum.llm.components import stars
 from plenum.llm.hashstats import BLOBS, answered, arrow, blobs, global_sums
 from plenum.llm.words import PRIME as P
 from plenum.llm.words import lower_words, mixed
@@ -148,7 +149,7 @@ OPEN = "doc_id long, component long, bands array<long>, whole double"
 
 
 def linked(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFrame:
-    """Of pairs(a, b) those whose similarity reaches the threshold."""
+    """Of pairs(a, b, ca, cb) those whose similarity reaches the threshold, as links (ca, cb) of their classes."""
     fa, fb = (features.select(F.col("doc_id").alias(x), F.col("f").alias(f"f{x}")) for x in "ab")
 
     def test(batches):
@@ -156,7 +157,15 @@ def linked(pairs: DataFrame, features: DataFrame, threshold: float) -> DataFrame
             keep = [similarity(x, y) >= threshold for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(fa, "a").join(fb, "b").select("a", "b", "fa", "fb").mapInArrow(test, "a long, b long").distinct()
+    return pairs.join(fa, "a").join(fb, "b").select("ca", "cb", "fa", "fb").mapInArrow(test, "a long, b long")
+
+
+def placed(rows: DataFrame, column: str, ties: list[DataFrame]) -> DataFrame:
+    """rows with `component`, the class of the document in `column` after each of ties(id, component) in turn; untied ids are their own."""
+    out = rows.withColumn("component", F.col(column))
+    for t in ties:
+        out = out.join(t.select(F.col("id").alias("component"), F.col("component").alias("tied")), "component", "left").withColumn("component", F.coalesce("tied", "component")).drop("tied")
+    return out
 
 
 def spread(batches):
@@ -265,42 +274,39 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, ban
 
     wanted = buckets.select("block", null.cast("int").alias("bucket"), null.cast("binary").alias("answer"), "doc_id").distinct()
     asked = asked.unionByName(wanted)
-    features = save(by_block.cogroup(asked.groupBy("block")).applyInArrow(feature, FEATURES), "features")
+    features = save_by(by_block.cogroup(asked.groupBy("block")).applyInArrow(feature, FEATURES), "features", "doc_id")
 
     rank = F.struct("degree", -F.col("doc_id"))
     leaders = buckets.groupBy("band").agg(F.max_by("doc_id", rank).alias("leader"))
-    tested = buckets.join(leaders, "band").where("leader <> doc_id").select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b"))
-    tested = save(tested.distinct(), "pairs")
-    links = save(linked(tested, features, threshold), "found")
-    classes = save(components(links), "classes")
-    for k in range(1, leaders_tried + 2):
-        known = classes.select(F.col("id").alias("doc_id"), "component")
-        state = buckets.select("band", "doc_id", "degree").join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        draw = F.xxhash64("doc_id", F.lit(k)).cast("double") / 2.0**63 + F.log("degree")
-        split = state.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by("doc_id", draw).alias("other"), F.max_by("component", draw).alias("its")).where("low <> high").drop("low", "high")
-        if k <= leaders_tried:
-            pairs = state.join(split, "band").where("component <> its").select(F.least("other", "doc_id").alias("a"), F.greatest("other", "doc_id").alias("b"))
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    tested = save(buckets.join(leaders, "band").where("leader <> doc_id").select(*pair("leader", "doc_id")).distinct(), "pairs")
+    ties = [stars(save(linked(tested.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")), features, threshold), "found"))]
+    for last in (False, True) if leaders_tried else (True,):
+        state = placed(buckets.select("band", "doc_id", "degree"), "doc_id", ties)
+        draw = [F.xxhash64("doc_id", F.lit(k)).cast("double") / 2.0**63 + F.log("degree") for k in range(1, leaders_tried + 1)]
+        drawn = F.array(*(F.max_by(F.struct(F.col("doc_id").alias("other"), F.col("component").alias("its")), d) for d in draw))
+        split = state.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), drawn.alias("drawn")).where("low <> high")
+        if not last:
+            pairs = state.join(split.select("band", "drawn"), "band").select("doc_id", "component", F.inline("drawn")).where("component <> its").select(*pair("other", "doc_id"), F.col("component").alias("ca"), F.col("its").alias("cb"))
         else:
             still = state.join(split.select("band"), "band", "left_semi").groupBy("doc_id", "component").agg(F.collect_set("band").alias("bands"))
             still = still.join(features, "doc_id").select("doc_id", "component", "bands", "whole", "keys", "rests")
             rare = still.mapInArrow(spread, f"{OPEN}, key long, rest double")
             left, right = (rare.select("key", *(F.col(c).alias(c[0] + x) for c in ("doc_id", "component", "bands", "whole", "rest"))) for x in "ab")
             enough = F.least("ra", "rb") >= (F.col("wa") + F.col("wb")) * (threshold / (1 + threshold) - SLACK)
-            pairs = left.join(right, "key").where("da < db AND ca <> cb").where(enough).where(F.arrays_overlap("ba", "bb")).select(F.col("da").alias("a"), F.col("db").alias("b"))
-        pairs = save(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+            pairs = left.join(right, "key").where("da < db AND ca <> cb").where(enough).where(F.arrays_overlap("ba", "bb")).select(F.col("da").alias("a"), F.col("db").alias("b"), "ca", "cb")
+        pairs = pairs.groupBy("a", "b").agg(F.least(F.min("ca"), F.min("cb")).alias("ca"), F.greatest(F.max("ca"), F.max("cb")).alias("cb"))
+        pairs = save(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
             continue
-        found = save(linked(pairs, features, threshold), "found")
-        tested = tested.union(pairs)
-        links = links.union(found)
+        found, tested = save(linked(pairs, features, threshold), "found"), tested.union(pairs.select("a", "b"))
         if not found.isEmpty():
-            classes = save(components(links), "classes")
+            ties.append(stars(found))
     # a text's class goes to its copies; texts of more than one in a thousand documents, a thousand at most, are sent to all tasks
-    known = classes.select(F.col("id").alias("stands"), "component")
-    groups = save(stands.join(known, "stands", "left").select("same", "n", F.coalesce("component", "stands").alias("class_id")), "groups")
+    groups = save(placed(stands, "stands", ties).select("same", "n", F.col("component").alias("class_id")), "groups")
     often, worded = groups.where(F.col("n") > n_docs / 1000), same.where("worded").select("doc_id", "same")
     rest = worded.join(F.broadcast(often.select("same")), "same", "left_anti").join(groups, "same")
-    placed = worded.join(F.broadcast(often), "same").select("doc_id", "class_id").union(rest.select("doc_id", "class_id"))
-    placed = placed.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    wordless = same.where("NOT worded").select("doc_id").distinct().join(placed.select("doc_id"), "doc_id", "left_anti").withColumn("class_id", F.col("doc_id"))
-    return placed.union(wordless).withColumn("kept", F.col("doc_id") == F.col("class_id")).unionByName(nameless)
+    out = worded.join(F.broadcast(often), "same").select("doc_id", "class_id").union(rest.select("doc_id", "class_id"))
+    out = out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    wordless = same.where("NOT worded").select("doc_id").distinct().join(out.select("doc_id"), "doc_id", "left_anti").withColumn("class_id", F.col("doc_id"))
+    return out.union(wordless).withColumn("kept", F.col("doc_id") == F.col("class_id")).unionByName(nameless)

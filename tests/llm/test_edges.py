@@ -1,6 +1,9 @@
 """Cases in which one row, text or vector must not disturb another, each against brute force."""
 
 import hashlib
+import math
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -385,3 +388,50 @@ def test_unigram_pieces(spark, tmp_path, fallback, prefix, strip):
         docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, None)], "doc_id long, text string")
         rows = pieces.encoded(docs, path, verified_share=3, with_ids=True, threads=True).collect()
         assert {r.doc_id: r.ids for r in rows} == dict(enumerate(got)) | {None: []}
+
+
+def test_near_copies_of_many_groups_take_few_tasks(spark):
+    """Large groups of copies that share all buckets but fall apart under the threshold: right classes, and with 24 shuffle partitions held no more tasks than three passes over the pairs need."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(400)}" for _ in range(120)]
+    rows = []
+    for g in range(4):
+        own = list(base)
+        own[g * 9 : g * 9 + 9] = [f"g{g}x{k}" for k in range(9)]
+        for k in range(60):
+            words_ = list(own)
+            words_[50 + k % 60] = f"e{g}y{k}"
+            rows.append((g * 100 + k, " ".join(words_)))
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("near copies", "")
+    try:
+        got = {r.doc_id: r.class_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.8).collect()}
+        tracker = spark.sparkContext.statusTracker()
+        stages = {s for j in tracker.getJobIdsForGroup("near copies") for s in tracker.getJobInfo(j).stageIds}
+        tasks = sum(x.numCompletedTasks for s in stages if (x := tracker.getStageInfo(s)))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    sets = {i: Counter(" ".join(x) for x in zip(*(t.split()[k:] for k in range(5)))) for i, t in rows}
+    df = Counter(s for c in sets.values() for s in c)
+    weight = {s: 1 + math.log(len(rows) / n) / math.log(len(rows)) for s, n in df.items()}
+    top = {i: i for i, _ in rows}
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b:
+                both = sum(weight[s] * min(c, sets[b][s]) for s, c in sets[a].items() if s in sets[b])
+                whole = sum(weight[s] * c for x in (a, b) for s, c in sets[x].items()) - both
+                if both >= 0.8 * whole:
+                    x, y = sorted((root(a), root(b)))
+                    top[y] = x
+    assert got == {i: root(i) for i, _ in rows}
+    assert len(set(got.values())) == 4 and tasks < 3000  # 4982 when every pass tied documents anew
