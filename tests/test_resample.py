@@ -51,6 +51,21 @@ def test_bootstraps(spark):
     assert rs.bootstrap(frame.limit(0), 10).count() == 0
 
 
+def test_draws_are_not_sent_to_all_tasks(spark, monkeypatch):
+    frame = spark.range(3000).selectExpr("id AS no", "id % 5 AS tp", "id % 3 AS fp", "id % 2 AS fn").withColumn("mode", F.explode(F.array(*map(F.lit, ("a", "b", None)))))
+    frame = frame.withColumn("fp", F.col("fp") + F.col("mode").eqNullSafe("b").cast("int"))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "48m")  # the 3,000,000 draws are more
+    try:
+        get = lambda: sorted(map(tuple, rs.bootstrap(frame, 1000, 7, "mode").collect()), key=str)
+        want = get()
+        monkeypatch.setattr(rs.by_tag, "__defaults__", (1,))  # a row a mode
+        assert get() == want and len(want) == 3
+        monkeypatch.setattr(rs, "SENT", 0)  # dealt by number
+        assert get() == want
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
 def test_numbering_of_rows(spark):
     rows = spark.range(1000).selectExpr("(id * 37) % 501 AS a", "id % 2 AS b").repartition(5)
     got = rs.numbered(rows, "a", "b").collect()
