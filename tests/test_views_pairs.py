@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,32 @@ def test_itemsets_by_prefix_trees(spark):
         if longest < 4:
             level = tp.frequent_itemsets(frame.dropna().distinct(), support, longest, least)
             assert {(r.scope, tuple(r["items"]), round(r.support, 9)) for r in level.collect()} == want
+
+
+def test_top_pairs_are_found_in_the_tasks(spark, monkeypatch):
+    """Whole blocks, blocks cut in parts, runs of one meeting: the pairs with enough common votes, the best of each view."""
+    rng = random.Random(9)
+    rows = [(t, v, m * 3, rng.randrange(1, 4)) for t in ("a", "b") for v in range(60) for m in range(40) if rng.random() < (0.3 if m % 4 else 0.05)]
+    frame = spark.createDataFrame(rows, "topic string, vote_id long, member_id long, option int")
+    order = lambda r: (-((2000 * r[3] + r[4]) // (2 * r[4])), -r[4], r[1], r[2])
+    want = {r for t in ("a", "b") for r in sorted((r for r in plain_pairs(rows) if r[0] == t and r[4] >= 4), key=order)[:30]}
+    for tiles in ({}, {"members": 8, "width": 16, "stack": 1}):
+        assert {tuple(r) for r in pairs.tiled_counts(frame, "topic", **tiles, least=4, top=30).collect()} == want
+    for lists in ({}, {"members": 8}, {"members": 8, "most": 50}):
+        assert {tuple(r) for r in pairs.listed_counts(frame, "topic", **lists, least=4, top=30).collect()} == want
+    assert {tuple(r) for r in pairs.listed_counts(frame, "topic", members=8, most=50).collect()} == plain_pairs(rows)
+    spread = [("a", v, rng.randrange(10**6), 1 + v % 3) for v in range(300) for _ in range(3)]  # few meet, far apart
+    few = spark.createDataFrame(sorted(set(spread)), frame.schema)
+    assert {tuple(r) for r in pairs.listed_counts(few, "topic").collect()} == plain_pairs(set(spread))
+    assert pairs.listed_counts(frame.limit(0), "topic", top=5).count() == 0
+    one = [np.array([0, 0, 1]), np.array([1, 2, 2]), np.array([1, 2, 1]), np.array([2, 3, 2])]
+    assert [x.tolist() for x in pairs.kept(*one, 2, 2)] == [[0, 0], [2, 1], [2, 1], [3, 2]]
+
+
+def test_tiles_hold_a_number_a_vote(spark, monkeypatch):
+    """What is kept of a vote cast, and sent to each pair of blocks, is a number."""
+    frame = spark.range(400 * 300).selectExpr("id DIV 300 AS vote_id", "id % 300 AS member_id", "CAST(hash(id) & 1 AS INT) + 1 AS option")
+    tables, save = {}, pairs.saved
+    monkeypatch.setattr(pairs, "saved", lambda df, name: tables.setdefault(name, save(df, name)))
+    assert pairs.tiled_counts(frame, members=32).count() == 300 * 299 // 2
+    assert dict(tables["tiles"].dtypes)["cells"] == "array<int>"
