@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import uuid
 
 import numpy as np
 import pytest
@@ -31,6 +32,20 @@ def test_views_are_read_back(spark, tmp_path):
     assert [r.rows for r in vw.read_manifest(spark, root).collect()] == [1] and not (tmp_path / "v" / version).exists()
 
 
+def test_rows_of_views_are_made_once(spark, tmp_path):
+    root, seen = f"file://{tmp_path}/v", tmp_path / "seen"
+    seen.mkdir()
+
+    def traced(batches):
+        (seen / uuid.uuid4().hex).touch()
+        yield from batches
+
+    rows = spark.range(0, 50, 1, 2).selectExpr("id % 3 AS topic", "id AS n").mapInArrow(traced, "topic long, n long")
+    vw.write_views(rows, root, "topic")
+    assert len(list(seen.iterdir())) == 2  # once a partition
+    assert {r.topic: r.rows for r in vw.read_manifest(spark, root).collect()} == {0: 17, 1: 17, 2: 16}
+
+
 def plain_pairs(rows):
     by, out = {}, {}
     for t, v, m, o in rows:
